@@ -1,10 +1,15 @@
 """The registered queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
 
-from . import mixing, quality
+from . import licenses, mixing, order, pieces, pii, quality, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op2_personal_data": pii.op2_personal_data,
     "op4_source_mixing": mixing.op4_source_mixing,
+    "op5_training_order": order.op5_training_order,
+    "op6_pieces": pieces.op6_pieces,
+    "op8_license_scan": licenses.op8_license_scan,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLE_SQL = {"op4_source_mixing": mixing.OP4_SQL}
