@@ -67,6 +67,15 @@ def test_pii_base_spans(spark):
     assert rows(pii.personal_data(empty(spark))) == []
 
 
+def test_pii_query(spark):
+    texts = dict(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect())
+    for r in rows(pii.op2_personal_data(spark, SF)):
+        spans = brute_pii(texts[r["doc_id"]])
+        listed = ",".join(f"{kind}:{a}:{b}" for a, _, kind, b in spans)
+        assert r["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest() and set(listed.split(",")) <= {*r["spans"].split(","), ""}
+        assert [r[f"n_{k}"] for k in pii.BASE] == [sum(s[2] == k for s in spans) for k in pii.BASE]
+
+
 def test_pii_em_tells_reliable_labelers():
     counts = [("k", v, n) for v, n in {(1, 1, 1): 400, (1, 1, -1): 300, (-1, -1, 1): 350, (-1, -1, -1): 450, (1, -1, 1): 5, (-1, 1, -1): 5}.items()]
     posterior, rates = pii.reliabilities(counts)
@@ -157,7 +166,7 @@ def best_score(encoder, word):
     best = [0.0, max(encoder.unknown, encoder.initial.get("", (-1e18,))[0])] + [-1e18] * len(word)
     for end in range(1, len(word) + 1):
         options = [best[end] + encoder.unknown]
-        options += [encoder.initial[word[:end]][0]] * (word[:end] in encoder.initial)
+        options += [encoder.initial[w][0] for w in (word[:end],) if w in encoder.initial]
         options += [best[s + 1] + encoder.inner[word[s:end]][0] for s in range(end) if word[s:end] in encoder.inner]
         best[end + 1] = max(options)
     return best[-1]
@@ -169,7 +178,7 @@ def test_pieces_are_the_best_and_come_back(spark):
     texts = [d.text for docs in both(spark) for d in docs.select("text").collect() if d.text]
     words = sorted({w for t in texts for w in t.split(" ") if len(w) < 200})
     for word, ids, n_bytes in encoder.search(words):
-        score = sum(model["scores"][i] for i in ids if i not in set(model["bytes"].values()))
+        score = sum(max(model["scores"][i], encoder.unknown + pieces.UNKNOWN_PENALTY) for i in ids if i not in set(model["bytes"].values()))
         chars = len(bytes(b for i in ids for b in encoder.piece_bytes[i] if i in set(model["bytes"].values())).decode())
         assert score + chars * encoder.unknown == best_score(encoder, word), word
         assert b"".join(encoder.piece_bytes[i] for i in ids) == b" " + word.encode()
