@@ -1,15 +1,18 @@
 """The registered queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
 
-from . import licenses, mixing, order, pieces, pii, quality, toxicity
+from . import jaccard, licenses, lines, mixing, order, pieces, pii, quality, toxicity, vectors
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_personal_data": pii.op2_personal_data,
+    "op3_ngram_jaccard": jaccard.op3_ngram_jaccard,
     "op4_source_mixing": mixing.op4_source_mixing,
     "op5_training_order": order.op5_training_order,
     "op6_pieces": pieces.op6_pieces,
+    "op7_line_dedup": lines.op7_line_dedup,
     "op8_license_scan": licenses.op8_license_scan,
+    "op9_embedding_dedup": vectors.op9_embedding_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
-ORACLE_SQL = {"op4_source_mixing": mixing.OP4_SQL}
+ORACLE_SQL = {"op3_ngram_jaccard": jaccard.OP3_SQL, "op4_source_mixing": mixing.OP4_SQL, "op9_embedding_dedup": vectors.OP9_SQL}
