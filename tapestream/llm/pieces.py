@@ -8,6 +8,7 @@ prefix it shares with the word before it, and only the rest is searched.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -49,73 +50,84 @@ class Encoder:
         #: Pieces at a word's start (their mark cut off) and pieces within a word.
         self.initial = {p[1:]: (s, i) for p, i, s in usable if p[0] == MARK and MARK not in p[1:]}
         self.inner = {p: (s, i) for p, i, s in usable if MARK not in p}
-        self.longest = max([1, *map(len, self.initial), *map(len, self.inner)])
         self.unknown = worst - UNKNOWN_PENALTY
         self.of_byte = model["bytes"]
-        self.known: dict[str, tuple[bytes, int]] = {}
+        self.known: dict[str, bytes] = {}
         self.piece_bytes = [b"" if i in skip else p.replace(MARK, " ").encode() for i, p in enumerate(model["pieces"])]
+        self.is_byte = np.zeros(len(self.piece_bytes), bool)
         for byte, i in self.of_byte.items():
             self.piece_bytes[i] = bytes([byte])
-
-    def search(self, words: list[str]) -> Iterator[tuple[str, list[int], int]]:
-        """Best pieces of each word, and how many of them are bytes. Sort ``words`` to share most.
-
-        Position 0 is before the mark, position k + 1 after the word's first k characters. Among equal
-        sums the longest last piece wins.
+            self.is_byte[i] = True
+
+    @staticmethod
+    def branches(pieces: dict[str, tuple[float, int]]) -> dict:
+        """Nested dictionaries by character; under the empty key, score and id of the piece that ends there."""
+        root: dict = {}
+        for piece, found in pieces.items():
+            node = root
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[""] = found
+        return root
+
+    def search(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
+        """Best pieces of each word. Sort ``words`` to share most.
+
+        Position 0 is before the mark, position k + 1 after the word's first k characters. ``active[k]``
+        has the pieces begun before and still possible there; with the scores it is kept for the prefix
+        that the next word shares. Among equal sums the longest last piece wins.
         """
-        initial, inner, longest, unknown, bare = self.initial, self.inner, self.longest, self.unknown, self.initial.get("")
+        unknown, bare, inside = self.unknown, self.initial.get(""), self.branches(self.inner)
         score: list[float] = [0.0, bare[0] if bare else unknown]
         back: list[tuple[int, int]] = [(0, -1), (0, bare[1] if bare else -1)]  # start and piece of the best last step; -1: a character's bytes
+        active: list[list] = [[(0, self.branches(self.initial)), (1, inside)]]
         last = ""
         for word in words:
             shared, most = 0, min(len(word), len(last))
             while shared < most and word[shared] == last[shared]:
                 shared += 1
-            del score[shared + 2 :], back[shared + 2 :]
-            for end in range(shared + 1, len(word) + 1):
-                best, step = score[end] + unknown, (end, -1)
-                found = initial.get(word[:end]) if end <= longest else None
-                if found and found[0] >= best:
-                    best, step = found[0], (0, found[1])
-                for start in range(max(0, end - longest), end):
-                    found = inner.get(word[start:end])
-                    if found:
-                        total = score[start + 1] + found[0]
-                        if total > best or (total == best and step[1] == -1):
-                            best, step = total, (start + 1, found[1])
+            del score[shared + 2 :], back[shared + 2 :], active[shared + 1 :]
+            for k in range(shared, len(word)):
+                c, best, step, alive = word[k], -1e300, (k + 1, -1), []
+                for start, node in active[k]:
+                    node = node.get(c)
+                    if node is not None:
+                        alive.append((start, node))
+                        found = node.get("")
+                        if found is not None and score[start] + found[0] > best:
+                            best, step = score[start] + found[0], (start, found[1])
+                if score[k + 1] + unknown > best:
+                    best, step = score[k + 1] + unknown, (k + 1, -1)
+                alive.append((k + 2, inside))
                 score.append(best)
                 back.append(step)
+                active.append(alive)
             last = word
-            at, steps, n_bytes = len(word) + 1, [], 0
+            at, steps = len(word) + 1, []
             while at > 0:
                 start, piece = back[at]
                 if piece >= 0:
                     steps.append(piece)
                 else:
                     raw = (word[at - 2] if at > 1 else " ").encode("utf-8", "surrogateescape")
-                    steps.extend(self.of_byte[b] for b in reversed(raw))
-                    n_bytes += len(raw)
+                    steps.extend([self.of_byte[b] for b in reversed(raw)])
                 at = start
-            yield word, steps[::-1], n_bytes
+            yield word, steps[::-1]
 
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, int]]:
-        """Piece ids of each text and how many of them are bytes; an empty text has none."""
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Piece ids of each text; an empty text has none."""
         split = [t.split(" ") if t else [] for t in texts]
-        new = sorted(set(chain.from_iterable(split)).difference(self.known))
-        if len(self.known) + len(new) > REMEMBERED:
+        distinct = set(chain.from_iterable(split))
+        if len(self.known) + len(distinct) > REMEMBERED:
             self.known.clear()
-            new = sorted(set(chain.from_iterable(split)))
-        for word, ids, n_bytes in self.search(new):
-            self.known[word] = (np.array(ids, np.int32).tobytes(), n_bytes)
-        out = []
-        for words in split:
-            found = [self.known[w] for w in words]
-            out.append((np.frombuffer(b"".join([f[0] for f in found]), np.int32), sum([f[1] for f in found])))
-        return out
+        known = self.known
+        for word, ids in self.search(sorted(distinct.difference(known))):
+            known[word] = array("i", ids).tobytes()
+        return [np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32) for words in split]
 
     def decode(self, ids: list[int]) -> bytes:
         """The text of piece ids: marks become spaces, but for the first."""
-        return b"".join([self.piece_bytes[i] for i in ids])[1:]
+        return b"".join(map(self.piece_bytes.__getitem__, ids))[1:]
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], model: dict) -> Iterator[pa.RecordBatch]:
@@ -123,16 +135,15 @@ def _encoded(batches: Iterator[pa.RecordBatch], model: dict) -> Iterator[pa.Reco
     for batch in slices(batches):
         texts = [t or b"" for t in batch.column("text").to_pylist()]
         found = encoder.encode([t.decode("utf-8", "surrogateescape") for t in texts])
-        offsets = np.concatenate([[0], np.cumsum([len(ids) for ids, _ in found])]).astype(np.int32)
-        values = np.concatenate([ids for ids, _ in found]) if found else np.zeros(0, np.int32)
+        offsets = np.concatenate([[0], np.cumsum([len(ids) for ids in found])]).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
-                pa.ListArray.from_arrays(offsets, pa.array(values, pa.int32())),
-                pa.array([len(ids) for ids, _ in found], pa.int64()),
-                pa.array([n for _, n in found], pa.int64()),
-                pa.array([hashlib.sha256(ids.tobytes()).hexdigest() for ids, _ in found]),
-                pa.array([encoder.decode(ids.tolist()) == text for (ids, _), text in zip(found, texts, strict=True)]),
+                pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(found))),
+                pa.array([len(ids) for ids in found], pa.int64()),
+                pa.array([int(encoder.is_byte[ids].sum()) for ids in found], pa.int64()),
+                pa.array([hashlib.sha256(ids.tobytes()).hexdigest() for ids in found]),
+                pa.array([encoder.decode(ids.tolist()) == text for ids, text in zip(found, texts, strict=True)]),
             ],
             ["doc_id", "ids", "n_pieces", "n_bytes", "ids_sha256", "round_trip"],
         )

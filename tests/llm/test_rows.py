@@ -177,7 +177,7 @@ def test_pieces_are_the_best_and_come_back(spark):
     encoder = pieces.Encoder(model)
     texts = [d.text for docs in both(spark) for d in docs.select("text").collect() if d.text]
     words = sorted({w for t in texts for w in t.split(" ") if len(w) < 200})
-    for word, ids, n_bytes in encoder.search(words):
+    for word, ids in encoder.search(words):
         score = sum(max(model["scores"][i], encoder.unknown + pieces.UNKNOWN_PENALTY) for i in ids if i not in set(model["bytes"].values()))
         chars = len(bytes(b for i in ids for b in encoder.piece_bytes[i] if i in set(model["bytes"].values())).decode())
         assert score + chars * encoder.unknown == best_score(encoder, word), word
