@@ -1,6 +1,6 @@
 """Registered queries over the given tables, and the DuckDB SQL they are held against."""
 
-from . import aggregates, transforms
+from . import aggregates, technicals, transforms
 
-QUERIES = aggregates.QUERIES | transforms.QUERIES
-ORACLE_SQL = aggregates.ORACLE_SQL | transforms.ORACLE_SQL
+QUERIES = aggregates.QUERIES | transforms.QUERIES | technicals.QUERIES
+ORACLE_SQL = aggregates.ORACLE_SQL | transforms.ORACLE_SQL | technicals.ORACLE_SQL
