@@ -1,6 +1,6 @@
 """Registered queries over the given tables, and the DuckDB SQL they are held against."""
 
-from . import aggregates, technicals, transforms
+from . import aggregates, others, technicals, transforms
 
-QUERIES = aggregates.QUERIES | transforms.QUERIES | technicals.QUERIES
-ORACLE_SQL = aggregates.ORACLE_SQL | transforms.ORACLE_SQL | technicals.ORACLE_SQL
+QUERIES = aggregates.QUERIES | transforms.QUERIES | technicals.QUERIES | others.QUERIES
+ORACLE_SQL = aggregates.ORACLE_SQL | transforms.ORACLE_SQL | technicals.ORACLE_SQL | others.ORACLE_SQL
