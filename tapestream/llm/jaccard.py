@@ -30,6 +30,8 @@ BLOCK_SHINGLES = 6_000_000
 MOST_PAIRED = 256
 #: Work of one block of a tile: shingles, plus ROW_COST for each class.
 BLOCK_COST, ROW_COST = 2**18, 512
+#: Bits of the filter that finds the texts of candidates (a prime; 2 MB). More ids than that let more texts pass, no fewer.
+FILTER_BITS = 16_777_213
 #: Below this size each shingle is a bucket of its own.
 LEAST_BUCKETED = 64
 SKETCH = "doc_id long, n long, h1 long, h2 long, bitmap binary, sigs array<long>"
@@ -95,6 +97,11 @@ def signatures(hashes: np.ndarray, frequent: np.ndarray, percent: int) -> np.nda
     return np.concatenate(out).view(np.int64)
 
 
+def class_sums(hashes: np.ndarray) -> tuple[int, int]:
+    """Two sums over a set's hashes; sets with equal sums are equal but for a chance of 2**-128."""
+    return int(mixed(hashes + U(3)).sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(mixed(hashes + U(5))).view(np.int64))
+
+
 def bitmap(hashes: np.ndarray) -> np.ndarray:
     """One bit per shingle at its hash, in a power of two of bits, two per shingle at least (uint64 words)."""
     bits = max(512, 1 << (2 * len(hashes) - 1).bit_length()) if len(hashes) else 512
@@ -156,12 +163,9 @@ def _sketches(batches: Iterator[pa.RecordBatch], width: int, percent: int, frequ
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             hashes = shingler.of(text)
             sizes.append(len(hashes))
-            if len(hashes):
-                h1.append(int(mixed(hashes + U(3)).sum(dtype=np.uint64).view(np.int64)))
-                h2.append(int(np.bitwise_xor.reduce(mixed(hashes + U(5))).view(np.int64)))
-            else:  # a class of its own
-                h1.append(doc_id)
-                h2.append(0)
+            a, b = class_sums(hashes) if len(hashes) else (doc_id, 0)  # an empty set is a class of its own
+            h1.append(a)
+            h2.append(b)
             maps.append(bitmap(hashes).tobytes())
             sigs.append(signatures(hashes, frequent, percent))
         offsets = np.concatenate([[0], np.cumsum([len(s) for s in sigs])]).astype(np.int32)
@@ -181,14 +185,25 @@ def _bounded(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
 
-def _arrays(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Sorted shingle hashes of the classes' first documents; another row of the same id has another set and goes."""
+def id_filter(members: DataFrame) -> np.ndarray:
+    """Bits of the ids in ``members`` by their remainder: FILTER_BITS at most, whatever their number."""
+    at = F.pmod(F.col("rep"), F.lit(FILTER_BITS))
+    words = members.groupBy(F.floor(at / 32).cast("int").alias("word")).agg(F.bit_or(F.pow(F.lit(2.0), at % 32).cast("long")).alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 32 + 1, np.uint32)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().astype(np.uint32)
+    return out
+
+
+def _arrays(batches: Iterator[pa.RecordBatch], width: int, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Sorted shingle hashes of documents whose id passes the filter, with the two sums that name their class."""
     shingler = Shingler(width)
     for batch in slices(batches):
-        found = [shingler.of(t) for t in batch.column("text").to_pylist()]
-        own = [bool(len(h)) and int(mixed(h + U(3)).sum(dtype=np.uint64).view(np.int64)) == a and int(np.bitwise_xor.reduce(mixed(h + U(5))).view(np.int64)) == b for h, a, b in zip(found, batch.column("h1").to_pylist(), batch.column("h2").to_pylist(), strict=True)]
-        columns = [batch.column(k) for k in ("rep", "grp", "block", "n", "size", "others")] + [pa.array([h.tobytes() for h in found], pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, ["rep", "grp", "block", "n", "size", "others", "hashes"]).filter(pa.array(own, pa.bool_()))
+        at = np.array(batch.column("rep").to_pylist(), np.int64) % FILTER_BITS
+        chosen = batch.filter(pa.array((bits[at >> 5] >> (at & 31).astype(np.uint32) & np.uint32(1)).astype(bool)))
+        found = [shingler.of(t) for t in chosen.column("text").to_pylist()]
+        sums = [class_sums(h) if len(h) else (0, 0) for h in found]
+        columns = [chosen.column("rep"), pa.array([a for a, _ in sums], pa.int64()), pa.array([b for _, b in sums], pa.int64()), pa.array([h.tobytes() for h in found], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["rep", "h1", "h2", "hashes"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -283,9 +298,10 @@ def verified_links(documents: DataFrame, classes: DataFrame, groups: DataFrame,
     members = members.join(bounds, "grp")
     fits = F.filter("bounds", lambda o: (percent * F.col("n") <= 100 * o["most"]) & (percent * o["least"] <= 100 * F.col("n")))
     members = members.withColumn("others", F.transform(fits, lambda o: o["block"])).drop("bounds")
-    texts = documents.where("doc_id is not null").select(F.col("doc_id").alias("rep"), as_bytes("text")).join(members, "rep").select("text", "rep", "grp", "block", "n", "size", "others", "h1", "h2")
-    rows = texts.mapInArrow(lambda b: _arrays(b, width), "rep long, grp long, block int, n long, size long, others array<int>, hashes binary")
-    rows = rows.withColumn("other", F.explode("others")).drop("others")
+    bits = documents.sparkSession.sparkContext.broadcast(id_filter(members))
+    texts = documents.where("doc_id is not null").select(F.col("doc_id").alias("rep"), as_bytes("text"))
+    arrays = texts.mapInArrow(lambda b: _arrays(b, width, bits.value), "rep long, h1 long, h2 long, hashes binary")
+    rows = arrays.join(members, ["rep", "h1", "h2"]).withColumn("other", F.explode("others")).drop("others", "h1", "h2")
     rows = rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("other")
     tiles = rows.repartition("grp", "low", "high").sortWithinPartitions("grp", "low", "high")
     return tiles.mapInArrow(lambda b: _verified(b, percent), "a long, b long, links long")
