@@ -111,7 +111,7 @@ def bbands_func(frame: DataFrame, x: Column, out: str, window: int, up: float =
     """1 above the upper band, -1 below the lower one, 0 after the middle is crossed; signals against the sign of x end."""
     numbered = frame.withColumn("__row", F.row_number().over(ordered()) - 1)
     early = ordered().rowsBetween(Window.unboundedPreceding, 0)
-    warm, w = F.col("__row") < window - 1, rows(window)
+    warm, w = F.col("__row") < window, rows(window)
     # while warming up, row i uses its last i values: all rows but the first
     n, sum_, square = F.col("__row"), F.sum(x).over(early) - F.first(x).over(early), F.sum(x * x).over(early) - F.first(x * x).over(early)
     mean = F.when(warm, ratio(sum_, n)).otherwise(F.avg(x).over(w))

@@ -92,8 +92,8 @@ _HELD = f"last_value(c IGNORE NULLS) OVER {_O}"
 _MAS = f", m AS (SELECT *, {_ma(6)} AS m6, {_ma(12)} AS m12, {_ma(24)} AS m24 FROM {_R}), l AS (SELECT *, lag(m6) OVER {_O} AS l6, lag(m12) OVER {_O} AS l12, lag(m24) OVER {_O} AS l24 FROM m)"
 _add("MACDMa_func", {"window": 24}, _HELD, f"(SELECT *, CASE WHEN m12 < m24 AND l12 >= l24 THEN -1 WHEN m12 > m24 AND l12 <= l24 THEN 1 END AS c FROM l)", ctes=_MAS)
 _add("TripleMa_func", {"window": 24}, _HELD, "(SELECT *, CASE WHEN m6 < m24 AND m12 < m24 AND l6 >= l24 AND l12 >= l24 THEN -1 WHEN m6 > m24 AND m12 > m24 AND l6 <= l24 AND l12 <= l24 THEN 1 END AS c FROM l)", ctes=_MAS)
-_BANDS = f""", b AS (SELECT *, CASE WHEN i < 9 THEN (sum(x) OVER {_O} - first_value(x) OVER {_O}) / nullif(i, 0) ELSE avg(x) OVER {_rows(10)} END AS m0,
-  CASE WHEN i < 9 THEN sqrt(greatest(0, (sum(x * x) OVER {_O} - first_value(x * x) OVER {_O}) / nullif(i, 0) - ((sum(x) OVER {_O} - first_value(x) OVER {_O}) / nullif(i, 0)) ^ 2)) ELSE stddev_pop(x) OVER {_rows(10)} END AS d0 FROM {_R}
+_BANDS = f""", b AS (SELECT *, CASE WHEN i < 10 THEN (sum(x) OVER {_O} - first_value(x) OVER {_O}) / nullif(i, 0) ELSE avg(x) OVER {_rows(10)} END AS m0,
+  CASE WHEN i < 10 THEN sqrt(greatest(0, (sum(x * x) OVER {_O} - first_value(x * x) OVER {_O}) / nullif(i, 0) - ((sum(x) OVER {_O} - first_value(x) OVER {_O}) / nullif(i, 0)) ^ 2)) ELSE stddev_pop(x) OVER {_rows(10)} END AS d0 FROM {_R}
 ), e AS (SELECT *, CASE WHEN i >= 2 THEN m0 END AS m, CASE WHEN i >= 2 THEN d0 END AS d FROM b
 ), f AS (SELECT *, CASE WHEN x <= m - 2 * d THEN -1 WHEN x >= m + 2 * d THEN 1 END AS g FROM e
 ), h AS (SELECT *, last_value(g IGNORE NULLS) OVER {_O} AS st FROM f
