@@ -73,7 +73,7 @@ def long(table: DataFrame, key: str = "ts", names: str = "series") -> DataFrame:
     """Rows of (key, series, value) from a wide table; NaN becomes null."""
     values = [c for c in table.columns if c != key]
     typed = table.select(key, *(F.col(f"`{c}`").cast("double").alias(c) for c in values))
-    return typed.unpivot(key, values, names, "value").withColumn("value", F.nullif("value", F.lit(float("nan"))))
+    return typed.unpivot(key, [F.col(f"`{c}`") for c in values], names, "value").withColumn("value", F.nullif("value", F.lit(float("nan"))))
 
 
 def described(a: DataFrame, b: DataFrame) -> DataFrame:

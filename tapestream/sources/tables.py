@@ -95,7 +95,7 @@ def alerted(messages: DataFrame, ids: DataFrame) -> DataFrame:
 def positions(table: DataFrame, account: str) -> DataFrame:
     """acname, stockdate, symbol, position of a wide table with one column per symbol."""
     values = [c for c in table.columns if c != "stockdate"]
-    return table.select("stockdate", *(F.col(f"`{c}`").cast("double").alias(c) for c in values)).unpivot("stockdate", values, "symbol", "position").select(F.lit(account).alias("acname"), "stockdate", "symbol", "position")
+    return table.select("stockdate", *(F.col(f"`{c}`").cast("double").alias(c) for c in values)).unpivot("stockdate", [F.col(f"`{c}`") for c in values], "symbol", "position").select(F.lit(account).alias("acname"), "stockdate", "symbol", "position")
 
 
 def with_positions(held: DataFrame, new: DataFrame) -> DataFrame:
