@@ -132,3 +132,36 @@ def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         *(f"fails_{name}" for name in rules()), F.round("host_rate", 6).alias("host_rate"), "host_rejected",
     )
+
+
+OP1_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, source AS host, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i+2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM docs WHERE len(w) >= 3)
+), repeats AS (
+  SELECT doc_id, count(DISTINCT pos) AS n FROM (
+    SELECT doc_id, unnest([i, i + 1, i + 2]) AS pos FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS k FROM windows) WHERE k > 1) GROUP BY doc_id
+), features AS (
+  SELECT d.doc_id, host, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+         len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS n_dup_lines,
+         coalesce(n, 0)::BIGINT AS n_repeat_words
+  FROM docs d LEFT JOIN repeats r ON r.doc_id = d.doc_id
+), flagged AS (
+  SELECT *, n_words < 50 AS fails_short, 100 * n_repeat_words > 50 * n_words AS fails_repeats, 10 * n_symbols > n_words AS fails_symbols,
+         n_dup_lines >= 3 AND 10 * n_dup_lines > n_words / 10 AS fails_dup_lines, word_chars < 2 * n_words OR word_chars > 15 * n_words AS fails_word_length FROM features
+), hosts AS (
+  SELECT host, count(*) AS n_docs, count(*) FILTER (fails_short OR fails_repeats OR fails_symbols OR fails_dup_lines OR fails_word_length) AS n_failed FROM flagged GROUP BY host
+), moments AS (
+  SELECT least(greatest(sum(n_failed) / sum(n_docs), 1e-3), 1 - 1e-3) AS m, coalesce(var_samp(n_failed / n_docs), 0) AS v, avg(1 / n_docs) AS r FROM hosts
+), prior AS (
+  SELECT m, least(greatest(m * (1 - m) / greatest(v - m * (1 - m) * r, 1e-6) - 1, 1), 1e4) AS s FROM moments
+), rated AS (
+  SELECT host AS of_host, (n_failed + m * s) / (n_docs + s) AS rate FROM hosts, prior
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words, fails_short OR fails_repeats AS base_failed,
+       NOT (fails_short OR fails_repeats) AND rate < 0.75 AS kept, fails_short, fails_repeats, fails_symbols, fails_dup_lines, fails_word_length,
+       round(rate, 6) AS host_rate, rate >= 0.75 AS host_rejected
+FROM flagged JOIN rated ON host IS NOT DISTINCT FROM of_host
+"""

@@ -15,4 +15,4 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
-ORACLE_SQL = {"op3_ngram_jaccard": jaccard.OP3_SQL, "op4_source_mixing": mixing.OP4_SQL, "op9_embedding_dedup": vectors.OP9_SQL}
+ORACLE_SQL = {"op1_quality_rules": quality.OP1_SQL, "op3_ngram_jaccard": jaccard.OP3_SQL, "op4_source_mixing": mixing.OP4_SQL, "op9_embedding_dedup": vectors.OP9_SQL}

@@ -115,10 +115,10 @@ def learn(documents: DataFrame, labels: DataFrame, most: int = MAX_TRAIN_ROWS) -
     return float(values[at < 0][0]), weights
 
 
-def score(documents: DataFrame, model: tuple[float, np.ndarray] | None) -> DataFrame:
-    """All columns of ``documents`` and ``toxicity`` (0 to 1); without a model it is 0. A null or empty text gets the bias alone."""
+def score(documents: DataFrame, model: tuple[float, np.ndarray] | None, column: str = "toxicity") -> DataFrame:
+    """All columns of ``documents`` and the score (0 to 1) as ``column``; without a model it is 0. A null or empty text gets the bias alone."""
     if model is None:
-        return documents.withColumn("toxicity", F.lit(0.0))
+        return documents.withColumn(column, F.lit(0.0))
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -134,7 +134,7 @@ def score(documents: DataFrame, model: tuple[float, np.ndarray] | None) -> DataF
             out.append(1 / (1 + np.exp(-np.clip(bias + sums, -35, 35))))
         return pd.Series(np.concatenate(out) if out else [], dtype="float64")
 
-    return documents.withColumn("toxicity", scored(F.col("text").cast("binary")))
+    return documents.withColumn(column, scored(F.col("text").cast("binary")))
 
 
 def toxicity(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most: int = MAX_TRAIN_ROWS) -> DataFrame:
