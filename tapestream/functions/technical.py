@@ -127,6 +127,8 @@ def bbands_func(frame: DataFrame, x: Column, out: str, window: int, up: float =
 
 
 def _crossings(short: Column, long: Column) -> tuple[Column, Column]:
+    """Crosses upwards and downwards; averages of the same rows count as equal however they were summed."""
+    short, long = F.round(short, 9), F.round(long, 9)
     s, l_ = F.lag(short).over(ordered()), F.lag(long).over(ordered())
     return (short > long) & (s <= l_), (short < long) & (s >= l_)
 

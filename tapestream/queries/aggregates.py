@@ -119,16 +119,13 @@ def _weighted(weights, reduce="avg({x} * weight)", where=""):
 _WMEAN = "sum(weight * {x}) / nullif(sum(weight) FILTER ({x} IS NOT NULL), 0)"
 
 
-#: Amounts are shown in another currency: averages of cents lie on ties of a rounding too often.
-_RATE = 0.7182818
-
 
 def _rounded(df, digits=6):
     return df.select("ts", "series", F.round("value", digits).alias("value"))
 
 
 def _amount(column, digits=3):
-    return F.round(F.col(column) * _RATE, digits).alias(column)
+    return F.round(F.col(column) * p.RATE, digits).alias(column)
 
 
 def _agg(name, make, sql):
@@ -155,11 +152,11 @@ def _stock_mean(weights):
 for _d, _n in _depths((0, 1, "all"), "avg_imb"):
     _agg(_n, lambda ind, s, _, d=_d: _rounded(aggregate.avg_imb(ind, s, depth=d)), _final(_weighted(_RANGE[_d])))
 for _d, _n in _depths((0, 1, "all"), "avg_side"):
-    _agg(_n, lambda ind, s, _, d=_d: aggregate.avg_side(ind, s, depth=d).select("ts", "series", _amount("bid"), _amount("ask")), f"SELECT ts, series, round(bid * {_RATE}::DOUBLE, 3) + 0.0 AS bid, round(ask * {_RATE}::DOUBLE, 3) + 0.0 AS ask FROM ({_weighted(_RANGE[_d])})")
+    _agg(_n, lambda ind, s, _, d=_d: aggregate.avg_side(ind, s, depth=d).select("ts", "series", _amount("bid"), _amount("ask")), f"SELECT ts, series, round(bid * {p.RATE}::DOUBLE, 3) + 0.0 AS bid, round(ask * {p.RATE}::DOUBLE, 3) + 0.0 AS ask FROM ({_weighted(_RANGE[_d])})")
 for _x, _c in (("SH", "IN ('A', 'C')"), ("SZ", "NOT IN ('A', 'C')")):
     _agg(f"avg_imb_{_x.lower()}", lambda ind, s, _, x=_x: _rounded(aggregate.avg_imb(ind, s, exchange=x)), _final(_weighted(_RANGE[0], where=f"WHERE weekly.symbol[1] {_c}")))
 for _i, _q in (("imb06", "ask - bid"), ("imb08", "(ask + bid) / 2")):
-    _agg(f"avg_{_i}", lambda ind, s, _, i=_i: aggregate.avg_imb(ind, s, i).select("ts", "series", _amount("value")), _final(_weighted(_RANGE[0]), f"({_q}) * {_RATE}::DOUBLE", 3))
+    _agg(f"avg_{_i}", lambda ind, s, _, i=_i: aggregate.avg_imb(ind, s, i).select("ts", "series", _amount("value")), _final(_weighted(_RANGE[0]), f"({_q}) * {p.RATE}::DOUBLE", 3))
 for _d, _n in _depths((0, 1, "all"), "sum_imb"):
     _agg(_n, lambda ind, s, _, d=_d: _rounded(aggregate.sum_imb(ind, s, depth=d)), _final(_weighted(_RANGE[_d], "coalesce(sum({x} * weight), 0)")))
 _agg("wavg_imb", lambda ind, s, _: _rounded(aggregate.wavg_imb(ind, s)), _final(_weighted("SELECT * FROM w", _WMEAN)))

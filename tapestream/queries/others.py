@@ -84,14 +84,14 @@ _add("calendar_round_up", lambda s, d: p.table(s, d, "events").select("event_id"
 
 
 def _points(s, d):
-    return p.table(s, d, "events").select(F.col("event_type").alias("series"), "ts", F.col("value").cast("double").alias("value"))
+    return p.table(s, d, "events").select(F.col("event_type").alias("series"), "ts", (F.col("value").cast("double") * p.RATE).alias("value"))
 
 
-_add("resample_right", lambda s, d: _value(calendar.resample_right(_points(s, d), "15min")), "SELECT event_type AS series, make_timestamp((ceil(epoch_us(ts) / 900000000) * 900000000)::BIGINT) AS ts, round(avg(value::DOUBLE), 6) AS value FROM events GROUP BY 1, 2")
-_add("resample_left", lambda s, d: _value(calendar.resample_left(_points(s, d), "30min")), "SELECT event_type AS series, time_bucket(INTERVAL 30 MINUTES, ts)::TIMESTAMP AS ts, round(avg(value::DOUBLE), 6) AS value FROM events GROUP BY 1, 2")
-_add("resample_as_frequency", lambda s, d: _value(calendar.as_frequency(calendar.resample_left(_points(s, d), "30min"), "30min")), "WITH r AS (SELECT event_type AS series, time_bucket(INTERVAL 30 MINUTES, ts)::TIMESTAMP AS ts, avg(value::DOUBLE) AS v FROM events GROUP BY 1, 2), g AS (SELECT series, unnest(generate_series(min(ts), max(ts), INTERVAL 30 MINUTES)) AS ts FROM r GROUP BY series) SELECT g.series, g.ts, round(v, 6) AS value FROM g LEFT JOIN r USING (series, ts)")
-_add("resample_by_period", lambda s, d: _value(calendar.by_period(p.table(s, d, "orders").select(F.col("o_orderstatus").alias("series"), F.col("o_orderdate").cast("timestamp_ntz").alias("ts"), F.col("o_totalprice").cast("double").alias("value")), "month"), 4), "SELECT o_orderstatus AS series, date_trunc('month', o_orderdate)::TIMESTAMP AS ts, round(avg(o_totalprice::DOUBLE), 4) AS value FROM orders GROUP BY 1, 2")
-_add("resample_intraday_profile", lambda s, d: _value(calendar.intraday_profile(_points(s, d))), "SELECT event_type AS series, year(ts)::INT AS year, strftime(ts, '%H:%M') AS minute, round(avg(value::DOUBLE), 6) AS value FROM events GROUP BY 1, 2, 3")
+_add("resample_right", lambda s, d: _value(calendar.resample_right(_points(s, d), "15min")), f"SELECT event_type AS series, make_timestamp((ceil(epoch_us(ts) / 900000000) * 900000000)::BIGINT) AS ts, round(avg(value::DOUBLE * {p.RATE}::DOUBLE), 6) AS value FROM events GROUP BY 1, 2")
+_add("resample_left", lambda s, d: _value(calendar.resample_left(_points(s, d), "30min")), f"SELECT event_type AS series, time_bucket(INTERVAL 30 MINUTES, ts)::TIMESTAMP AS ts, round(avg(value::DOUBLE * {p.RATE}::DOUBLE), 6) AS value FROM events GROUP BY 1, 2")
+_add("resample_as_frequency", lambda s, d: _value(calendar.as_frequency(calendar.resample_left(_points(s, d), "30min"), "30min")), f"WITH r AS (SELECT event_type AS series, time_bucket(INTERVAL 30 MINUTES, ts)::TIMESTAMP AS ts, avg(value::DOUBLE * {p.RATE}::DOUBLE) AS v FROM events GROUP BY 1, 2), g AS (SELECT series, unnest(generate_series(min(ts), max(ts), INTERVAL 30 MINUTES)) AS ts FROM r GROUP BY series) SELECT g.series, g.ts, round(v, 6) AS value FROM g LEFT JOIN r USING (series, ts)")
+_add("resample_by_period", lambda s, d: _value(calendar.by_period(p.table(s, d, "orders").select(F.col("o_orderstatus").alias("series"), F.col("o_orderdate").cast("timestamp_ntz").alias("ts"), (F.col("o_totalprice").cast("double") * p.RATE).alias("value")), "month"), 4), f"SELECT o_orderstatus AS series, date_trunc('month', o_orderdate)::TIMESTAMP AS ts, round(avg(o_totalprice::DOUBLE * {p.RATE}::DOUBLE), 4) AS value FROM orders GROUP BY 1, 2")
+_add("resample_intraday_profile", lambda s, d: _value(calendar.intraday_profile(_points(s, d))), f"SELECT event_type AS series, year(ts)::INT AS year, strftime(ts, '%H:%M') AS minute, round(avg(value::DOUBLE * {p.RATE}::DOUBLE), 6) AS value FROM events GROUP BY 1, 2, 3")
 
 # Weights: regions are indexes, nations their constituents, with an effective date each quarter.
 

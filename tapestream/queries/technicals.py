@@ -17,15 +17,15 @@ def prices(spark, sf_dir):
     from pyspark.sql import Window
 
     events = p.table(spark, sf_dir, "events")
-    known = events.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts"), F.col("event_type").alias("series")).agg(F.avg(F.col("value").cast("double")).alias("v"), F.count("*").cast("double").alias("n"))
+    known = events.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts"), F.col("event_type").alias("series")).agg(F.avg(F.col("value").cast("double") * p.RATE).alias("v"), F.count("*").cast("double").alias("n"))
     grid = known.select("ts").distinct().crossJoin(F.broadcast(known.select("series").distinct()))  # five types
     so_far = Window.partitionBy("series").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     rows = grid.join(known, ["ts", "series"], "left")
     return rows.select("series", "ts", F.last("v", ignorenulls=True).over(so_far).alias("value"), F.last("n", ignorenulls=True).over(so_far).alias("other")).where("value is not null")
 
 
-PRICES = """known AS (
-  SELECT date_trunc('hour', ts)::TIMESTAMP AS ts, event_type AS series, avg(value::DOUBLE) AS v, count(*)::DOUBLE AS n FROM events GROUP BY 1, 2
+PRICES = f"""known AS (
+  SELECT date_trunc('hour', ts)::TIMESTAMP AS ts, event_type AS series, avg(value::DOUBLE * {p.RATE}::DOUBLE) AS v, count(*)::DOUBLE AS n FROM events GROUP BY 1, 2
 ), grid AS (
   SELECT g.ts, g.series, v, n FROM (SELECT * FROM (SELECT DISTINCT ts FROM known), (SELECT DISTINCT series FROM known)) g LEFT JOIN known k ON k.ts = g.ts AND k.series = g.series
 ), s AS (
@@ -89,7 +89,7 @@ def _ma(n):
 
 _add("ma_func", _n, _ma(10))
 _HELD = f"last_value(c IGNORE NULLS) OVER {_O}"
-_MAS = f", m AS (SELECT *, {_ma(6)} AS m6, {_ma(12)} AS m12, {_ma(24)} AS m24 FROM {_R}), l AS (SELECT *, lag(m6) OVER {_O} AS l6, lag(m12) OVER {_O} AS l12, lag(m24) OVER {_O} AS l24 FROM m)"
+_MAS = f", m AS (SELECT *, round({_ma(6)}, 9) AS m6, round({_ma(12)}, 9) AS m12, round({_ma(24)}, 9) AS m24 FROM {_R}), l AS (SELECT *, lag(m6) OVER {_O} AS l6, lag(m12) OVER {_O} AS l12, lag(m24) OVER {_O} AS l24 FROM m)"
 _add("MACDMa_func", {"window": 24}, _HELD, f"(SELECT *, CASE WHEN m12 < m24 AND l12 >= l24 THEN -1 WHEN m12 > m24 AND l12 <= l24 THEN 1 END AS c FROM l)", ctes=_MAS)
 _add("TripleMa_func", {"window": 24}, _HELD, "(SELECT *, CASE WHEN m6 < m24 AND m12 < m24 AND l6 >= l24 AND l12 >= l24 THEN -1 WHEN m6 > m24 AND m12 > m24 AND l6 <= l24 AND l12 <= l24 THEN 1 END AS c FROM l)", ctes=_MAS)
 _BANDS = f""", b AS (SELECT *, CASE WHEN i < 10 THEN (sum(x) OVER {_O} - first_value(x) OVER {_O}) / nullif(i, 0) ELSE avg(x) OVER {_rows(10)} END AS m0,
