@@ -96,3 +96,20 @@ def histogram(rows: DataFrame, group: str, value: str, bins: int = 20) -> DataFr
     width = (F.col("hi") - F.col("lo")) / bins
     binned = rows.crossJoin(F.broadcast(ends)).withColumn("bin", F.when(width > 0, F.least(F.floor((F.col(value) - F.col("lo")) / width), F.lit(bins - 1))).otherwise(0).cast("int"))  # one row
     return binned.where(F.col(value).isNotNull()).groupBy(group, "bin").agg(F.count("*").alias("n"))
+
+
+def named_like(rows: DataFrame, column: str, pattern: str, unlike: str | None = None) -> DataFrame:
+    """Rows whose name matches a pattern and not another."""
+    found = rows.where(F.col(column).rlike(pattern))
+    return found if unlike is None else found.where(~F.col(column).rlike(unlike))
+
+
+def pattern_counts(rows: DataFrame, column: str, pattern: str) -> DataFrame:
+    """How many rows have each first match of ``pattern`` in a column; rows without one aren't counted."""
+    return rows.select(F.regexp_extract(column, pattern, 0).alias("match")).where("match <> ''").groupBy("match").agg(F.count("*").alias("n"))
+
+
+def peaks(factor: DataFrame) -> DataFrame:
+    """Each series' largest value and its first time."""
+    best = F.max_by(F.struct("ts", "value"), F.struct(F.col("value"), -F.unix_micros(F.col("ts").cast("timestamp"))))
+    return factor.where("value is not null").groupBy("series").agg(best.alias("p")).select("series", "p.ts", "p.value")

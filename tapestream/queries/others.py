@@ -52,6 +52,10 @@ _add("align_described", lambda s, d: align.described(p.series(s, d), TRANSFORMS[
 _add("align_priced", lambda s, d: _value(align.priced(p.series(s, d), p.hourly(s, d).select("ts", F.concat(F.lit("F_"), "symbol").alias("series"), F.round("bid", 4).alias("price")), {t: f"F_{t}" for t in _TYPES})), f"WITH {p.SERIES} SELECT h.ts, 'F_' || symbol AS instrument, round(bid, 4) AS price, round(x, 6) + 0.0 AS value FROM hourly h LEFT JOIN s ON s.ts = h.ts AND s.series = h.symbol AND s.series IN ({', '.join(repr(t) for t in _TYPES)})")
 _add("align_histogram", lambda s, d: align.histogram(p.table(s, d, "events"), "event_type", "value", 8), "WITH e AS (SELECT min(value) AS lo, max(value) AS hi FROM events) SELECT event_type, least(floor((value - lo) / ((hi - lo) / 8)), 7)::INT AS bin, count(*) AS n FROM events, e GROUP BY 1, 2")
 
+_add("align_named_like", lambda s, d: align.named_like(p.table(s, d, "part"), "p_type", "^S.*", "BRASS|COPPER").select("p_partkey", "p_type"), "SELECT p_partkey, p_type FROM part WHERE regexp_matches(p_type, '^S.*') AND NOT regexp_matches(p_type, 'BRASS|COPPER')")
+_add("align_pattern_counts", lambda s, d: align.pattern_counts(p.table(s, d, "customer"), "c_name", "0[0-9]$"), "SELECT regexp_extract(c_name, '0[0-9]$') AS match, count(*) AS n FROM customer WHERE regexp_matches(c_name, '0[0-9]$') GROUP BY 1")
+_add("align_peaks", lambda s, d: _value(align.peaks(p.series(s, d))).select("series", "ts", "value"), f"WITH {p.SERIES}, k AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY x DESC, ts) AS k FROM s WHERE x IS NOT NULL) SELECT series, ts, round(x, 6) + 0.0 AS value FROM k WHERE k = 1")
+
 # Calendar: the trading days are those on which orders were placed and whose number isn't a multiple of 3.
 
 

@@ -116,14 +116,37 @@ _UP = " + ".join(f"greatest(coalesce({c}, 0), 0)" for c in "abc")
 _DOWN = " + ".join(f"greatest(-coalesce({c}, 0), 0)" for c in "abc")
 _add("termtrend_plr", {"window": 48, "tfunc": "slope_func"}, f"(({_UP}) - ({_DOWN})) / nullif(({_UP}) + ({_DOWN}), 0)", "t", ctes=_T)
 
+_ALL = technical.ffd_weights(0.4)
+
+
+def _ffd_all(shift):
+    w = _ALL[shift:]
+    return f"CASE WHEN i >= 10 THEN list_dot_product(list_reverse(list(x) OVER {_rows(len(w))}), ({w}::DOUBLE[])[1:least(i + 1, {len(w)})]) END AS f{shift}"
+
+
+_FS = f", f AS (SELECT *, {_ffd_all(0)}, {_ffd_all(1)}, {_ffd_all(10)} FROM {_R})"
+_MEAN5 = "CASE WHEN count({0}) OVER w >= 5 THEN avg({0}) OVER w END"
+_add("fracdiff_ma", {"d": 0.4, "window": 5}, _MEAN5.format("f0"), "f", {"w": _rows(5)}, _FS)
+_add("fracdiff_rev", {"d": 0.4, "window": 5}, "-" + f"({_MEAN5.format('f1')})", "f", {"w": _rows(5)}, _FS)
+_add("fracdiff_marev", {"d": 0.4, "window": 5}, f"({_MEAN5.format('f0')}) - 2 * f1 + f10", "f", {"w": _rows(5)}, _FS)
+
+
+def _ewm(span):
+    """Of a list ``a`` of the values so far, none of them null."""
+    keep = 1 - 2 / (span + 1)
+    return f"list_sum(list_transform(range(1, len(a) + 1), lambda k: a[k] * pow({keep!r}::DOUBLE, len(a) - k))) / list_sum(list_transform(range(0, len(a)), lambda k: pow({keep!r}::DOUBLE, k)))"
+
+
+_add("ewma", {"span": 8}, _ewm(8), f"(SELECT *, list(x) OVER {_O} AS a FROM s)")
+_add("intraEwma", {"span": 4}, _ewm(4), "(SELECT *, list(x) OVER (PARTITION BY series, ts::DATE ORDER BY ts) AS a FROM s)")
+
 # Those with a state, and families of them: no SQL; tests compare them with plain loops.
 for _name, _parameters in {
-    "ewma": {"span": 8}, "intraEwma": {"span": 4}, "lowFreqEnergyRatio": {"window": 16, "cutoff_freq": 0.1}, "phaseTimesMagnitude": {"window": 16, "cutoff_freq": 0.1},
+    "lowFreqEnergyRatio": {"window": 16, "cutoff_freq": 0.1}, "phaseTimesMagnitude": {"window": 16, "cutoff_freq": 0.1},
     "lowFreqEnergyRatio_x_slope": {"window": 16, "cutoff_freq": 0.002}, "lowFreqEnergyRatio_x_slpsign": {"window": 16, "cutoff_freq": 0.002},
     "lowFreqWithPosTrend": {"fft_window": 16, "pos_window": "3d", "freq_cutoff": 0.1},
     "ema_func": _n, "dema_func": _n, "t3_func": {"window": 4}, "kama_func": _n, "rsi_func": _n, "cmo_func": _n, "macd_func": {"window": 12}, "htTrendline_func": _n,
     "DoubleMa_func": {"window": 24}, "MACDEma_func": {"window": 24}, "DoubleEma_func": {"window": 24}, "TripleEma_func": {"window": 24}, "MACDKama_func": {"window": 24}, "DoubleKama_func": {"window": 24}, "TripleKama_func": {"window": 24},
-    "fracdiff_ma": {"d": 0.4, "window": 5}, "fracdiff_rev": {"d": 0.4, "window": 5}, "fracdiff_marev": {"d": 0.4, "window": 5},
     "termtrend_revadd": {"window": 48, "tfunc": "slope_func", "bars_a_day": 24}, "termtrend_revwinr": {"window": 48, "tfunc": "slope_func", "bars_a_day": 24}, "termtrend_revplr": {"window": 48, "tfunc": "slope_func", "bars_a_day": 24},
 }.items():
     _add(_name, _parameters)
