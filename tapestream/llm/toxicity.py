@@ -21,6 +21,8 @@ from .text import WordHashes, as_bytes, mixed, slices
 BITS = 20
 #: A stem is a word's first bytes; stems stand for unseen inflections.
 STEM = 5
+#: Text hashed at once; its features take some fifty times as much memory.
+SLICE_BYTES = 1_000_000
 #: Labelled rows to learn from at most (about; chosen by hash).
 MAX_TRAIN_ROWS = 20_000
 ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 3.0, 0.1, 3
@@ -31,7 +33,7 @@ class Hasher:
     """Feature numbers of words, stems, bigrams and one-word skip-grams."""
 
     def __init__(self) -> None:
-        self.words, self.stems = WordHashes(), WordHashes(200_000)
+        self.words, self.stems = WordHashes(200_000), WordHashes(100_000)
 
     def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Documents (positions in ``texts``) and features, repeats included."""
@@ -50,7 +52,7 @@ class Hasher:
 
 def _feature_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher = Hasher()
-    for batch in slices(batches):
+    for batch in slices(batches, most_bytes=SLICE_BYTES):
         docs, features = hasher.of([t or b"" for t in batch.column("text").to_pylist()])
         keys = np.unique((docs << BITS) | features)
         bounds = np.searchsorted(keys, np.arange(len(batch) + 1) << BITS)
@@ -126,7 +128,7 @@ def score(documents: DataFrame, model: tuple[float, np.ndarray] | None, column:
         bias, weights = shared.value
         hasher, out = Hasher(), []
         text = pa.array(texts, pa.binary())
-        for part in slices(iter([pa.RecordBatch.from_arrays([text], ["text"])])):
+        for part in slices(iter([pa.RecordBatch.from_arrays([text], ["text"])]), most_bytes=SLICE_BYTES):
             docs, features = hasher.of([t or b"" for t in part.column("text").to_pylist()])
             used = weights[features] != 0
             keys = np.unique((docs[used] << BITS) | features[used])
