@@ -3,7 +3,9 @@
 Documents that share lines are paired, each pair is aligned with patience diff, and the aligned
 common blocks go from the later document (the larger id). Rare lines pair all their holders; a
 frequent line pairs each holder with its first one only, so a line that a third of all documents
-hold costs one pair for each of them and no holder is left out.
+hold costs one pair for each of them and no holder is left out. What an alignment leaves out because
+it crosses or repeats is found by the pair's matching statistics, so a later document keeps no common
+run of a pair.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate, groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,6 +26,8 @@ from .text import word_count
 RARE = 6
 #: Lines of fewer words propose no pairs; blocks of fewer words stay.
 MIN_LINE_WORDS, MIN_BLOCK_WORDS = 4, 8
+#: Rows that are Python lists at a time; changes no result.
+SLICE = 256
 
 
 def anchors(a: list, b: list) -> list[tuple[int, int]]:
@@ -83,12 +88,71 @@ def blocks(pairs: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
+def automaton(a: list) -> tuple[list[dict], list[int], list[int]]:
+    """Suffix automaton of a list: following states, links and lengths of its states."""
+    following, link, length, last = [{}], [-1], [0], 0
+    for x in a:
+        state, above = len(link), last
+        following.append({})
+        link.append(0)
+        length.append(length[last] + 1)
+        while above >= 0 and x not in following[above]:
+            following[above][x] = state
+            above = link[above]
+        if above >= 0:
+            child = following[above][x]
+            if length[child] > length[above] + 1:
+                copy = len(link)
+                following.append(dict(following[child]))
+                link.append(link[child])
+                length.append(length[above] + 1)
+                link[child] = copy
+                while above >= 0 and following[above].get(x) == child:
+                    following[above][x] = copy
+                    above = link[above]
+                child = copy
+            link[state] = child
+        last = state
+    return following, link, length
+
+
+def repeats(a: list, b: list, words: list[int]) -> list[int]:
+    """Positions in b of all runs of lines with enough words that stand in a as well, in whatever order and however often."""
+    shared = set(a) & set(b)
+    following, link, length = automaton([x if x in shared else None for x in a])
+    before = [0, *accumulate(words)]
+    out: list[int] = []
+    state = held = done = 0
+    for j, x in enumerate(b):
+        while state and x not in following[state]:
+            state = link[state]
+            held = length[state]
+        state, held = (following[state][x], held + 1) if x in following[state] else (0, 0)
+        first = j + 1 - held  # of the longest run up to here; never falls
+        if before[j + 1] - before[first] >= MIN_BLOCK_WORDS:
+            out.extend(range(max(first, done), j + 1))
+            done = j + 1
+    return out
+
+
+def removed(a: list, b: list, words: list[int]) -> list[int]:
+    """Positions that b loses to a: the aligned blocks, and the common runs that one rising alignment leaves out (crossing or repeated lines)."""
+    gone = {j for block in blocks(patience(a, b)) if sum(words[j] for j in block) >= MIN_BLOCK_WORDS for j in block}
+    known = set(a)
+    for common, run in groupby(range(len(b)), lambda j: b[j] in known):
+        at = list(run) if common else []
+        if sum(words[j] for j in at) >= MIN_BLOCK_WORDS and not gone.issuperset(at):
+            gone.update(repeats(a, b, words))
+            break
+    return sorted(gone)
+
+
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        gone = []
-        for a, b, words in zip(*(batch.column(k).to_pylist() for k in ("a_lines", "b_lines", "b_words")), strict=True):
-            gone.append([j for block in blocks(patience(a, b)) if sum(words[j] for j in block) >= MIN_BLOCK_WORDS for j in block])
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("version"), pa.array(gone, pa.list_(pa.int32()))], ["doc_id", "version", "gone"])
+    for whole in batches:
+        for start in range(0, whole.num_rows, SLICE):
+            batch = whole.slice(start, SLICE)
+            gone = [removed(a, b, words) for a, b, words in zip(*(batch.column(k).to_pylist() for k in ("a_lines", "b_lines", "b_words")), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("version"), pa.array(gone, pa.list_(pa.int32()))], ["doc_id", "version", "gone"])
 
 
 def version(text: Column) -> Column:

@@ -140,6 +140,31 @@ def test_line_dedup(spark):
     assert lines.without_repeats(documents(spark)).count() == documents(spark).count()
 
 
+def brute_lines(table):
+    """Lines that stay in each document: all but the runs of 8 words or more that an earlier document has as a run."""
+    held = [(i, t.split("\n")) for i, t in table]
+    left = {}
+    for k, (i, b) in enumerate(held):
+        gone = set()
+        for s, e in itertools.combinations(range(len(b) + 1), 2):
+            if sum(len(WORD.findall(x)) for x in b[s:e]) >= 8 and any(b[s:e] == a[p : p + e - s] for _, a in held[:k] for p in range(len(a))):
+                gone |= set(range(s, e))
+        left[i] = "\n".join(x for j, x in enumerate(b) if j not in gone)
+    return left
+
+
+def test_line_dedup_leaves_no_crossing_or_repeated_line(spark):
+    p = [" ".join(f"p{i}w{k}" for k in range(9)) for i in range(12)]
+    own = lambda i: " ".join(f"own{i}w{k}" for k in range(9))
+    table = [(1, "\n".join([*p[:6], own(1)])), (2, "\n".join([own(2), *p[5::-1]])), (3, "\n".join([p[2], own(3), p[2], p[0]]))]
+    table += [(10, "\n".join([p[6], own(10), p[6], p[7]])), (11, "\n".join([p[7], own(11), p[6]]))]
+    random.seed(8)
+    table += [(20 + i, "\n".join([own(20 + i), *random.choices(p, k=7), own(120 + i)])) for i in range(20)]
+    found = {r.doc_id: r.text for r in lines.without_repeats(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    assert found == brute_lines(table)
+    assert found[2] == own(2) and found[11] == own(11)
+
+
 def test_vectors(spark, monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK", 7)  # several tiles in a list
     rng = np.random.default_rng(4)
