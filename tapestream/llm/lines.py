@@ -1,11 +1,14 @@
 """Line dedup by pairwise alignment.
 
-Documents that share lines are paired, each pair is aligned with patience diff, and the aligned
-common blocks go from the later document (the larger id). Rare lines pair all their holders; a
-frequent line pairs each holder with its first one only, so a line that a third of all documents
-hold costs one pair for each of them and no holder is left out. What an alignment leaves out because
-it crosses or repeats is found by the pair's matching statistics, so a later document keeps no common
-run of a pair.
+Documents that share a run of lines are paired, each pair is aligned with patience diff, and the
+aligned common blocks go from the later document (the larger id). What an alignment leaves out
+because it crosses or repeats is found by the pair's matching statistics, so a later document keeps
+no common run of a pair.
+
+Pairs are proposed by a document's shortest runs of lines with enough words to go (one line, if it is
+long): each holder of a run is paired with the first one, so a run that a third of all documents hold
+costs one pair for each of them. No other pair is needed: the shortest runs within a common run cover
+it, and each goes in the pair with its own first holder.
 """
 
 from __future__ import annotations
@@ -22,10 +25,10 @@ from pyspark.sql import functions as F
 from .runtime import written
 from .text import word_count
 
-#: A line of at most this many documents is rare.
-RARE = 6
-#: Lines of fewer words propose no pairs; blocks of fewer words stay.
-MIN_LINE_WORDS, MIN_BLOCK_WORDS = 4, 8
+#: Blocks of fewer words stay.
+MIN_BLOCK_WORDS = 8
+#: Of the runs' polynomial hashes.
+PRIME, FACTOR = 2**127 - 1, 0x5851F42D4C957F2D14057B7EF767814F
 #: Rows that are Python lists at a time; changes no result.
 SLICE = 256
 
@@ -147,6 +150,41 @@ def removed(a: list, b: list, words: list[int]) -> list[int]:
     return sorted(gone)
 
 
+def shortest_runs(lines: list[bytes], words: list[int]) -> set[bytes]:
+    """Hashes of the shortest runs with enough words from each line on and up to each line.
+
+    Within any run of enough words, those of its shortest runs that begin or end at its lines cover all of it.
+    """
+    before, sums, powers = [0, *accumulate(words)], [0], [1]
+    for x in lines:
+        sums.append((sums[-1] * FACTOR + int.from_bytes(x, "big") + 1) % PRIME)
+        powers.append(powers[-1] * FACTOR % PRIME)
+    places, end, start = set(), 0, 0
+    for i in range(len(lines)):
+        while end < len(lines) and before[end] - before[i] < MIN_BLOCK_WORDS:
+            end += 1
+        if before[end] - before[i] >= MIN_BLOCK_WORDS:
+            places.add((i, end))
+        while before[i + 1] - before[start + 1] >= MIN_BLOCK_WORDS:
+            start += 1
+        if before[i + 1] - before[start] >= MIN_BLOCK_WORDS:
+            places.add((start, i + 1))
+    return {((sums[e] - sums[s] * powers[e - s]) % PRIME).to_bytes(16, "big") for s, e in places}
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for start in range(0, whole.num_rows, SLICE):
+            batch = whole.slice(start, SLICE)
+            ids, versions, runs = [], [], []
+            for i, v, lines, words in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "version", "lines", "words")), strict=True):
+                found = shortest_runs(lines, words)
+                ids += [i] * len(found)
+                versions += [v] * len(found)
+                runs += found
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(versions, pa.int64()), pa.array(runs, pa.binary())], ["doc_id", "version", "run"])
+
+
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for start in range(0, whole.num_rows, SLICE):
@@ -168,14 +206,9 @@ def removals(documents: DataFrame) -> DataFrame:
     held = known.select("doc_id", version(F.col("text")).alias("version"), F.transform(trimmed, lambda x: F.unhex(F.md5(x))).alias("lines"), F.transform(trimmed, lambda x: word_count(x).cast("int")).alias("words"))
     held = written(held.dropDuplicates(["doc_id", "version"]), "lines")
     doc = F.struct("doc_id", "version").alias("doc")
-    long = F.filter(F.arrays_zip("lines", "words"), lambda x: x["words"] >= MIN_LINE_WORDS)
-    places = held.select(doc, F.explode(F.array_distinct(F.transform(long, lambda x: x["lines"]))).alias("line"))
-    holders = places.groupBy("line").agg(F.count("*").alias("n"), F.min("doc").alias("first")).where("n > 1")
-    shared = written(places.join(holders, "line").select("line", "doc", "n", "first"), "shared-lines")
-    stars = shared.where("doc <> first").select(F.col("first").alias("a"), F.col("doc").alias("b"))
-    rare = shared.where(F.col("n").between(3, RARE)).groupBy("line").agg(F.array_sort(F.collect_list("doc")).alias("docs"))  # RARE at most
-    rare = rare.select(F.posexplode("docs").alias("at", "a"), "docs").select("a", F.explode(F.slice("docs", F.col("at") + 2, F.size("docs"))).alias("b"))
-    pairs = stars.union(rare).distinct().select("a", F.col("b.doc_id").alias("doc_id"), F.col("b.version").alias("version"))
+    places = written(held.select("doc_id", "version", "lines", "words").mapInArrow(_runs, "doc_id long, version long, run binary"), "runs").select("run", doc)
+    holders = places.groupBy("run").agg(F.count("*").alias("n"), F.min("doc").alias("first")).where("n > 1")
+    pairs = places.join(holders, "run").where("doc <> first").select(F.col("first").alias("a"), F.col("doc.doc_id").alias("doc_id"), F.col("doc.version").alias("version")).distinct()
     pairs = pairs.join(held.select("doc_id", "version", F.col("lines").alias("b_lines"), F.col("words").alias("b_words")), ["doc_id", "version"])
     pairs = pairs.join(held.select(doc.alias("a"), F.col("lines").alias("a_lines")), "a")
     found = pairs.select("doc_id", "version", "a_lines", "b_lines", "b_words").mapInArrow(_aligned, "doc_id long, version long, gone array<int>")

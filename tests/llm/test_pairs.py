@@ -165,6 +165,20 @@ def test_line_dedup_leaves_no_crossing_or_repeated_line(spark):
     assert found[2] == own(2) and found[11] == own(11)
 
 
+def test_line_dedup_finds_blocks_of_short_lines(spark):
+    random.seed(9)
+    short = [" ".join(f"s{i}w{k}" for k in range(i % 4)) for i in range(40)]
+    own = lambda i: " ".join(f"own{i}w{k}" for k in range(9))
+    verse = "\n".join(f"verse {i} here" for i in range(20))
+    table = [(i, own(i) + "\n" + verse + "\n" + own(50 + i)) for i in range(3)]
+    for i in range(3, 40):
+        cut = random.randrange(len(short))
+        table.append((i, "\n".join([own(i), *(short[cut:] + short[:cut])[: random.randrange(2, 14)], *random.choices(short, k=4), own(100 + i)])))
+    found = {r.doc_id: r.text for r in lines.without_repeats(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    assert found == brute_lines(table)
+    assert found[1] == own(1) + "\n" + own(51)
+
+
 def test_vectors(spark, monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK", 7)  # several tiles in a list
     rng = np.random.default_rng(4)
