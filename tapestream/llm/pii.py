@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,13 +27,13 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Z0-9])",
-    "masked_email": r"(?i)(?<![a-z0-9._-])[a-z0-9._-]{1,64}\x20?[\[(]\x20?at\x20?[\])]\x20?[a-z0-9-]{1,63}(?:\x20?[\[(]\x20?dot\x20?[\])]\x20?|\.)[a-z]{2,10}(?![a-z])",
+    "masked_email": r"(?i)(?<![a-z0-9._-])[a-z0-9._-]{1,64}\x20?[\[(]\x20?at\x20?[\])]\x20?[a-z0-9-]{1,63}(?:(?:\x20?[\[(]\x20?dot\x20?[\])]\x20?|\.)[a-z0-9-]{1,63})*(?:\x20?[\[(]\x20?dot\x20?[\])]\x20?|\.)[a-z]{2,10}(?![a-z])",
 }
 BASE = ("email", "ip", "card", "phone")
 KINDS = tuple(PATTERNS)
 
-# What a text must contain for a pattern to be tried; digits are tried everywhere.
-MARKS = {"email": "@", "phone": "+", "masked_email": "dot"}
+# What a text must contain one of for a pattern to be tried, as every match does; digits are tried everywhere.
+MARKS = {"email": ("@",), "phone": ("+",), "masked_email": ("[", "(")}
 
 # Fixed values of the gazetteer labeler.
 ENDINGS = ("com", "org", "net", "edu", "gov", "io", "info", "de", "fr", "es", "it", "uk", "eu", "ch", "at", "us")
@@ -134,7 +136,7 @@ def candidates(documents: DataFrame) -> DataFrame:
     found = documents.select("doc_id", text.alias("text"))
     none = F.array().cast("array<string>")
     tried = {k: F.regexp_extract_all("text", F.lit(p), F.lit(0)) for k, p in PATTERNS.items()}
-    found = found.select("doc_id", "text", *(F.when(F.contains(F.lower("text") if k == "masked_email" else F.col("text"), F.lit(MARKS[k])), m).otherwise(none).alias(k) if k in MARKS else m.alias(k) for k, m in tried.items()))
+    found = found.select("doc_id", "text", *(F.when(reduce(or_, (F.contains(F.col("text"), F.lit(mark)) for mark in MARKS[k])), m).otherwise(none).alias(k) if k in MARKS else m.alias(k) for k, m in tried.items()))
     spans = F.concat(*(F.when(F.size(k) > 0, located(k, F.col("text"), F.col(k))).otherwise(F.array().cast(SPAN)) for k in KINDS))
 
     def judged(span: Column) -> Column:

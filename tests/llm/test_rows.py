@@ -89,6 +89,13 @@ def test_pii_method_adds_spans(spark):
     assert all([s["kind"] for s in out[i]] == ["ssn"] for i in range(10, 60)) and out[99] == []
 
 
+def test_pii_masked_email_needs_no_dot_in_words(spark):
+    masked = ["jane.doe [at] example.com", "jane (at) mail.example.com", "j.doe [AT] example [dot] org", "jd(at)mail(dot)example(dot)com"]
+    docs = spark.createDataFrame([(i, f"Please write to {masked[i % 4]}, number {i} (or not).") for i in range(60)], "doc_id long, text string")
+    for r in rows(pii.personal_data(docs)):
+        assert [(s["kind"], s["start"], s["end"]) for s in r["spans"]] == [("masked_email", 16, 16 + len(masked[r["doc_id"] % 4]))]
+
+
 def test_mixing(spark):
     for docs in both(spark):
         out = rows(mixing.mixed_counts(docs))
