@@ -96,6 +96,14 @@ def test_pii_masked_email_needs_no_dot_in_words(spark):
         assert [(s["kind"], s["start"], s["end"]) for s in r["spans"]] == [("masked_email", 16, 16 + len(masked[r["doc_id"] % 4]))]
 
 
+def test_pii_iban_of_15_characters(spark):
+    written = ["NO9386011117947", "NO93 8601 1117 947", "DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819"]
+    docs = spark.createDataFrame([(i, f"iban {written[i % 4]}, entry {i}") for i in range(60)] + [(99, "iban NO93 8601 1117 94, too short")], "doc_id long, text string")
+    for r in rows(pii.personal_data(docs)):
+        found = [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == "iban"]
+        assert found == ([] if r["doc_id"] == 99 else [(5, 5 + len(written[r["doc_id"] % 4]))])
+
+
 def test_mixing(spark):
     for docs in both(spark):
         out = rows(mixing.mixed_counts(docs))
