@@ -1,9 +1,10 @@
 """Training-order materialisation.
 
-Token ids of all documents form one stream that is cut into sequences of equal length. A keyed
-Feistel network over the sequence numbers, walked on until it lands among them, gives every sequence
-its slot: a permutation that any task computes by itself. Slots are dealt to shards by range, so a
-shard is a file of fixed-size records that is read from any slot on.
+Documents are put in an order that only their ids and texts decide. Their token ids form one stream per
+range of that order, which is cut into sequences of equal length. A keyed Feistel network over the
+sequence numbers, walked on until it lands among them, gives every sequence its slot: a permutation that
+any task computes by itself. Slots are dealt to tasks by range; each task writes the shards of its range,
+files of fixed-size records that are read from any slot on.
 """
 
 from __future__ import annotations
@@ -14,12 +15,12 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import shared_dir
+from .runtime import dropped, folder, written
 from .text import as_bytes, mixed, slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -30,38 +31,28 @@ LENGTH = 1024
 #: Sequences of one shard: 4096 records of 2 KiB.
 SHARD_ROWS = 4096
 KEY = 20240229
-REMEMBERED = 300_000
+#: Documents of one range of the order, unless that makes more ranges than MOST_PARTS; the same bound holds for tasks that write shards.
+RANGE_DOCS, MOST_PARTS = 8192, 20_000
+#: Frees the documents' shuffle files once the sequences are written.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 class Tokenizer:
-    """Ids of texts as little-endian 16-bit numbers, each text ended by END_OF_TEXT."""
+    """Ids of texts, each text ended by END_OF_TEXT."""
 
     def __init__(self, vocabulary: bytes):
         import tiktoken
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
-        self.encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.known: dict[str, bytes] = {}
-        self.end = np.array([END_OF_TEXT], "<u2").tobytes()
-
-    def ids(self, text: str) -> bytes:
-        return np.array(self.encode(text), "<u2").tobytes()
-
-    def of(self, text: str) -> bytes:
-        """A text whose blanks all stand alone is encoded word by word: a word never merges with the space after it."""
-        words = text.split(" ")
-        if not text or "" in words or " \n" in text or "\n " in text or "\t" in text or "\r" in text or not text.replace("\n", " ").isprintable():
-            return self.ids(text) + self.end
-        known, out = self.known, [self.ids(words[0])]
-        for word in words[1:]:
-            found = known.get(word)
-            if found is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                found = known[word] = self.ids(" " + word)
-            out.append(found)
-        out.append(self.end)
-        return b"".join(out)
+        self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.end = np.array([END_OF_TEXT], "<u2")
+
+    def of(self, texts: list[bytes | None]) -> np.ndarray:
+        """The stream of several texts, as 16-bit numbers."""
+        encode, out = self.encoding.encode_to_numpy, []
+        for text in texts:
+            out += [encode((text or b"").decode("utf-8", "replace"), disallowed_special=()), self.end]
+        return np.concatenate(out).astype("<u2")
 
 
 def feistel(numbers: np.ndarray, n: int, key: int = KEY, rounds: int = 4) -> np.ndarray:
@@ -87,119 +78,144 @@ def feistel(numbers: np.ndarray, n: int, key: int = KEY, rounds: int = 4) -> np.
     return out.astype(np.int64)
 
 
-def _tokens(batches: Iterator[pa.RecordBatch], vocabulary: bytes) -> Iterator[pa.RecordBatch]:
-    tokenizer, part, at = Tokenizer(vocabulary), TaskContext.get().partitionId(), 0
-    for batch in slices(batches):
-        ids = [tokenizer.of((t or b"").decode("utf-8", "replace")) for t in batch.column("text").to_pylist()]
-        sizes = np.array([len(i) // 2 for i in ids], np.int64)
-        starts = at + np.cumsum(sizes) - sizes
-        at += int(sizes.sum())
-        yield pa.RecordBatch.from_arrays([pa.array([part] * len(ids), pa.int32()), pa.array(starts), pa.array(sizes), pa.array(ids, pa.binary())], ["part", "start", "n_tokens", "ids"])
+def in_ranges(documents: DataFrame) -> DataFrame:
+    """part and text, dealt by ranges of a hash of id and text and sorted by it within each range."""
+    parts = min(MOST_PARTS, max(1, -(-documents.count() // RANGE_DOCS)))
+    doc_id = F.col("doc_id").cast("string")
+    keyed = documents.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, F.col("text").cast("string")).alias("h"), as_bytes("text"))
+    part = F.shiftright((F.shiftright("h", 32) + 2**31) * parts, 32).cast("int")
+    return keyed.withColumn("part", part).repartitionById(parts, F.col("part")).sortWithinPartitions("part", "h", "doc_id").select("part", "text")
+
 
+def _cut(batches: Iterator[pa.RecordBatch], vocabulary: bytes, length: int) -> Iterator[pa.RecordBatch]:
+    """Sequences of each part's stream; the last one of a part is filled up with END_OF_TEXT."""
+    tokenizer = Tokenizer(vocabulary)
+    part, k, left = None, 0, np.zeros(0, "<u2")
 
-def token_stream(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """The written stream: per document its partition, its place in the partition's tokens, and its ids.
+    def rows(stream: np.ndarray) -> pa.RecordBatch:
+        n = -(-len(stream) // length)
+        sizes = np.minimum(length, len(stream) - length * np.arange(n)).astype(np.int32)
+        filled = np.full(n * length, END_OF_TEXT, "<u2")
+        filled[: len(stream)] = stream
+        records = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * length), n, [None, pa.py_buffer(filled)]).cast(pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(k + np.arange(n)), pa.array(sizes), records], ["part", "k", "n_tokens", "record"])
 
-    A null or empty text is one END_OF_TEXT. The table fixes the order: whatever reads it again after
-    a failure gets the same sequences. The vocabulary's bytes are sent to the tasks; their size is fixed.
+    for batch in slices(batches):
+        parts = np.array(batch.column("part").to_pylist())
+        bounds = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(parts)]
+        texts = batch.column("text").to_pylist()
+        for start, end in zip(bounds[:-1], bounds[1:], strict=True):
+            if parts[start] != part:
+                if len(left):
+                    yield rows(left)
+                part, k, left = int(parts[start]), 0, left[:0]
+            stream = np.concatenate([left, tokenizer.of(texts[start:end])])
+            whole = len(stream) // length
+            if whole:
+                yield rows(stream[: whole * length])
+            k, left = k + whole, stream[whole * length :]
+    if len(left):
+        yield rows(left)
+
+
+def sequences(documents: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY) -> DataFrame:
+    """The written sequences: part, k (number within the part), n_tokens and record (``length`` ids of 2 bytes).
+
+    The table fixes them: whatever reads it again after a failure gets the same. The vocabulary's
+    bytes are sent to the tasks; their size is fixed.
     """
     spark = documents.sparkSession
     with open(vocabulary, "rb") as file:
         shared = spark.sparkContext.broadcast(file.read())
-    found = documents.select(as_bytes("text")).mapInArrow(lambda b: _tokens(b, shared.value), "part int, start long, n_tokens long, ids binary")
-    path = f"{shared_dir(spark)}/tapestream/tokens-{uuid.uuid4().hex}"
-    found.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(found.schema).parquet(path)
-
-
-def _pieces(batches: Iterator[pa.RecordBatch], base: dict[int, int], n: int, length: int, key: int) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "ids"):
-        begin = np.array([base[p] for p in batch.column("part").to_pylist()], np.int64) + batch.column("start").to_numpy()
-        size = batch.column("n_tokens").to_numpy()
-        first, last = begin // length, (begin + size - 1) // length
-        counts = last - first + 1
-        doc = np.repeat(np.arange(len(begin)), counts)
-        seq = first[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
-        start = np.maximum(begin[doc], seq * length)
-        end = np.minimum((begin + size)[doc], (seq + 1) * length)
-        ids = batch.column("ids").to_pylist()
-        cut = [ids[d][2 * a : 2 * b] for d, a, b in zip(doc.tolist(), (start - begin[doc]).tolist(), (end - begin[doc]).tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(feistel(seq, n, key)), pa.array(seq), pa.array((start - seq * length).astype(np.int32)), pa.array(cut, pa.binary())], ["slot", "seq", "at", "ids"])
-
-
-def _records(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Joins the pieces of each slot, which arrive in order; the last sequence is filled up with END_OF_TEXT."""
-    end = np.array([END_OF_TEXT], "<u2").tobytes()
-    slot = seq = None
-    held: list[bytes] = []
-    out: list[tuple] = []
-
-    def close() -> None:
-        record = b"".join(held)
-        out.append((slot, seq, len(record) // 2, record + end * (length - len(record) // 2)))
-
-    def flush() -> pa.RecordBatch:
-        columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
-        out.clear()
-        return pa.RecordBatch.from_arrays(columns, ["slot", "seq", "n_tokens", "record"])
+    found = in_ranges(documents).mapInArrow(lambda b: _cut(b, shared.value, length), "part int, k long, n_tokens int, record binary")
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return written(found, "sequences", compression="zstd")
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
 
-    for batch in batches:
-        for s, q, ids in zip(*(batch.column(k).to_pylist() for k in ("slot", "seq", "ids")), strict=True):
-            if s != slot:
-                if held:
-                    close()
-                slot, seq, held = s, q, []
-            held.append(ids)
-        if len(out) >= 1000:
-            yield flush()
-    if held:
-        close()
-    if out:
-        yield flush()
-
-
-def training_order(documents: DataFrame, length: int = LENGTH, shard_rows: int = SHARD_ROWS, key: int = KEY, vocabulary: str = VOCABULARY) -> DataFrame:
-    """One row per slot: slot, shard, byte_offset within the shard, seq, n_tokens and the record (``length`` ids, 2 bytes each).
-
-    Each partition is one shard, sorted by slot. An empty table gives no slots. Only one count per
-    partition of the token table reaches the driver.
-    """
-    stream = token_stream(documents, vocabulary)
-    base, total = {}, 0
-    for row in stream.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect():
-        base[row["part"]] = total
-        total += row["n"]
-    n = max(1, -(-total // length))
-    pieces = stream.mapInArrow(lambda b: _pieces(b, base, n, length, key), "slot long, seq long, at int, ids binary")
-    shard = F.floor(F.col("slot") / shard_rows).cast("int")
-    dealt = pieces.repartitionById(-(-n // shard_rows), shard).sortWithinPartitions("slot", "at")
-    records = dealt.mapInArrow(lambda b: _records(b, length), "slot long, seq long, n_tokens long, record binary")
-    return records.select("slot", shard.alias("shard"), ((F.col("slot") % shard_rows) * (2 * length)).alias("byte_offset"), "seq", "n_tokens", "record")
-
-
-def _write(batches: Iterator[pa.RecordBatch], uri: str) -> Iterator[pa.RecordBatch]:
+
+def slotted(cut: DataFrame, key: int = KEY) -> tuple[DataFrame, int]:
+    """Adds seq and slot to written sequences, and tells how many there are. One count per part reaches the driver."""
+    base, n = {}, 0
+    for row in cut.groupBy("part").count().orderBy("part").collect():
+        base[row["part"]] = n
+        n += row["count"]
+
+    @F.pandas_udf("long")
+    def number(part: pd.Series, k: pd.Series) -> pd.Series:
+        return part.map(base) + k
+
+    @F.pandas_udf("long")
+    def slot(seq: pd.Series) -> pd.Series:
+        return pd.Series(feistel(seq.to_numpy(), n, key))
+
+    return cut.withColumn("seq", number("part", "k")).withColumn("slot", slot("seq")), n
+
+
+def shard_of(slot: Column, shard_rows: int = SHARD_ROWS) -> Column:
+    return F.floor(slot / shard_rows).cast("long")
+
+
+MANIFEST = "slot long, shard long, byte_offset long, seq long, n_tokens int, record_sha256 string, shard_sha256 string, path string"
+
+
+def _write(batches: Iterator[pa.RecordBatch], uri: str, length: int, shard_rows: int) -> Iterator[pa.RecordBatch]:
+    """Writes the shards of records that arrive by slot; each file appears whole or not at all, and a repeated task writes the same bytes."""
     from pyarrow import fs
 
-    store, path = fs.FileSystem.from_uri(uri)
-    held = f"{path}/.attempt-{uuid.uuid4().hex}"
-    shard, count, digest, file = None, 0, hashlib.sha256(), None
+    store, place = fs.FileSystem.from_uri(uri)
+    shard, file, held, whole = None, None, [], hashlib.sha256()
+
+    def closed() -> pa.RecordBatch:
+        path = f"{place}/shard-{shard:09d}.bin"
+        file.close()
+        store.move(attempt, path)
+        slot, seq, n_tokens, digest = zip(*held, strict=True)
+        same = len(held)
+        columns = [pa.array(slot), pa.array([shard] * same), pa.array([(s - shard * shard_rows) * 2 * length for s in slot]), pa.array(seq), pa.array(n_tokens, pa.int32()), pa.array(digest), pa.array([whole.hexdigest()] * same), pa.array([path] * same)]
+        return pa.RecordBatch.from_arrays(columns, ["slot", "shard", "byte_offset", "seq", "n_tokens", "record_sha256", "shard_sha256", "path"])
+
     for batch in batches:
-        for number, record in zip(batch.column("shard").to_pylist(), batch.column("record").to_pylist(), strict=True):
-            if file is None:
-                store.create_dir(path, recursive=True)
-                shard, file = number, store.open_output_stream(held)
+        for slot, seq, n_tokens, record in zip(*(batch.column(k).to_pylist() for k in ("slot", "seq", "n_tokens", "record")), strict=True):
+            if slot // shard_rows != shard:
+                if file is not None:
+                    yield closed()
+                store.create_dir(place, recursive=True)
+                attempt = f"{place}/.attempt-{uuid.uuid4().hex}"
+                shard, file, held, whole = slot // shard_rows, store.open_output_stream(attempt), [], hashlib.sha256()
             file.write(record)
-            digest.update(record)
-            count += 1
+            whole.update(record)
+            held.append((slot, seq, n_tokens, hashlib.sha256(record).hexdigest()))
     if file is not None:
-        file.close()
-        store.move(held, f"{path}/shard-{shard:06d}.bin")  # whole or not at all; a repeated task writes the same bytes
-        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([count], pa.int64()), pa.array([digest.hexdigest()]), pa.array([f"{path}/shard-{shard:06d}.bin"])], ["shard", "n_records", "sha256", "path"])
+        yield closed()
+
 
+def training_order(documents: DataFrame, uri: str | None = None, length: int = LENGTH, shard_rows: int = SHARD_ROWS, key: int = KEY, vocabulary: str = VOCABULARY) -> DataFrame:
+    """Writes ``documents`` in training order as shards below ``uri`` (any store that pyarrow opens; else the shared folder).
 
-def write_shards(ordered: DataFrame, uri: str) -> DataFrame:
-    """Writes each shard of ``training_order`` as one file below ``uri`` (any store pyarrow opens) and returns their list."""
-    return ordered.select("shard", "record").mapInArrow(lambda b: _write(b, uri), "shard int, n_records long, sha256 string, path string")
+    Returns the manifest, one row per record: slot, shard, byte_offset within the shard, seq (number
+    before the permutation), n_tokens, the digests of the record and of its shard, and the shard's path. The
+    manifest is written last, so it names whole shards only.
+
+    The same rows give the same shards, however the table is dealt to files and tasks. A null or empty
+    text is one END_OF_TEXT. A row without an id is placed by its text. Rows that repeat an id and its
+    text are all taken; being equal, their order doesn't matter, but they fall into one range. Other
+    columns are ignored. An empty table gives an empty manifest and no shards.
+    """
+    target = uri or f"{folder(documents.sparkSession)}/shards-{uuid.uuid4().hex}"
+    if target.startswith("file:"):
+        target = "/" + target.removeprefix("file:").lstrip("/")
+    cut = sequences(documents, length, vocabulary)
+    placed, n = slotted(cut, key)
+    shards = max(1, -(-n // shard_rows))
+    together = -(-shards // MOST_PARTS)  # shards that one task writes
+    parts = -(-shards // together)
+    dealt = placed.select("slot", "seq", "n_tokens", "record").repartitionById(parts, F.floor(shard_of(F.col("slot"), shard_rows) / together).cast("int")).sortWithinPartitions("slot")
+    manifest = written(dealt.mapInArrow(lambda b: _write(b, target, length, shard_rows), MANIFEST), "manifest")
+    dropped(cut)
+    return manifest
 
 
 def read_slots(path: str, first: int, count: int, length: int = LENGTH) -> np.ndarray:

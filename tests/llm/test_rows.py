@@ -150,10 +150,17 @@ def test_feistel_is_a_permutation(n):
 
 def test_training_order_round_trip(spark, tmp_path):
     for docs in both(spark):
-        ordered = order.training_order(docs, length=64, shard_rows=20)
-        out = sorted(rows(ordered), key=lambda r: r["slot"])
+        where = tmp_path / f"shards{docs.count()}"
+        out = sorted(rows(order.training_order(docs, f"file://{where}", length=64, shard_rows=20)), key=lambda r: r["slot"])
         assert [r["slot"] for r in out] == list(range(len(out))) and sorted(r["seq"] for r in out) == list(range(len(out)))
-        assert all(r["shard"] == r["slot"] // 20 and r["byte_offset"] == r["slot"] % 20 * 128 and len(r["record"]) == 128 for r in out)
+        assert all(r["shard"] == r["slot"] // 20 and r["byte_offset"] == r["slot"] % 20 * 128 for r in out)
+        for r in out:
+            with open(r["path"], "rb") as file:
+                data = file.read()
+            r["record"] = data[r["byte_offset"] : r["byte_offset"] + 128]
+            assert hashlib.sha256(data).hexdigest() == r["shard_sha256"] and hashlib.sha256(r["record"]).hexdigest() == r["record_sha256"]
+            assert len(data) == 128 * sum(o["shard"] == r["shard"] for o in out)
+        assert len({r["path"] for r in out}) == len({r["shard"] for r in out}) == len(list(where.iterdir()))
         with open(order.VOCABULARY, "rb") as file:
             tokenizer = order.Tokenizer(file.read())
         stream = np.concatenate([np.frombuffer(r["record"], "<u2")[: r["n_tokens"]] for r in sorted(out, key=lambda r: r["seq"])]).tolist()
@@ -164,18 +171,19 @@ def test_training_order_round_trip(spark, tmp_path):
                 held = []
             else:
                 held.append(token)
-        assert not held and found == Counter(tuple(tokenizer.encode(d.text or "")) for d in docs.select("text").collect())
-        where = tmp_path / f"shards{len(out)}"
-        listed = rows(order.write_shards(ordered, f"file://{where}"))
-        assert sum(r["n_records"] for r in listed) == len(out)
-        for r in listed:
-            with open(r["path"], "rb") as file:
-                assert hashlib.sha256(file.read()).hexdigest() == r["sha256"]
-        first = next(r for r in listed if r["shard"] == 0)
-        assert order.read_slots(first["path"], 3, 2, 64).tobytes() == out[3]["record"] + out[4]["record"]
+        assert not held and found == Counter(tuple(tokenizer.encoding.encode_ordinary(d.text or "")) for d in docs.select("text").collect())
+        assert order.read_slots(out[0]["path"], 3, 2, 64).tobytes() == out[3]["record"] + out[4]["record"]
     assert rows(order.training_order(empty(spark))) == []
 
 
+def test_training_order_is_the_datas(spark, monkeypatch):
+    """However the table is dealt to tasks, the shards are the same."""
+    monkeypatch.setattr(order, "RANGE_DOCS", 16)
+    for docs in both(spark):
+        found = [{(r["shard"], r["shard_sha256"]) for r in rows(order.training_order(d, length=64, shard_rows=50))} for d in (docs.repartition(7), docs.orderBy("text").coalesce(2))]
+        assert found[0] == found[1] and len(found[0]) > 1
+
+
 def best_score(encoder, word):
     """Best sum over all ways to cut a marked word, without sharing anything."""
     best = [0.0, max(encoder.unknown, encoder.initial.get("", (-1e18,))[0])] + [-1e18] * len(word)
