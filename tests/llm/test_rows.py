@@ -6,6 +6,8 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from tapestream.llm import licenses, mixing, order, pieces, pii, quality, toxicity
 
@@ -184,34 +186,38 @@ def test_training_order_is_the_datas(spark, monkeypatch):
         assert found[0] == found[1] and len(found[0]) > 1
 
 
-def best_score(encoder, word):
-    """Best sum over all ways to cut a marked word, without sharing anything."""
-    best = [0.0, max(encoder.unknown, encoder.initial.get("", (-1e18,))[0])] + [-1e18] * len(word)
-    for end in range(1, len(word) + 1):
-        options = [best[end] + encoder.unknown]
-        options += [encoder.initial[w][0] for w in (word[:end],) if w in encoder.initial]
-        options += [best[s + 1] + encoder.inner[word[s:end]][0] for s in range(end) if word[s:end] in encoder.inner]
-        best[end + 1] = max(options)
-    return best[-1]
-
-
-def test_pieces_are_the_best_and_come_back(spark):
-    model = pieces.load_model()
-    encoder = pieces.Encoder(model)
-    texts = [d.text for docs in both(spark) for d in docs.select("text").collect() if d.text]
-    words = sorted({w for t in texts for w in t.split(" ") if len(w) < 200})
-    for word, ids in encoder.search(words):
-        score = sum(max(model["scores"][i], encoder.unknown + pieces.UNKNOWN_PENALTY) for i in ids if i not in set(model["bytes"].values()))
-        chars = len(bytes(b for i in ids for b in encoder.piece_bytes[i] if i in set(model["bytes"].values())).decode())
-        assert score + chars * encoder.unknown == best_score(encoder, word), word
-        assert b"".join(encoder.piece_bytes[i] for i in ids) == b" " + word.encode()
-    for docs in both(spark):
+def test_pieces_are_the_librarys_and_come_back(spark):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    for docs in (*both(spark), spark.read.parquet(f"{SF.removesuffix('sf0.001')}sf0.01/documents.parquet")):
         encoded = pieces.encode(docs)
-        assert all(r["round_trip"] for r in rows(encoded))
+        found = rows(encoded)
+        assert all(r["round_trip"] for r in found)
+        expected = Counter((d.doc_id, tuple(library.encode(d.text or ""))) for d in docs.select("doc_id", "text").collect() if pieces.MARK not in (d.text or ""))
+        assert not expected - Counter((r["doc_id"], tuple(r["ids"])) for r in found) and len(found) == docs.count()
         assert Counter((r["doc_id"], r["text"]) for r in rows(pieces.decode(encoded))) == Counter((d.doc_id, d.text or "") for d in docs.select("doc_id", "text").collect())
     assert rows(pieces.encode(empty(spark))) == []
 
 
+@pytest.fixture(scope="module")
+def coders():
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL), pieces.Encoder(pieces.load_model())
+
+
+@settings(deadline=None, max_examples=300)
+@given(text=st.text(st.sampled_from(" ▁abeinorst.,'0é漢\n\t"), max_size=60), spaces=st.integers(0, 40))
+def test_pieces_of_any_text(coders, text, spaces):
+    library, encoder = coders
+    text = " " * (spaces // 2) + text[: len(text) // 2] + " " * spaces + text[len(text) // 2 :]
+    ids = encoder.encode([text])[0].tolist()
+    assert encoder.decode(ids).decode() == text
+    if pieces.MARK not in text:
+        assert ids == library.encode(text)
+
+
 def test_license_base_places(spark):
     for docs in both(spark):
         expected = Counter()
