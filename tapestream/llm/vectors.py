@@ -18,12 +18,22 @@ from pyspark.sql import functions as F
 from .components import components
 from .runtime import written
 
-#: Pivots at most, and the cosine that two of them stay below.
-PIVOTS, PIVOT_COSINE = 192, 0.7
-#: Length of a vector's permutation, and how many of its pivots two vectors must share to be compared.
-NEAREST, SHARED = 6, 3
-#: Vectors of one block of an inverted list; a longer list is cut into tiles of two blocks.
-BLOCK = 512
+#: Pivots of a small table, at most, vectors up to which there are no more, and the cosine that two pivots stay below.
+PIVOTS, MOST_PIVOTS, SMALL, PIVOT_COSINE = 192, 1023, 50_000, 0.7
+#: How many of their nearest pivots two vectors must share to be compared.
+SHARED = 3
+#: Vectors of one block of an inverted list, about; a longer list is cut into tiles of two blocks.
+BLOCK = 1024
+
+
+def pivot_count(n: int) -> int:
+    """Pivots for ``n`` vectors: with their cube root, so that the lists (one per SHARED pivots) stay as long as they are."""
+    return min(MOST_PIVOTS, max(PIVOTS, int(PIVOTS * (n / SMALL) ** (1 / 3))))
+
+
+def permutation_length(n_pivots: int) -> int:
+    """Nearest pivots that describe a vector: more where pivots are dense, so that vectors of cosine 0.93 meet in 96 of 100 cases."""
+    return 7 if n_pivots <= 2 * PIVOTS else 8
 
 
 def usable(vector: str = "embedding"):
@@ -32,7 +42,7 @@ def usable(vector: str = "embedding"):
     return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def spread(x: np.ndarray, n: int = PIVOTS) -> np.ndarray:
+def spread(x: np.ndarray, n: int) -> np.ndarray:
     """The first ``n`` unit vectors that are far from those before: near copies would share a place in every permutation."""
     kept: list[np.ndarray] = []
     for v in x:
@@ -41,10 +51,10 @@ def spread(x: np.ndarray, n: int = PIVOTS) -> np.ndarray:
     return np.array(kept)
 
 
-def pivots(vectors: DataFrame, n: int = PIVOTS) -> dict[int, np.ndarray]:
-    """Unit pivots by dimension, out of the 4 * ``n`` vectors of each whose ids hash lowest (a bounded sample)."""
+def pivots(vectors: DataFrame, n: int) -> dict[int, np.ndarray]:
+    """Unit pivots by dimension, out of the 4 * ``n`` vectors of each that hash lowest (a bounded sample)."""
     most = 4 * n
-    hashed = vectors.select("uid", "dim", F.xxhash64(F.lit("pivot"), "vec_id").alias("h"))
+    hashed = vectors.select("uid", "dim", F.xxhash64(F.lit("pivot"), "x").alias("h"))
     counts = hashed.groupBy("dim").agg(F.count("*").alias("c"))
     # a few times as many as needed, by their hash, so that no task orders them all
     few = hashed.join(F.broadcast(counts), "dim").where(F.pmod("h", F.lit(1_000_000)) <= 2.0 * most / F.col("c") * 1_000_000)
@@ -60,108 +70,125 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def nearest(x: np.ndarray, pivot: np.ndarray, k: int = NEAREST) -> np.ndarray:
-    """Numbers of the ``k`` nearest pivots of unit vectors, nearest first; ties beyond nine digits go by number."""
-    return np.argsort(-np.round(x @ pivot.T, 9), axis=1, kind="stable")[:, :k]
+def nearest(x: np.ndarray, pivot: np.ndarray) -> np.ndarray:
+    """Numbers of the nearest pivots of unit vectors, nearest first; ties beyond nine digits go by number."""
+    return np.argsort(-np.round(x @ pivot.T, 9), axis=1, kind="stable")[:, : permutation_length(len(pivot))]
+
+
+def matrix(column: pa.ListArray, dim: int) -> np.ndarray:
+    """Vectors of one length as rows."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
 def _lists(batches: Iterator[pa.RecordBatch], pivot: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
     """One row per vector and inverted list; the list's number spells its pivots, in base 1024."""
     for batch in batches:
-        dims = np.array(batch.column("dim").to_pylist())
-        uids, vectors = np.array(batch.column("uid").to_pylist()), batch.column("x").to_pylist()
+        dims = batch.column("dim").to_numpy()
         for dim in np.unique(dims).tolist():
-            at = np.flatnonzero(dims == dim)
-            near = np.sort(nearest(unit(np.array([vectors[i] for i in at], np.float64)), pivot[dim]), axis=1)
+            rows = batch.filter(pa.array(dims == dim))
+            near = np.sort(nearest(unit(matrix(rows.column("x"), dim)), pivot[dim]), axis=1)
             ways = list(combinations(range(near.shape[1]), min(SHARED, near.shape[1])))
             cells = np.stack([sum(near[:, w].astype(np.int64) << 10 * k for k, w in enumerate(way)) for way in ways], axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(uids[at], len(ways))), pa.array(cells.ravel())], ["uid", "cell"])
+            again = [pa.array(np.repeat(rows.column(k).to_numpy(), len(ways))) for k in ("uid", "label", "dim")]
+            yield pa.RecordBatch.from_arrays([*again, pa.array(cells.ravel())], ["uid", "label", "dim", "cell"])
 
 
-def _verified(batches: Iterator[pa.RecordBatch], threshold: float, pivot: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """For each vector with links in a tile: one it is connected to there, and how many links it has there.
+TILE = ("label", "dim", "cell", "low", "high")
+
+
+def tile_links(key: tuple, rows: pa.RecordBatch, threshold: float, pivot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors with links in a tile, one each is connected to there, and how many vectors it links with there.
 
     A pair counts in one list only: that of the first pivots it shares.
     """
+    _, dim, cell, low, high = key
+    uids, block, size = (rows.column(k).to_numpy() for k in ("uid", "block", "size"))
+    x = unit(matrix(rows.column("x"), dim))
+    near = nearest(x, pivot)
+    shared = min(SHARED, near.shape[1])
+    last = cell >> 10 * (shared - 1)
+    has = np.zeros((len(uids), last + 1), np.float32)
+    inside = near <= last
+    has[np.nonzero(inside)[0], near[inside]] = 1
+    linked = (x @ x.T >= threshold) & (has @ has.T == shared)
+    np.fill_diagonal(linked, False)
+    if low != high:
+        linked &= block[:, None] != block[None, :]
+    counts = linked @ size
+    root, before = np.arange(len(uids)), None
+    while before is None or (root != before).any():
+        before = root.copy()
+        for i in np.flatnonzero(counts).tolist():
+            root[i] = min(root[i], root[linked[i]].min())
+    at = np.flatnonzero(counts)
+    return uids[at], uids[root[at]], counts[at]
 
-    def tile(key: tuple, rows: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        dim, cell, low, high = key[1:]
-        uids, block = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-        x = unit(np.array([r[2] for r in rows], np.float64))
-        near = nearest(x, pivot[dim])
-        last = cell >> 10 * (min(SHARED, near.shape[1]) - 1)
-        has = np.zeros((len(rows), last + 1), np.float32)
-        inside = near <= last
-        has[np.nonzero(inside)[0], near[inside]] = 1
-        linked = (x @ x.T >= threshold) & (has @ has.T == min(SHARED, near.shape[1]))
-        linked &= uids[:, None] != uids[None, :]
-        if low != high:
-            linked &= block[:, None] != block[None, :]
-        counts = linked.sum(axis=1)
-        at = np.flatnonzero(counts)
-        root, before = np.arange(len(uids)), None
-        while before is None or (root != before).any():
-            before = root.copy()
-            for i in at.tolist():
-                root[i] = min(root[i], root[np.flatnonzero(linked[i])].min())
-        return uids[at], uids[root[at]], counts[at]
-
-    key, held, out = None, [], []
-    names = ("label", "dim", "cell", "low", "high")
-    for batch in batches:
-        for *new, uid, block, x in zip(*(batch.column(k).to_pylist() for k in (*names, "uid", "block", "x")), strict=True):
-            if tuple(new) != key:
-                if len(held) > 1:
-                    out.append(tile(key, held))
-                key, held = tuple(new), []
-            held.append((uid, block, x))
-        if len(out) > 200:
-            yield _rows(out)
-            out = []
-    if len(held) > 1:
-        out.append(tile(key, held))
-    yield _rows(out)
 
+def _verified(batches: Iterator[pa.RecordBatch], threshold: float, pivot: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Links of the tiles, whose rows arrive together."""
+    key, held = None, []
+
+    def closed() -> Iterator[pa.RecordBatch]:
+        rows = pa.concat_batches(held) if held else None
+        if rows is not None and rows.num_rows > 1:
+            found = tile_links(key, rows, threshold, pivot[key[1]])
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in found], ["a", "b", "links"])
 
-def _rows(found: list) -> pa.RecordBatch:
-    columns = [np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3)]
-    return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["a", "b", "links"])
+    for batch in batches:
+        keys = np.stack([batch.column(k).to_numpy() for k in TILE], axis=1)
+        bounds = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+        for start, end in zip(bounds[:-1], bounds[1:], strict=True):
+            if end > start:
+                new = tuple(keys[start].tolist())
+                if new != key:
+                    yield from closed()
+                    key, held = new, []
+                held.append(batch.slice(start, end - start).select(["uid", "block", "size", "x"]))
+    yield from closed()
 
 
 def links(vectors: DataFrame, threshold: float) -> DataFrame:
-    """a, b, links of every vector with links; ``vectors`` has uid, label, dim and x, all usable."""
+    """a, b, links of every vector with links; ``vectors`` has uid, label, dim, size (vectors it stands for) and x, all usable."""
     spark = vectors.sparkSession
-    shared = spark.sparkContext.broadcast(pivots(vectors))
-    keys = vectors.select("uid", "dim", "x").mapInArrow(lambda b: _lists(b, shared.value), "uid long, cell long").join(vectors.select("uid", "label", "dim"), "uid")
-    together = Window.partitionBy("label", "dim", "cell")
-    sized = keys.withColumn("m", F.count("*").over(together)).where("m > 1")
-    sized = sized.withColumn("block", ((F.row_number().over(together.orderBy("uid")) - 1) / BLOCK).cast("int"))
-    tiled = sized.withColumn("other", F.explode(F.sequence(F.lit(0), ((F.col("m") - 1) / BLOCK).cast("int"))))
+    shared = spark.sparkContext.broadcast(pivots(vectors, pivot_count(vectors.count())))
+    kind = "label long, dim int"
+    keys = written(vectors.select("uid", "label", "dim", "x").mapInArrow(lambda b: _lists(b, shared.value), f"uid long, {kind}, cell long"), "vector-lists")
+    lists = keys.groupBy("label", "dim", "cell").agg(F.count("*").alias("m")).where("m > 1").select("label", "dim", "cell", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    blocked = keys.join(lists, ["label", "dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
+    tiled = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tiled = tiled.select("uid", "label", "dim", "cell", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    rows = tiled.join(vectors.select("uid", "x"), "uid")
-    keys = ("label", "dim", "cell", "low", "high")
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lambda b: _verified(b, threshold, shared.value), "a long, b long, links long")
+    rows = tiled.join(vectors.select("uid", "size", "x"), "uid")
+    return rows.repartition(*TILE).sortWithinPartitions(*TILE).mapInArrow(lambda b: _verified(b, threshold, shared.value), "a long, b long, links long")
 
 
 def near_duplicates(embeddings: DataFrame, threshold: float = 0.93) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of ``embeddings`` (vec_id, embedding, label).
 
-    Vectors of equal label and length are compared. A null id or label, and a vector that is null,
-    zero or holds null or non-finite components, links with nothing; kept is then true. Rows that
-    repeat an id are vectors of their own. An empty table gives an empty table.
+    Vectors of equal label and length are compared; equal ones link as one class and are never paired. A
+    null id or label, and a vector that is null, zero or holds null or non-finite components, links with
+    nothing; kept is then true. Rows that repeat an id are vectors of their own. An empty table gives an
+    empty table.
     """
     table = embeddings.select("vec_id", F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("x"))
-    table = written(table.withColumn("uid", F.monotonically_increasing_id()).withColumn("dim", F.coalesce(F.size("x"), F.lit(0))), "vectors")
-    compared = table.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & usable("x"))
-    found = written(links(compared, threshold), "vector-links")
-    groups = components(found.select("a", "b")).withColumnRenamed("node", "uid")
-    counts = found.groupBy(F.col("a").alias("uid")).agg(F.sum("links").alias("n"))
-    joined = table.select("vec_id", "uid").join(groups, "uid", "left").join(counts, "uid", "left")
-    joined = written(joined, "vector-groups")
+    table = table.withColumn("uid", F.monotonically_increasing_id()).withColumn("dim", F.coalesce(F.size("x"), F.lit(0)))
+    compared = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & usable("x")
+    # two digests of a vector tell it from all others but for a chance of 2**-128
+    table = written(table.withColumn("h1", F.when(compared, F.xxhash64("x"))).withColumn("h2", F.when(compared, F.xxhash64(F.lit(1), F.reverse("x")))), "vectors")
+    alike = ["label", "dim", "h1", "h2"]
+    classes = table.where("h1 is not null").groupBy(*alike).agg(F.min("uid").alias("rep"), F.count("*").alias("size"))
+    classes = written(classes, "vector-classes")
+    first = table.select("uid", "x").join(classes.select(F.col("rep").alias("uid"), "label", "dim", "size"), "uid")
+    first = written(first, "vector-firsts")
+    found = written(links(first, threshold), "vector-links")
+    groups = components(found.select("a", "b")).withColumnRenamed("node", "rep")
+    counts = found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("n"))
+    of_class = classes.join(groups, "rep", "left").join(counts, "rep", "left").select(*alike, "size", "n", F.coalesce("component", "rep").alias("component"))
+    joined = written(table.select("vec_id", *alike).join(of_class, alike, "left"), "vector-groups")
     least = joined.where("component is not null").groupBy("component").agg(F.min("vec_id").alias("least"))
     out = joined.join(least, "component", "left")
     component = F.coalesce("least", "vec_id")
-    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    n_links = F.coalesce(F.col("size") - 1 + F.coalesce("n", F.lit(0)), F.lit(0))
+    return out.select("vec_id", n_links.cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 
 
 def op9_embedding_dedup(spark, sf_dir: str) -> DataFrame:

@@ -206,12 +206,33 @@ def test_vectors(spark, monkeypatch):
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>, label int")).collect() == []
 
 
-def test_vector_recall(spark):
-    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
-    rows = table.collect()
-    x = np.array([r.embedding for r in rows])
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    label = np.array([r.label for r in rows])
-    linked = (x @ x.T >= 0.93) & (label[:, None] == label[None, :]) & ~np.eye(len(x), dtype=bool)
-    found = vectors.near_duplicates(table).collect()
-    assert sum(r.n_links for r in found) >= 0.9 * linked.sum()
+def test_vector_recall(spark, monkeypatch):
+    """Planted pairs at the threshold, in the given table's dimension, with few and with many pivots."""
+    rng = np.random.default_rng(8)
+    n, dim = 600, 64
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    base = unit(rng.normal(size=(n, dim)))
+    away = rng.normal(size=(n, dim))
+    away = unit(away - (away * base).sum(axis=1, keepdims=True) * base)
+    cosine = rng.uniform(0.9301, 0.95, size=(n, 1))
+    x = np.concatenate([base, cosine * base + np.sqrt(1 - cosine**2) * away, unit(rng.normal(size=(3 * n, dim)))])
+    linked = (x @ x.T >= 0.93) & ~np.eye(len(x), dtype=bool)
+    assert linked.sum() >= 2 * n
+    table = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    for many in (vectors.PIVOTS, 2 * vectors.PIVOTS):
+        monkeypatch.setattr(vectors, "pivot_count", lambda _, many=many: many)
+        found = vectors.near_duplicates(table).collect()
+        assert 0.94 * linked.sum() <= sum(r.n_links for r in found) <= linked.sum()
+
+
+def test_equal_vectors_are_one_class(spark):
+    rng = np.random.default_rng(9)
+    hot = rng.normal(size=8).tolist()
+    near = [v + 0.01 for v in hot]
+    table = [(i, hot, 1) for i in range(3000)] + [(5000 + i, near, 1) for i in range(10)] + [(9000, hot, 2)]
+    found = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(spark.createDataFrame(table, "vec_id long, embedding array<double>, label int")).collect()}
+    assert all(found[i] == (3009, 0, i == 0) for i in [*range(3000), *range(5000, 5010)]) and found[9000] == (0, 9000, True)
+
+
+def test_pivots_grow():
+    assert [vectors.pivot_count(n) for n in (10, 50_000, 400_000, 10**10)] == [192, 192, 384, 1023]
