@@ -13,6 +13,7 @@ import base64
 import hashlib
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import dropped, folder, written
+from .runtime import dropped, folder, shuffle_files_freed, written
 from .text import as_bytes, mixed, slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -33,8 +34,8 @@ SHARD_ROWS = 4096
 KEY = 20240229
 #: Documents of one range of the order, unless that makes more ranges than MOST_PARTS; the same bound holds for tasks that write shards.
 RANGE_DOCS, MOST_PARTS = 8192, 20_000
-#: Frees the documents' shuffle files once the sequences are written.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Shards are written in so many waves, so that only the shuffle files of one wave's slots are on disk at a time.
+WAVES = 2
 
 
 class Tokenizer:
@@ -128,12 +129,8 @@ def sequences(documents: DataFrame, length: int = LENGTH, vocabulary: str = VOCA
     with open(vocabulary, "rb") as file:
         shared = spark.sparkContext.broadcast(file.read())
     found = in_ranges(documents).mapInArrow(lambda b: _cut(b, shared.value, length), "part int, k long, n_tokens int, record binary")
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with shuffle_files_freed(spark):
         return written(found, "sequences", compression="zstd")
-    finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
 
 
 def slotted(cut: DataFrame, key: int = KEY) -> tuple[DataFrame, int]:
@@ -192,7 +189,7 @@ def _write(batches: Iterator[pa.RecordBatch], uri: str, length: int, shard_rows:
         yield closed()
 
 
-def training_order(documents: DataFrame, uri: str | None = None, length: int = LENGTH, shard_rows: int = SHARD_ROWS, key: int = KEY, vocabulary: str = VOCABULARY) -> DataFrame:
+def training_order(documents: DataFrame, uri: str | None = None, length: int = LENGTH, shard_rows: int = SHARD_ROWS, key: int = KEY, vocabulary: str = VOCABULARY, waves: int = WAVES) -> DataFrame:
     """Writes ``documents`` in training order as shards below ``uri`` (any store that pyarrow opens; else the shared folder).
 
     Returns the manifest, one row per record: slot, shard, byte_offset within the shard, seq (number
@@ -210,12 +207,17 @@ def training_order(documents: DataFrame, uri: str | None = None, length: int = L
     cut = sequences(documents, length, vocabulary)
     placed, n = slotted(cut, key)
     shards = max(1, -(-n // shard_rows))
-    together = -(-shards // MOST_PARTS)  # shards that one task writes
-    parts = -(-shards // together)
-    dealt = placed.select("slot", "seq", "n_tokens", "record").repartitionById(parts, F.floor(shard_of(F.col("slot"), shard_rows) / together).cast("int")).sortWithinPartitions("slot")
-    manifest = written(dealt.mapInArrow(lambda b: _write(b, target, length, shard_rows), MANIFEST), "manifest")
+    manifests = []
+    for first in range(0, shards, -(-shards // waves)):
+        last = min(shards, first + -(-shards // waves))
+        together = -(-(last - first) // MOST_PARTS)  # shards that one task writes
+        parts = -(-(last - first) // together)
+        dealt = placed.where(F.col("slot").between(first * shard_rows, last * shard_rows - 1)).select("slot", "seq", "n_tokens", "record")
+        dealt = dealt.repartitionById(parts, F.floor((shard_of(F.col("slot"), shard_rows) - first) / together).cast("int")).sortWithinPartitions("slot")
+        with shuffle_files_freed(documents.sparkSession):
+            manifests.append(written(dealt.mapInArrow(lambda b: _write(b, target, length, shard_rows), MANIFEST), "manifest"))
     dropped(cut)
-    return manifest
+    return reduce(DataFrame.union, manifests)
 
 
 def read_slots(path: str, first: int, count: int, length: int = LENGTH) -> np.ndarray:
