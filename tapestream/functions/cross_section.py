@@ -87,16 +87,21 @@ REDUCERS: dict[str, Callable[[Column, Column, Column], Column]] = {
     "cs_diffusion_positive": lambda x, m, u: ratio(F.count_if(x > 0), F.count(x)) * (1 - _hhi(_side(x, 1))),
     "cs_diffusion_negative": lambda x, m, u: ratio(F.count_if(x < 0), F.count(x)) * (1 - _hhi(_side(x, -1))),
 }
+#: A reducer's name, or its name and parameters.
+Reducer = str | tuple[str, dict]
 #: Reducers that need the group's mean first.
 TWO_PASS = {"cs_concentration", "cs_mad", "cs_consensus_index"}
 
 
-def reduce_cross_section(panel: DataFrame, name: str, keys: list[str], values: dict[str, str], universe: Column | None = None, **params) -> DataFrame:
+def reduce_cross_section(panel: DataFrame, name: Reducer, keys: list[str], values: dict[str, str], universe: Column | None = None, **params) -> DataFrame:
     """One row per ``keys`` with a reduced column for each of ``values`` (output name: input column).
 
     ``universe`` is the number of columns of the cross-section, constant per group; by default the
     group's rows count.
     """
+    if not isinstance(name, str):
+        name, own = name
+        params = own | params
     size = F.count("*") if universe is None else F.max(universe)
     if name in TWO_PASS:
         over = Window.partitionBy(*keys)

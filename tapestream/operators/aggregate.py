@@ -9,15 +9,15 @@ imbalance, on the grid of times and series.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.cross_section import reduce_cross_section
+from ..functions.cross_section import Reducer, reduce_cross_section
 from ..functions.frames import ratio, timed
 from ..functions.imbalance import IMBALANCE
-from .universe import board_weights, downscale, range_weights
+from .universe import board_weights, downscale, on_venue, range_weights
 
 Transform = Callable[..., DataFrame]
 
@@ -36,11 +36,11 @@ class Setting:
     def __post_init__(self) -> None:
         self.index_seq = self.index_seq or list(self.targets)
 
-    def sizes(self, depth: int | str = 0) -> DataFrame:
-        """index_code, universe: columns of each target's cross-section (zero weights included if ``universe`` names them)."""
+    def sizes(self, depth: int | str = 0, indexes: list[str] | None = None) -> DataFrame:
+        """index_code, universe: columns of each target's (or given index's) cross-section (zero weights included if ``universe`` names them)."""
         named = (self.universe if self.universe is not None else self.weights).select("index_code", "symbol").distinct()
         out = None
-        for target in self.targets:
+        for target in indexes or self.targets:
             codes = [target] if depth == 0 else [self.index_all] if depth == "all" else downscale(self.index_seq, target, depth)
             part = named.where(F.col("index_code").isin(codes)).agg(F.countDistinct("symbol").alias("universe")).withColumn("index_code", F.lit(target))
             out = part if out is None else out.unionByName(part)
@@ -67,11 +67,20 @@ def renormalized(rows: DataFrame, value: str) -> DataFrame:
     return rows.withColumn(value, F.col(value) * ratio(w * F.count(w).over(over), F.sum(w).over(over)))
 
 
-def _reduced(rows: DataFrame, setting: Setting, cs: str, values: dict[str, str], depth: int | str = 0) -> DataFrame:
-    sized = rows.join(F.broadcast(setting.sizes(depth)), "index_code", "left")  # a row per target
+def _reduced(rows: DataFrame, setting: Setting, cs: Reducer, values: dict[str, str], depth: int | str = 0, indexes: list[str] | None = None) -> DataFrame:
+    sized = rows.join(F.broadcast(setting.sizes(depth, indexes)), "index_code", "left")  # a row per index
     return reduce_cross_section(sized, cs, ["ts", "index_code"], values, F.col("universe"))
 
 
+def _renormalized_reduced(rows: DataFrame, s: Setting, cs: Reducer, values: list[str], indexes: list[str] | None = None) -> DataFrame:
+    """Values times their renormalised weights, reduced; the mean of those is the weighted mean."""
+    if cs == "csmean":
+        return weighted_mean(rows, values)
+    for x in values:
+        rows = renormalized(rows, x)
+    return _reduced(rows, s, cs, {x: x for x in values}, 0, indexes)
+
+
 def _transformed(factor: DataFrame, values: list[str], ts: Transform | None, key: str = "index_code") -> DataFrame:
     if ts is None:
         return factor
@@ -93,25 +102,27 @@ def _universe_rows(ind: DataFrame, s: Setting, depth: int | str, exchange: str |
     return weighted(ind, range_weights(s.weights, s.targets, depth, s.index_all, s.index_seq, exchange, s.first_venue))
 
 
-def avg_side(ind: DataFrame, s: Setting, depth: int | str = 0, cs: str = "csmean") -> DataFrame:
+def avg_side(ind: DataFrame, s: Setting, depth: int | str = 0, cs: Reducer = "csmean") -> DataFrame:
     """Both sides' reduced values by themselves: ts, series, bid, ask."""
     out = _reduced(_scaled(_universe_rows(ind, s, depth, None), ["bid", "ask"]), s, cs, {"bid": "bid", "ask": "ask"}, depth)
     return out.select("ts", F.col("index_code").alias("series"), "bid", "ask")
 
 
-def avg_imb(ind: DataFrame, s: Setting, imb: str = "imb01", depth: int | str = 0, cs: str = "csmean", ts: Transform | None = None, exchange: str | None = None) -> DataFrame:
+def avg_imb(ind: DataFrame, s: Setting, imb: str = "imb01", depth: int | str = 0, cs: Reducer = "csmean", ts: Transform | None = None, exchange: str | None = None) -> DataFrame:
     """Reduce each side with the universe's weights, transform, then the imbalance of the two."""
     out = _reduced(_scaled(_universe_rows(ind, s, depth, exchange), ["bid", "ask"]), s, cs, {"bid": "bid", "ask": "ask"}, depth)
     return _imbalanced(_transformed(out, ["bid", "ask"], ts), imb)
 
 
-def avg_scale_imb(ind: DataFrame, s: Setting, ts: Transform, imb: str = "imb01", depth: int | str = 0, cs: str = "csmean") -> DataFrame:
+def avg_scale_imb(ind: DataFrame, s: Setting, ts: Transform, imb: str = "imb01", depth: int | str = 0, cs: Reducer = "csmean") -> DataFrame:
     """``avg_imb`` with a transform that must be there."""
     return avg_imb(ind, s, imb, depth, cs, ts)
 
 
-def sum_imb(ind: DataFrame, s: Setting, imb: str = "imb01", depth: int | str = 0, ts: Transform | None = None) -> DataFrame:
-    return avg_imb(ind, s, imb, depth, "cssum", ts)
+def sum_imb(ind: DataFrame, s: Setting, imb: str = "imb01", depth: int | str = 0, cs: Reducer = "cssum", ts: Transform | None = None, exchange: str | None = None) -> DataFrame:
+    """``avg_imb`` by a sum, with 1/N over the members on the venue alone."""
+    venue = replace(s, weights=on_venue(s.weights, exchange, s.first_venue), universe=s.universe if s.universe is not None else s.weights)
+    return avg_imb(ind, venue, imb, depth, cs, ts)
 
 
 def _over_depth(factor: DataFrame, s: Setting, depth: int) -> DataFrame:
@@ -121,16 +132,21 @@ def _over_depth(factor: DataFrame, s: Setting, depth: int) -> DataFrame:
     return factor.join(members, "series").groupBy("ts", "target").agg(F.avg("value").alias("value")).select("ts", F.col("target").alias("series"), "value")
 
 
-def _raw(s: Setting, depth: int | str) -> DataFrame:
+def _raw(s: Setting, depth: int | str, exchange: str | None = None) -> DataFrame:
     columns = ("index_code", "trade_date", "symbol", "weight")
     if depth == "all":
-        return range_weights(s.weights, s.targets, "all", s.index_all, s.index_seq, raw_complement=True).select(*columns)
-    return s.weights.where(F.col("index_code").isin(s.index_seq)).select(*columns)
+        return range_weights(s.weights, s.targets, "all", s.index_all, s.index_seq, exchange, s.first_venue, raw_complement=True).select(*columns)
+    return on_venue(s.weights.where(F.col("index_code").isin(s.index_seq)).select(*columns), exchange, s.first_venue)
+
+
+def _indexes(s: Setting, depth: int | str) -> list[str]:
+    """Whose values ``_raw`` gives."""
+    return s.targets if depth == "all" else s.index_seq
 
 
-def wavg_imb(ind: DataFrame, s: Setting, imb: str = "imb01", depth: int | str = 0, ts: Transform | None = None) -> DataFrame:
-    """Weighted mean per side and index, imbalance, then the mean over the downscale indexes."""
-    out = weighted_mean(weighted(ind, _raw(s, depth)), ["bid", "ask"])
+def wavg_imb(ind: DataFrame, s: Setting, imb: str = "imb01", depth: int | str = 0, cs: Reducer = "csmean", ts: Transform | None = None, exchange: str | None = None) -> DataFrame:
+    """Each side and index reduced with renormalised weights, imbalance, then the mean over the downscale indexes."""
+    out = _renormalized_reduced(weighted(ind, _raw(s, depth, exchange)), s, cs, ["bid", "ask"], _indexes(s, depth))
     out = _imbalanced(_transformed(out, ["bid", "ask"], ts), imb)
     return out if depth == "all" else _over_depth(out, s, depth)
 
@@ -140,23 +156,23 @@ def _stock_imbalance(ind: DataFrame, imb: str, ts: Transform | None = None) -> D
     return _transformed(stock, ["value"], ts, "symbol")
 
 
-def _weighted_value(stock: DataFrame, weights: DataFrame) -> DataFrame:
-    return weighted_mean(weighted(stock, weights), ["value"]).select("ts", F.col("index_code").alias("series"), "value")
+def _weighted_value(stock: DataFrame, weights: DataFrame, s: Setting, cs: Reducer, indexes: list[str] | None = None) -> DataFrame:
+    return _renormalized_reduced(weighted(stock, weights), s, cs, ["value"], indexes).select("ts", F.col("index_code").alias("series"), "value")
 
 
-def imb_wavg(ind: DataFrame, s: Setting, imb: str = "imb01", depth: int | str = 0, ts: Transform | None = None) -> DataFrame:
-    """Imbalance per symbol first, then weighted means as in ``wavg_imb``."""
-    out = _weighted_value(_stock_imbalance(ind, imb, ts), _raw(s, depth))
+def imb_wavg(ind: DataFrame, s: Setting, imb: str = "imb01", depth: int | str = 0, cs: Reducer = "csmean", ts: Transform | None = None, exchange: str | None = None) -> DataFrame:
+    """Imbalance per symbol first, then reduced as in ``wavg_imb``."""
+    out = _weighted_value(_stock_imbalance(ind, imb, ts), _raw(s, depth, exchange), s, cs, _indexes(s, depth))
     return out if depth == "all" else _over_depth(out, s, depth)
 
 
-def imb_avg(ind: DataFrame, s: Setting, imb: str = "imb01", depth: int | str = 0, ts: Transform | None = None) -> DataFrame:
-    """Imbalance per symbol, then its plain mean over the universe."""
+def imb_avg(ind: DataFrame, s: Setting, imb: str = "imb01", depth: int | str = 0, cs: Reducer = "csmean", ts: Transform | None = None) -> DataFrame:
+    """Imbalance per symbol, then reduced over the universe, all members alike."""
     universe = range_weights(s.weights, s.targets, depth, s.index_all, s.index_seq).withColumn("weight", F.lit(1.0))
-    return _weighted_value(_stock_imbalance(ind, imb, ts), universe)
+    return _weighted_value(_stock_imbalance(ind, imb, ts), universe, s, cs)
 
 
-def imb_csf(ind: DataFrame, s: Setting, imb: str = "imb01", cs: str = "csmean") -> DataFrame:
+def imb_csf(ind: DataFrame, s: Setting, imb: str = "imb01", cs: Reducer = "csmean") -> DataFrame:
     """Imbalance per symbol with the raw weights of every loaded index, then a reducer."""
     rows = weighted(_stock_imbalance(ind, imb), s.weights.select("index_code", "trade_date", "symbol", "weight"))
     if cs == "csmean":
@@ -164,26 +180,26 @@ def imb_csf(ind: DataFrame, s: Setting, imb: str = "imb01", cs: str = "csmean")
     return reduce_cross_section(renormalized(rows, "value"), cs, ["ts", "index_code"], {"value": "value"}).select("ts", F.col("index_code").alias("series"), "value")
 
 
-def _self_rows(ind: DataFrame, s: Setting, minute_weights: DataFrame, depth: int | str | None) -> DataFrame:
+def _self_rows(ind: DataFrame, s: Setting, minute_weights: DataFrame, depth: int | str | None, exchange: str | None) -> DataFrame:
     rows = weighted(ind, minute_weights.select("index_code", "ts", "symbol", "weight"), minute=True)
     if depth is None:
         return rows
-    universe = range_weights(s.weights, s.targets, depth, s.index_all, s.index_seq, raw_complement=True).where("weight > 0").select("index_code", F.col("trade_date").alias("day"), "symbol").distinct()
+    universe = range_weights(s.weights, s.targets, depth, s.index_all, s.index_seq, exchange, s.first_venue, raw_complement=True).where("weight > 0").select("index_code", F.col("trade_date").alias("day"), "symbol").distinct()
     return rows.withColumn("day", F.to_date("ts")).join(universe, ["index_code", "day", "symbol"], "left_semi")
 
 
-def selfwavg_imb(ind: DataFrame, s: Setting, minute_weights: DataFrame, imb: str = "imb01", depth: int | str | None = None, ts: Transform | None = None) -> DataFrame:
-    """Means by minute weights of one's own, optionally kept to the universe."""
-    out = weighted_mean(_self_rows(ind, s, minute_weights, depth), ["bid", "ask"])
+def selfwavg_imb(ind: DataFrame, s: Setting, minute_weights: DataFrame, imb: str = "imb01", depth: int | str | None = None, cs: Reducer = "csmean", ts: Transform | None = None, exchange: str | None = None) -> DataFrame:
+    """Sides reduced with minute weights of one's own; with a depth, kept to the universe and its venue."""
+    out = _renormalized_reduced(_self_rows(ind, s, minute_weights, depth, exchange), s, cs, ["bid", "ask"])
     return _imbalanced(_transformed(out, ["bid", "ask"], ts), imb)
 
 
-def selfavg_imb(ind: DataFrame, s: Setting, minute_weights: DataFrame, imb: str = "imb01", depth: int | str | None = None, ts: Transform | None = None) -> DataFrame:
+def selfavg_imb(ind: DataFrame, s: Setting, minute_weights: DataFrame, imb: str = "imb01", depth: int | str | None = None, cs: Reducer = "csmean", ts: Transform | None = None, exchange: str | None = None) -> DataFrame:
     """As ``selfwavg_imb``, every positive minute weight counting alike."""
-    return selfwavg_imb(ind, s, minute_weights.where("weight > 0").withColumn("weight", F.lit(1.0)), imb, depth, ts)
+    return selfwavg_imb(ind, s, minute_weights.where("weight > 0").withColumn("weight", F.lit(1.0)), imb, depth, cs, ts, exchange)
 
 
-def subset_wavg_imb(ind: DataFrame, s: Setting, minute_weights: DataFrame, depth: int | str = 0, cs: str = "cssum", ts: Transform | None = None, exchange: str | None = None) -> DataFrame:
+def subset_wavg_imb(ind: DataFrame, s: Setting, minute_weights: DataFrame, depth: int | str = 0, cs: Reducer = "cssum", ts: Transform | None = None, exchange: str | None = None) -> DataFrame:
     """(bid - ask) of the universe's symbols with a positive minute weight over (bid + ask) of the whole universe.
 
     Both weights only select. Each side is reduced by ``cs`` (a sum, for the intended meaning) before the ratio.
@@ -197,15 +213,16 @@ def subset_wavg_imb(ind: DataFrame, s: Setting, minute_weights: DataFrame, depth
     return out.select("ts", F.col("index_code").alias("series"), IMBALANCE["imb09"](F.col("nb"), F.col("na"), F.col("db"), F.col("da")).alias("value"))
 
 
-def norm_wavg_imb(ind: DataFrame, s: Setting, imb: str = "imb01", depth: int | str = 0, ts: Transform | None = None) -> DataFrame:
+def norm_wavg_imb(ind: DataFrame, s: Setting, imb: str = "imb01", depth: int | str = 0, cs: Reducer = "csmean", ts: Transform | None = None, exchange: str | None = None) -> DataFrame:
     """Each symbol's sides as shares of their sum, weighted by the board's own weights within the universe."""
     both = F.col("bid") + F.col("ask")
     shares = ind.select("ts", "symbol", ratio(F.col("bid"), both).alias("bid"), ratio(F.col("ask"), both).alias("ask"))
-    out = weighted_mean(weighted(shares, board_weights(s.weights, s.targets, depth, s.index_all, s.index_seq)), ["bid", "ask"])
+    board = on_venue(board_weights(s.weights, s.targets, depth, s.index_all, s.index_seq), exchange, s.first_venue)
+    out = _renormalized_reduced(weighted(shares, board), s, cs, ["bid", "ask"])
     return _imbalanced(_transformed(out, ["bid", "ask"], ts), imb)
 
 
-def fund_flow_metrics(ind: DataFrame, s: Setting, cs: str, imb: str = "imb10", depth: int | str = 0, ts: Transform | None = None) -> DataFrame:
+def fund_flow_metrics(ind: DataFrame, s: Setting, cs: Reducer, imb: str = "imb10", depth: int | str = 0, ts: Transform | None = None) -> DataFrame:
     """Flow per symbol times the universe's weight, then a cross-sectional metric of it."""
     stock = _stock_imbalance(ind, imb, ts)
     rows = weighted(stock, range_weights(s.weights, s.targets, depth, s.index_all, s.index_seq)).withColumn("value", F.col("value") * F.col("weight"))

@@ -29,8 +29,13 @@ def aggregated(ind: DataFrame, setting: aggregate.Setting, spec: Aggregation, mi
     if spec.ts:
         parameters = _bar_windows(spec.ts_prs)
         ts = lambda frame, x, out: TRANSFORMS[spec.ts](frame, x=x, out=out, **parameters)
-    given = {"imb": spec.imb, "depth": spec.downscale_depth, "cs": spec.cs, "ts": ts, "exchange": spec.exchange, "minute_weights": minute_weights}
+    exchange = None if spec.exchange == "all" else spec.exchange
+    cs = (spec.cs, spec.cs_prs) if spec.cs_prs else spec.cs
+    given = {"imb": spec.imb, "depth": spec.downscale_depth, "cs": cs, "ts": ts, "exchange": exchange, "minute_weights": minute_weights}
     taken = function.__code__.co_varnames[: function.__code__.co_argcount]
+    unused = [k for k, default in (("imb", "imb01"), ("depth", 0), ("cs", "csmean"), ("ts", None), ("exchange", None)) if k not in taken and given[k] not in (None, default)]
+    if unused:
+        raise ValueError(f"{spec.aggregation} ({spec.name}) has no {', '.join(unused)}")
     made = function(ind, setting, **{k: v for k, v in given.items() if k in taken and not (v is None and k in ("ts", "exchange", "minute_weights"))})
     if spec.aggregation == "avg_side":
         return {f"{spec.name}_{side.capitalize()}": made.select("series", "ts", F.col(side).alias("value")) for side in ("bid", "ask")}

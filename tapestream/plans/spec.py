@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tomllib
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -18,6 +19,7 @@ class Aggregation:
     downscale_depth: int | str | None = 0
     imb: str = "imb01"
     cs: str = "csmean"
+    cs_prs: dict = field(default_factory=dict)
     ts: str | None = None
     ts_prs: dict = field(default_factory=dict)
     exchange: str | None = None
@@ -76,8 +78,6 @@ def loaded(path: str) -> dict:
     if file.suffix == ".toml":
         return tomllib.loads(file.read_text())
     if file.suffix == ".json":
-        import json
-
         return json.loads(file.read_text())
     import yaml
 
@@ -100,9 +100,29 @@ def terminal_nodes(paths: list[list[str]]) -> list[str]:
     return sorted({"_TS_".join(p) for p in paths})
 
 
+def paths_json(paths: list[list[str]], path: str) -> None:
+    """Writes the terminal nodes of transform paths."""
+    Path(path).write_text(json.dumps(terminal_nodes(paths), ensure_ascii=False, indent=1))
+
+
+def _toml(value: object) -> str:
+    """A TOML value; strings, booleans, numbers, lists and tables (None has no form)."""
+    if isinstance(value, bool):
+        return "true" if value else "false"
+    if isinstance(value, str):
+        return json.dumps(value, ensure_ascii=False).replace("\x7f", "\\u007f")
+    if isinstance(value, (list, tuple)):
+        return "[" + ", ".join(map(_toml, value)) + "]"
+    if isinstance(value, dict):
+        return "{" + ", ".join(f"{json.dumps(str(k), ensure_ascii=False)} = {_toml(v)}" for k, v in value.items() if v is not None) + "}"
+    if isinstance(value, (int, float)):
+        return repr(value)
+    raise TypeError(f"{value!r} has no TOML form")
+
+
 def batch_toml(specs: list[dict], n_workers: int = 1, mode: str = "init") -> str:
-    """A batch file of generation specs."""
-    lines = [f"n_workers = {n_workers}", f'mode = "{mode}"']
+    """A batch file of generation specs; absent (None) values are left out."""
+    lines = [f"n_workers = {n_workers}", f"mode = {_toml(mode)}"]
     for spec in specs:
-        lines += ["", "[[factors]]", *(f"{k} = {v!r}".replace("'", '"') for k, v in spec.items())]
+        lines += ["", "[[factors]]", *(f"{json.dumps(k, ensure_ascii=False)} = {_toml(v)}" for k, v in spec.items() if v is not None)]
     return "\n".join(lines) + "\n"

@@ -153,7 +153,7 @@ for _d, _n in _depths((0, 1, "all"), "avg_imb"):
     _agg(_n, lambda ind, s, _, d=_d: _rounded(aggregate.avg_imb(ind, s, depth=d)), _final(_weighted(_RANGE[_d])))
 for _d, _n in _depths((0, 1, "all"), "avg_side"):
     _agg(_n, lambda ind, s, _, d=_d: aggregate.avg_side(ind, s, depth=d).select("ts", "series", _amount("bid"), _amount("ask")), f"SELECT ts, series, round(bid * {p.RATE}::DOUBLE, 3) + 0.0 AS bid, round(ask * {p.RATE}::DOUBLE, 3) + 0.0 AS ask FROM ({_weighted(_RANGE[_d])})")
-for _x, _c in (("SH", "IN ('A', 'C')"), ("SZ", "NOT IN ('A', 'C')")):
+for _x, _c in (("SH", "IN ('5', '6')"), ("SZ", "NOT IN ('5', '6')")):
     _agg(f"avg_imb_{_x.lower()}", lambda ind, s, _, x=_x: _rounded(aggregate.avg_imb(ind, s, exchange=x)), _final(_weighted(_RANGE[0], where=f"WHERE weekly.symbol[1] {_c}")))
 for _i, _q in (("imb06", "ask - bid"), ("imb08", "(ask + bid) / 2")):
     _agg(f"avg_{_i}", lambda ind, s, _, i=_i: aggregate.avg_imb(ind, s, i).select("ts", "series", _amount("value")), _final(_weighted(_RANGE[0]), f"({_q}) * {p.RATE}::DOUBLE", 3))
@@ -182,8 +182,55 @@ _FLOW = f"SELECT ts, index_code AS series, (bid - ask) * weight AS x FROM weekly
 for _c, _q in (("cs_breadth", _BREADTH), ("cs_hhi", _HHI), ("cs_diffusion_positive", _CS["cs_diffusion_positive"])):
     _agg(f"fund_flow_{_c[3:]}", lambda ind, s, _, c=_c: _rounded(aggregate.fund_flow_metrics(ind, s, c)), f"SELECT ts, series, round(({_q})::DOUBLE, 6) + 0.0 AS value FROM ({_FLOW}) GROUP BY 1, 2")
 _agg("avg_scale_imb", lambda ind, s, _: _rounded(aggregate.avg_scale_imb(ind, s, lambda f, x, out: TRANSFORMS["mean"](f, x=x, out=out, window=4))), _final(f"SELECT ts, series, avg(bid) OVER f AS bid, avg(ask) OVER f AS ask FROM ({_weighted(_RANGE[0])}) WINDOW f AS (PARTITION BY series ORDER BY ts ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)"))
-_agg("venue_weights", lambda ind, s, _: universe.on_venue(universe.equal_weights(s.weights), "SH", s.first_venue).select("index_code", "trade_date", "symbol", F.round("weight", 6).alias("weight")), f"SELECT index_code, trade_date, symbol, round(weight, 6) AS weight FROM ({_RANGE[0]}) WHERE symbol[1] IN ('A', 'C')")
+_agg("venue_weights", lambda ind, s, _: universe.on_venue(universe.equal_weights(s.weights), "SH", s.first_venue).select("index_code", "trade_date", "symbol", F.round("weight", 6).alias("weight")), f"SELECT index_code, trade_date, symbol, round(weight, 6) AS weight FROM ({_RANGE[0]}) WHERE symbol[1] IN ('5', '6')")
 _agg("lagged_weights", lambda ind, s, _: universe.lagged(s.weights).select("index_code", "trade_date", "symbol", "weight"), "SELECT w.index_code, nd AS trade_date, symbol, weight FROM w JOIN (SELECT *, lead(trade_date) OVER (PARTITION BY index_code ORDER BY trade_date) AS nd FROM (SELECT DISTINCT index_code, trade_date FROM w)) d ON d.index_code = w.index_code AND d.trade_date = w.trade_date WHERE nd IS NOT NULL")
 _agg("filled_weights", lambda ind, s, m: universe.filled_minute_weights(m(), limit=3, least=2.0, mean_of=2).select("index_code", "ts", "symbol", F.round("weight", 6).alias("weight")), """SELECT index_code, ts, symbol, CASE WHEN a >= 2 THEN round(a, 6) END AS weight FROM (
   SELECT *, CASE WHEN count(f) OVER w2 >= 2 THEN avg(f) OVER w2 END AS a FROM (SELECT *, last_value(weight IGNORE NULLS) OVER (PARTITION BY index_code, symbol ORDER BY ts ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS f FROM mw)
   WINDOW w2 AS (PARTITION BY index_code, symbol ORDER BY ts ROWS BETWEEN 1 PRECEDING AND CURRENT ROW))""")
+
+# Venues and other reducers of the weighted aggregators.
+_VENUE = {"SH": "symbol[1] IN ('5', '6')", "SZ": "symbol[1] NOT IN ('5', '6')"}
+
+
+def _scaled_sides(weights, reduce, b="bid", a="ask", source="weekly"):
+    """Both sides times weights of mean 1 over the cells with a value, reduced."""
+    rows = f"SELECT k.ts, index_code AS series, {b} AS bid, {a} AS ask, weight FROM {source} k JOIN ({weights}) u ON ts::DATE = trade_date AND k.symbol = u.symbol"
+    parts = [f"{x} * weight * count({x}) OVER g / nullif(sum(weight) FILTER ({x} IS NOT NULL) OVER g, 0) AS {x}" for x in ("bid", "ask")]
+    return f"SELECT ts, series, {reduce.format(x='bid')} AS bid, {reduce.format(x='ask')} AS ask FROM (SELECT ts, series, {', '.join(parts)} FROM ({rows}) WINDOW g AS (PARTITION BY ts, series)) GROUP BY 1, 2"
+
+
+_IQR = "(quantile_cont({x}, 0.75) - quantile_cont({x}, 0.25))"
+_HHI_OF = "(sum({x} * {x}) / nullif(sum(abs({x})), 0) ^ 2)"
+_SHARES = "(SELECT ts, symbol, bid / nullif(bid + ask, 0) AS bid, ask / nullif(bid + ask, 0) AS ask FROM weekly)"
+_BOARD = "SELECT r.index_code, b.trade_date, b.symbol, b.weight FROM w b JOIN w r ON r.trade_date = b.trade_date AND r.symbol = b.symbol WHERE b.index_code = 'ALL' AND r.weight > 0"
+
+
+def _minute_sides(where, reduce):
+    rows = f"SELECT k.ts, index_code AS series, bid, ask, weight FROM weekly k JOIN mw m ON m.ts = k.ts AND m.symbol = k.symbol {where}"
+    parts = [f"{x} * weight * count({x}) OVER g / nullif(sum(weight) FILTER ({x} IS NOT NULL) OVER g, 0) AS {x}" for x in ("bid", "ask")]
+    return f"SELECT ts, series, {reduce.format(x='bid')} AS bid, {reduce.format(x='ask')} AS ask FROM (SELECT ts, series, {', '.join(parts)} FROM ({rows}) WINDOW g AS (PARTITION BY ts, series)) GROUP BY 1, 2"
+
+
+def _in_range():
+    return "WHERE EXISTS (SELECT 1 FROM w r WHERE r.index_code = m.index_code AND r.trade_date = k.ts::DATE AND r.symbol = k.symbol AND r.weight > 0)"
+
+
+for _x, _c in _VENUE.items():
+    _w, _l = f"SELECT * FROM w WHERE {_c}", _x.lower()
+    _agg(f"wavg_imb_{_l}", lambda ind, s, _, x=_x: _rounded(aggregate.wavg_imb(ind, s, exchange=x)), _final(_weighted(_w, _WMEAN)))
+    _agg(f"wavg_imb_depth1_{_l}", lambda ind, s, _, x=_x: _rounded(aggregate.wavg_imb(ind, s, depth=1, exchange=x)), _mean_depth(_weighted(_w, _WMEAN)))
+    _agg(f"imb_wavg_{_l}", lambda ind, s, _, x=_x: _rounded(aggregate.imb_wavg(ind, s, exchange=x)), _final(_stock_mean(_w), "v"))
+    _agg(f"imb_wavg_board_{_l}", lambda ind, s, _, x=_x: _rounded(aggregate.imb_wavg(ind, s, depth="all", exchange=x)), _final(_stock_mean(f"SELECT * FROM ({_RAW_ALL}) WHERE {_c}"), "v"))
+    _agg(f"sum_imb_{_l}", lambda ind, s, _, x=_x: _rounded(aggregate.sum_imb(ind, s, exchange=x)), _final(_weighted(_RANGE[0].replace("FROM w", f"FROM w WHERE {_c}"), "coalesce(sum({x} * weight), 0)")))
+    _agg(f"norm_wavg_imb_{_l}", lambda ind, s, _, x=_x: _rounded(aggregate.norm_wavg_imb(ind, s, exchange=x)), _final(f"SELECT ts, index_code AS series, {_WMEAN.format(x='bid')} AS bid, {_WMEAN.format(x='ask')} AS ask FROM {_SHARES} k JOIN (SELECT * FROM ({_BOARD}) WHERE {_c}) u ON ts::DATE = trade_date AND k.symbol = u.symbol GROUP BY 1, 2"))
+    _agg(f"selfwavg_imb_{_l}", lambda ind, s, m, x=_x: _rounded(aggregate.selfwavg_imb(ind, s, m(), depth=0, exchange=x)), _final(_MINUTE.format(b=_WMEAN.format(x="bid"), a=_WMEAN.format(x="ask"), where=f"{_IN_RANGE} AND weekly.{_c}")))
+    _agg(f"selfavg_imb_{_l}", lambda ind, s, m, x=_x: _rounded(aggregate.selfavg_imb(ind, s, m(), depth=0, exchange=x)), _final(_MINUTE.format(b="avg(bid)", a="avg(ask)", where=f"{_IN_RANGE} AND weight > 0 AND weekly.{_c}")))
+_agg("wavg_imb_iqr", lambda ind, s, _: _rounded(aggregate.wavg_imb(ind, s, cs="cs_iqr")), _final(_scaled_sides("SELECT * FROM w", _IQR)))
+_agg("wavg_imb_depth1_hhi", lambda ind, s, _: _rounded(aggregate.wavg_imb(ind, s, depth=1, cs="cs_hhi")), _mean_depth(_scaled_sides("SELECT * FROM w", _HHI_OF)))
+_agg("imb_wavg_iqr", lambda ind, s, _: _rounded(aggregate.imb_wavg(ind, s, cs="cs_iqr")), _final(_scaled_sides("SELECT * FROM w", _IQR, "v", "v", _STOCK), "bid"))
+_agg("imb_avg_hhi", lambda ind, s, _: _rounded(aggregate.imb_avg(ind, s, cs="cs_hhi")), _final(_scaled_sides("SELECT index_code, trade_date, symbol, 1.0::DOUBLE AS weight FROM w", _HHI_OF, "v", "v", _STOCK), "bid"))
+_agg("sum_imb_mean", lambda ind, s, _: _rounded(aggregate.sum_imb(ind, s, cs="csmean")), _final(_weighted(_RANGE[0])))
+_agg("norm_wavg_imb_hhi", lambda ind, s, _: _rounded(aggregate.norm_wavg_imb(ind, s, cs="cs_hhi")), _final(_scaled_sides(_BOARD, _HHI_OF, source=_SHARES)))
+_agg("selfwavg_imb_hhi", lambda ind, s, m: _rounded(aggregate.selfwavg_imb(ind, s, m(), depth=0, cs="cs_hhi")), _final(_minute_sides(_in_range(), _HHI_OF)))
+_agg("selfavg_imb_iqr", lambda ind, s, m: _rounded(aggregate.selfavg_imb(ind, s, m(), depth=0, cs="cs_iqr")), _final(_minute_sides(_in_range() + " AND m.weight > 0", _IQR).replace("bid, ask, weight FROM", "bid, ask, 1.0::DOUBLE AS weight FROM")))
+_agg("imb_csf_above", lambda ind, s, _: _rounded(aggregate.imb_csf(ind, s, cs=("cs_above_threshold", {"threshold": 0.25}))), _final(_scaled_sides("SELECT * FROM w", "(count(*) FILTER ({x} > 0.25) / count(*))", "v", "v", _STOCK), "bid"))

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.imbalance import IMBALANCE
 from ..operators.aggregate import Setting
 
 TARGETS = ["W3", "W2", "ALL"]
-FIRST_VENUE = ("A", "C")
+FIRST_VENUE = ("5", "6")
 #: Amounts are shown in another currency: averages of cents lie on ties of a rounding too often.
 RATE = 0.7182818
 
@@ -18,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def symbol() -> Column:
+    """A nation as a symbol; its first digit tells its venue."""
+    return F.concat_ws("_", (F.col("n_nationkey") % 10).cast("string"), "n_name").alias("symbol")
+
+
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Indicator per hour and event type: bid from even users, ask from odd ones."""
     even = F.col("user_id") % 2 == 0
@@ -36,11 +41,11 @@ def weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, customer, nation = (table(spark, sf_dir, n) for n in ("orders", "customer", "nation"))
     rows = orders.join(customer, orders.o_custkey == customer.c_custkey).join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
     price = F.col("o_totalprice").cast("double")
-    return rows.groupBy(F.date_trunc("week", "o_orderdate").cast("timestamp_ntz").alias("ts"), F.col("n_name").alias("symbol")).agg(F.sum(F.when(F.col("o_orderstatus") == "F", price)).alias("bid"), F.sum(F.when(F.col("o_orderstatus") == "O", price)).alias("ask"))
+    return rows.groupBy(F.date_trunc("week", "o_orderdate").cast("timestamp_ntz").alias("ts"), symbol()).agg(F.sum(F.when(F.col("o_orderstatus") == "F", price)).alias("bid"), F.sum(F.when(F.col("o_orderstatus") == "O", price)).alias("ask"))
 
 
 WEEKLY = """weekly AS (
-  SELECT date_trunc('week', o_orderdate)::TIMESTAMP AS ts, n_name AS symbol,
+  SELECT date_trunc('week', o_orderdate)::TIMESTAMP AS ts, (n_nationkey % 10) || '_' || n_name AS symbol,
          sum(o_totalprice::DOUBLE) FILTER (o_orderstatus = 'F') AS bid, sum(o_totalprice::DOUBLE) FILTER (o_orderstatus = 'O') AS ask
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2)"""
 
@@ -71,7 +76,7 @@ def weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, customer, nation = (table(spark, sf_dir, n) for n in ("orders", "customer", "nation"))
     rows = orders.join(customer, orders.o_custkey == customer.c_custkey).join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
     day = F.to_date(F.date_trunc("week", "o_orderdate"))
-    counted = rows.groupBy(day.alias("trade_date"), F.col("n_name").alias("symbol"), F.col("n_nationkey").alias("k")).agg(F.count("*").cast("double").alias("weight"))
+    counted = rows.groupBy(day.alias("trade_date"), symbol(), F.col("n_nationkey").alias("k")).agg(F.count("*").cast("double").alias("weight"))
     counted = counted.where((F.month("trade_date") + F.col("k")) % 25 != 0)
     codes = F.when(F.col("k") % 5 == 0, F.array(*map(F.lit, ("W3", "W2", "ALL")))).when(F.col("k") % 5 == 1, F.array(*map(F.lit, ("W2", "ALL")))).otherwise(F.array(F.lit("ALL")))
     return counted.select(F.explode(codes).alias("index_code"), "trade_date", "symbol", "weight")
@@ -79,7 +84,7 @@ def weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 WEIGHTS = """w AS (
   SELECT unnest(CASE WHEN k % 5 = 0 THEN ['W3', 'W2', 'ALL'] WHEN k % 5 = 1 THEN ['W2', 'ALL'] ELSE ['ALL'] END) AS index_code, trade_date, symbol, weight
-  FROM (SELECT date_trunc('week', o_orderdate)::DATE AS trade_date, n_name AS symbol, n_nationkey AS k, count(*)::DOUBLE AS weight
+  FROM (SELECT date_trunc('week', o_orderdate)::DATE AS trade_date, (n_nationkey % 10) || '_' || n_name AS symbol, n_nationkey AS k, count(*)::DOUBLE AS weight
         FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2, 3)
   WHERE (month(trade_date) + k) % 25 <> 0)"""
 
@@ -92,13 +97,13 @@ def minute_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights of one's own per index, week and nation: orders of that week, for odd counts only."""
     orders, customer, nation = (table(spark, sf_dir, n) for n in ("orders", "customer", "nation"))
     rows = orders.join(customer, orders.o_custkey == customer.c_custkey).join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
-    counted = rows.groupBy(F.date_trunc("week", "o_orderdate").cast("timestamp_ntz").alias("ts"), F.col("n_name").alias("symbol")).agg(F.count("*").alias("n"))
+    counted = rows.groupBy(F.date_trunc("week", "o_orderdate").cast("timestamp_ntz").alias("ts"), symbol()).agg(F.count("*").alias("n"))
     return counted.select(F.explode(F.array(*map(F.lit, TARGETS))).alias("index_code"), "ts", "symbol", F.when(F.col("n") % 2 == 1, F.col("n").cast("double")).alias("weight"))
 
 
 MINUTE_WEIGHTS = """mw AS (
   SELECT unnest(['W3', 'W2', 'ALL']) AS index_code, ts, symbol, CASE WHEN n % 2 = 1 THEN n::DOUBLE END AS weight
-  FROM (SELECT date_trunc('week', o_orderdate)::TIMESTAMP AS ts, n_name AS symbol, count(*) AS n
+  FROM (SELECT date_trunc('week', o_orderdate)::TIMESTAMP AS ts, (n_nationkey % 10) || '_' || n_name AS symbol, count(*) AS n
         FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2))"""
 
 

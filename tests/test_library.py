@@ -187,3 +187,23 @@ def test_stream(spark, tmp_path):
     query.awaitTermination(120)
     found = {r.ts: r.value for r in incremental.latest_version(spark, str(tmp_path / "factor")).collect()}
     assert len(found) == 4 and found[T[0]] == pytest.approx((1 - 2) / 3)
+
+
+def test_batch_file_round_trip(tmp_path):
+    specs = [{"name": 'a "quoted" one', "path": "C:\\x", "on": True, "off": False, "n": 3, "x": 0.5, "list": ["a'b", "c"], "inner": {"k": [1, 2]}, "none": None}]
+    file = tmp_path / "batch.toml"
+    file.write_text(spec.batch_toml(specs, 4, "update"))
+    assert spec.loaded(str(file)) == {"n_workers": 4, "mode": "update", "factors": [{k: v for k, v in specs[0].items() if v is not None}]}
+    spec.paths_json([["a", "b"], ["a"]], str(tmp_path / "paths.json"))
+    assert spec.loaded(str(tmp_path / "paths.json")) == ["a", "a_TS_b"]
+
+
+def test_planner_takes_or_refuses_parameters(spark):
+    s, ind = setting(spark), indicator(spark)
+    made = planner.aggregated(ind, s, spec.Aggregation("f", "imb_csf", cs="cs_above_threshold", cs_prs={"threshold": 0.4}))["f"]
+    assert values(made)[T[0], "A"] == pytest.approx(0.0) and values(made)[T[0], "B"] == pytest.approx(1 / 3)
+    none = planner.aggregated(ind, s, spec.Aggregation("f", "wavg_imb", exchange="SZ"))["f"]
+    both = planner.aggregated(ind, s, spec.Aggregation("f", "wavg_imb", exchange="all"))["f"]
+    assert not values(none) and values(both)
+    with pytest.raises(ValueError, match="exchange"):
+        planner.aggregated(ind, s, spec.Aggregation("f", "imb_csf", exchange="SH"))
