@@ -116,8 +116,18 @@ def lowFreqEnergyRatio(frame: DataFrame, x: Column, out: str, window: Window_, c
 
 @transform
 def phaseTimesMagnitude(frame: DataFrame, x: Column, out: str, window: Window_, cutoff_freq: float, sampling_interval: float = 1) -> DataFrame:
-    """Sum of phase times magnitude over those frequencies."""
-    return _spectral(frame, x, out, window, lambda f, at: float((np.angle(f) * np.abs(f))[np.abs(at) <= cutoff_freq].sum()), 2, sampling_interval)
+    """Sum of phase times magnitude over those frequencies.
+
+    Conjugate frequencies cancel each other, so what is left is that of 0 and of half the sampling rate, whose
+    terms are real: pi times their size where they are negative. Adding the phases up instead would
+    give rounding errors, and a whole turn where an imaginary part is rounded to 0.
+    """
+
+    def value(f: np.ndarray, at: np.ndarray) -> float:
+        real = f.real[(np.abs(at) <= cutoff_freq) & ((at == 0) | (np.arange(len(f)) * 2 == len(f)))]
+        return float(-np.pi * real[real < 0].sum())
+
+    return _spectral(frame, x, out, window, value, 2, sampling_interval)
 
 
 def freq_to_minutes(cutoff_freq: float) -> str:

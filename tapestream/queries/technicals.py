@@ -33,7 +33,7 @@ PRICES = f"""known AS (
 
 def _query(transform, parameters):
     x = "other" if transform == "regression_beta" else "value"
-    return lambda spark, sf_dir: TRANSFORMS[transform](prices(spark, sf_dir), x=x, out="out", **parameters).select("series", "ts", F.round("out", 6).alias("value"))
+    return lambda spark, sf_dir: TRANSFORMS[transform](prices(spark, sf_dir), x=x, out="out", **parameters).select("series", "ts", (F.round("out", 6) + 0.0).alias("value"))
 
 
 def _rows(n, end="CURRENT ROW"):
@@ -139,13 +139,137 @@ def _ewm(span):
 _add("ewma", {"span": 8}, _ewm(8), f"(SELECT *, list(x) OVER {_O} AS a FROM s)")
 _add("intraEwma", {"span": 4}, _ewm(4), "(SELECT *, list(x) OVER (PARTITION BY series, ts::DATE ORDER BY ts) AS a FROM s)")
 
-# Those with a state, and families of them: no SQL; tests compare them with plain loops.
-for _name, _parameters in {
-    "lowFreqEnergyRatio": {"window": 16, "cutoff_freq": 0.1}, "phaseTimesMagnitude": {"window": 16, "cutoff_freq": 0.1},
-    "lowFreqEnergyRatio_x_slope": {"window": 16, "cutoff_freq": 0.002}, "lowFreqEnergyRatio_x_slpsign": {"window": 16, "cutoff_freq": 0.002},
-    "lowFreqWithPosTrend": {"fft_window": 16, "pos_window": "3d", "freq_cutoff": 0.1},
-    "ema_func": _n, "dema_func": _n, "t3_func": {"window": 4}, "kama_func": _n, "rsi_func": _n, "cmo_func": _n, "macd_func": {"window": 12}, "htTrendline_func": _n,
-    "DoubleMa_func": {"window": 24}, "MACDEma_func": {"window": 24}, "DoubleEma_func": {"window": 24}, "TripleEma_func": {"window": 24}, "MACDKama_func": {"window": 24}, "DoubleKama_func": {"window": 24}, "TripleKama_func": {"window": 24},
-    "termtrend_revadd": {"window": 48, "tfunc": "slope_func", "bars_a_day": 24}, "termtrend_revwinr": {"window": 48, "tfunc": "slope_func", "bars_a_day": 24}, "termtrend_revplr": {"window": 48, "tfunc": "slope_func", "bars_a_day": 24},
-}.items():
-    _add(_name, _parameters)
+# States: recursive CTEs over the row number, one step at a time.
+_STEPS = f"r AS MATERIALIZED (SELECT * FROM {_R})"
+
+
+def _smoothed(name, source, value, n, first, alpha=None):
+    """CTEs: exponential smoothing ``h`` of a column from its row ``first`` on, which starts with the mean of ``n`` values."""
+    return f"""{name}_m AS MATERIALIZED (SELECT series, i, {value} AS v, avg({value}) OVER (PARTITION BY series ORDER BY i ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS m FROM {source}
+), {name} AS MATERIALIZED (WITH RECURSIVE z AS (
+  SELECT series, i, m AS h FROM {name}_m WHERE i = {first + n - 1}
+  UNION ALL SELECT q.series, q.i, z.h + {alpha or 2 / (n + 1)!r}::DOUBLE * (q.v - z.h) FROM z JOIN {name}_m q ON q.series = z.series AND q.i = z.i + 1
+) SELECT * FROM z)"""
+
+
+def _ema(n):
+    """CTEs: ``h`` of every row, the first ones smoothed with the rows there are."""
+    early = f"(sum(x) OVER {_O} - x) / i"
+    return _smoothed(f"ema{n}_s", "r", "x", n, 0) + f", ema{n} AS MATERIALIZED (SELECT series, ts, i, x, CASE WHEN i = 0 THEN x WHEN i < {n} THEN {early} + 2.0::DOUBLE / (i + 1) * (x - {early}) ELSE h END AS h FROM r LEFT JOIN ema{n}_s USING (series, i))"
+
+
+def _kama(n):
+    path = f"sum(abs(x - b)) OVER {_rows(n)}"
+    return f"""kama{n}_e AS MATERIALIZED (SELECT *, CASE WHEN p > 0 THEN least(abs(x - l) / p, 1) ELSE 1 END AS e FROM (SELECT *, {path} AS p, lag(x, {n}) OVER {_O} AS l FROM (SELECT *, lag(x) OVER {_O} AS b FROM r))
+), kama{n} AS MATERIALIZED (SELECT r.series, r.ts, r.i, r.x, CASE WHEN r.i >= {n} THEN z.h END AS h FROM r LEFT JOIN (WITH RECURSIVE z AS (
+  SELECT series, i, x AS h FROM r WHERE i = {n - 1}
+  UNION ALL SELECT q.series, q.i, z.h + pow(e * (2.0::DOUBLE / 3 - 2.0::DOUBLE / 31) + 2.0::DOUBLE / 31, 2) * (q.x - z.h) FROM z JOIN kama{n}_e q ON q.series = z.series AND q.i = z.i + 1
+) SELECT * FROM z) z ON z.series = r.series AND z.i = r.i)"""
+
+
+def _wilder(n):
+    steps = f"w_d AS MATERIALIZED (SELECT *, greatest(d, 0) AS up, greatest(-d, 0) AS dn FROM (SELECT *, x - lag(x) OVER {_O} AS d FROM r))"
+    up, down = _smoothed("w_u", "w_d", "up", n, 1, 1 / n), _smoothed("w_l", "w_d", "dn", n, 1, 1 / n)
+    return f"{steps}, {up}, {down}, wilder AS MATERIALIZED (SELECT r.series, r.ts, r.i, u.h AS up, d.h AS dn FROM r LEFT JOIN w_u u ON u.series = r.series AND u.i = r.i LEFT JOIN w_l d ON d.series = r.series AND d.i = r.i)"
+
+
+def _state(name, parameters, sql, source, *ctes):
+    _add(name, parameters, sql, source, ctes=", " + ", ".join((_STEPS, *ctes)))
+
+
+_state("ema_func", _n, "h", "ema10", _ema(10))
+_state("dema_func", _n, "2 * a.h - b.h", "r LEFT JOIN d1 a USING (series, i) LEFT JOIN d2 b USING (series, i)", _smoothed("d1", "r", "x", 10, 0), _smoothed("d2", "d1", "h", 10, 9))
+_state(
+    "t3_func", {"window": 4}, "-0.343::DOUBLE * e6.h + 2.499::DOUBLE * e5.h - 6.069::DOUBLE * e4.h + 4.913::DOUBLE * e3.h",
+    "r " + " ".join(f"LEFT JOIN e{k} USING (series, i)" for k in (3, 4, 5, 6)), *(_smoothed(f"e{k}", f"e{k - 1}" if k > 1 else "r", "h" if k > 1 else "x", 4, 3 * (k - 1)) for k in range(1, 7)),
+)
+_state("kama_func", _n, "h", "kama10", _kama(10))
+_state("rsi_func", _n, "CASE WHEN up + dn > 0 THEN 100 * up / (up + dn) WHEN up IS NOT NULL THEN 0 END", "wilder", _wilder(10))
+_state("cmo_func", _n, "CASE WHEN up + dn > 0 THEN 100 * (up - dn) / (up + dn) WHEN up IS NOT NULL THEN 0 END", "wilder", _wilder(10))
+_state("macd_func", {"window": 12}, "h", "r LEFT JOIN mg USING (series, i)", _smoothed("m1", "r", "x", 12, 0), _smoothed("m2", "r", "x", 6, 6), "md AS MATERIALIZED (SELECT m1.series, m1.i, m2.h - m1.h AS d FROM m1 JOIN m2 USING (series, i))", _smoothed("mg", "md", "d", 9, 11))
+
+
+def _hilbert(of, rate):
+    return f"(0.0962::DOUBLE * {of}[1] + 0.5769::DOUBLE * {of}[3] - 0.5769::DOUBLE * {of}[5] - 0.0962::DOUBLE * {of}[7]) * {rate}"
+
+
+# Lists hold the seven newest values, newest first; all are zero before row 9.
+_ZEROS = "[0.0, 0, 0, 0, 0, 0, 0]::DOUBLE[]"
+_state(
+    "htTrendline_func", _n, "CASE WHEN i >= 63 THEN (4 * t + 3 * lag(t) OVER o + 2 * lag(t, 2) OVER o + lag(t, 3) OVER o) / 10 END", "(SELECT r.*, t FROM r LEFT JOIN ht z USING (series, i)) WINDOW o AS (PARTITION BY series ORDER BY i)",
+    f"""sm AS MATERIALIZED (SELECT *, list(sm) OVER (PARTITION BY series ORDER BY i ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS s7, list(x) OVER {_rows(50)} AS x50 FROM (
+  SELECT *, CASE WHEN i >= 3 THEN (4 * x + 3 * lag(x) OVER {_O} + 2 * lag(x, 2) OVER {_O} + lag(x, 3) OVER {_O}) / 10 ELSE x END AS sm FROM r)
+), ht AS MATERIALIZED (WITH RECURSIVE z AS (
+  SELECT series, i, {_ZEROS} AS d, {_ZEROS} AS q, {_ZEROS} AS n, 0.0::DOUBLE AS i2, 0.0::DOUBLE AS q2, 0.0::DOUBLE AS re, 0.0::DOUBLE AS im, 0.0::DOUBLE AS p, 0.0::DOUBLE AS t FROM r WHERE i = 8
+  UNION ALL SELECT series, i, d, q, n, i2, q2, re, im, p, list_avg(x50[greatest(1, len(x50) - greatest(1, floor(p + 0.5)::INT) + 1):]) AS t FROM (
+    SELECT *, 0.2 * least(greatest(f, 6.0), 50.0) + 0.8 * p0 AS p FROM (
+      SELECT *, CASE WHEN p0 <> 0 THEN least(greatest(g, 0.67 * p0), 1.5 * p0) ELSE g END AS f FROM (
+        SELECT *, CASE WHEN im <> 0 AND re <> 0 THEN 2 * pi() / atan(im / re) ELSE p0 END AS g FROM (
+          SELECT *, 0.2 * (i2 * j2 + q2 * k2) + 0.8 * re0 AS re, 0.2 * (i2 * k2 - q2 * j2) + 0.8 * im0 AS im FROM (
+            SELECT *, 0.2 * (n[1] - {_hilbert('q', 'rate')}) + 0.8 * j2 AS i2, 0.2 * (q[1] + {_hilbert('n', 'rate')}) + 0.8 * k2 AS q2 FROM (
+              SELECT *, list_prepend({_hilbert('d', 'rate')}, q0[1:6]) AS q, list_prepend(d[4], n0[1:6]) AS n FROM (
+                SELECT *, list_prepend({_hilbert('s', 'rate')}, d0[1:6]) AS d FROM (
+                  SELECT m.series, m.i, m.x50, list_reverse(m.s7) AS s, z.d AS d0, z.q AS q0, z.n AS n0, z.i2 AS j2, z.q2 AS k2, z.re AS re0, z.im AS im0, z.p AS p0, 0.075 * z.p + 0.54 AS rate
+                  FROM z JOIN sm m ON m.series = z.series AND m.i = z.i + 1
+                ))))))))
+) SELECT * FROM z)""",
+)
+
+# Signals of two or three averages.
+def _signals(*averages):
+    """m<n> and l<n>: rounded averages of a row and of the row before; rs: strength."""
+    names = [f"m{n}" for n, _ in averages]
+    joined = " ".join(f"JOIN {of} AS m{n}_ USING (series, i)" for n, of in averages)
+    return f"sg AS MATERIALIZED (SELECT r.series, r.ts, r.i, {', '.join(f'round(m{n}_.h, 9) AS m{n}' for n, _ in averages)} FROM r {joined}), sl AS (SELECT *, {', '.join(f'lag({m}) OVER {_O} AS l{m[1:]}' for m in names)} FROM sg)"
+
+
+_MACD = "(SELECT *, CASE WHEN m12 < m24 AND l12 >= l24 THEN -1 WHEN m12 > m24 AND l12 <= l24 THEN 1 END AS c FROM sl)"
+_DOUBLE = "(SELECT sl.*, CASE WHEN m12 < m24 AND l12 >= l24 AND rs > 30 THEN -1 WHEN m12 > m24 AND l12 <= l24 AND rs < 70 THEN 1 END AS c FROM sl JOIN (SELECT series, i, CASE WHEN up + dn > 0 THEN 100 * up / (up + dn) WHEN up IS NOT NULL THEN 0 END AS rs FROM wilder) USING (series, i))"
+_TRIPLE = "(SELECT *, CASE WHEN m6 < m24 AND m12 < m24 AND l6 >= l24 AND l12 >= l24 THEN -1 WHEN m6 > m24 AND m12 > m24 AND l6 <= l24 AND l12 <= l24 THEN 1 END AS c FROM sl)"
+_state("DoubleMa_func", {"window": 24}, _HELD, _DOUBLE, *(f"ma{n} AS MATERIALIZED (SELECT *, {_ma(n)} AS h FROM r)" for n in (12, 24)), _signals((12, "ma12"), (24, "ma24")), _wilder(24))
+for _kind, _cte in (("Ema", _ema), ("Kama", _kama)):
+    _k = _kind.lower()
+    _state(f"MACD{_kind}_func", {"window": 24}, _HELD, _MACD, _cte(12), _cte(24), _signals((12, f"{_k}12"), (24, f"{_k}24")))
+    _state(f"Double{_kind}_func", {"window": 24}, _HELD, _DOUBLE, _cte(12), _cte(24), _signals((12, f"{_k}12"), (24, f"{_k}24")), _wilder(24))
+    _state(f"Triple{_kind}_func", {"window": 24}, _HELD, _TRIPLE, _cte(6), _cte(12), _cte(24), _signals((6, f"{_k}6"), (12, f"{_k}12"), (24, f"{_k}24")))
+
+# Families against their history.
+_NOW, _THEN = (48, 24, 12), (624, 312, 156, 78)
+_FAMILIES = f", xh AS (SELECT *, lag(x, 48) OVER {_O} AS h FROM {_R}), fm AS (SELECT series, ts, " + ", ".join(f"CASE WHEN count({v}) OVER w{n} >= {n} THEN regr_slope({v}, i::DOUBLE) OVER w{n} END AS {v}{n}" for v, ns in (("x", _NOW), ("h", _THEN)) for n in ns) + " FROM xh WINDOW " + ", ".join(f"w{n} AS {_rows(n)}" for n in _NOW + _THEN) + ")"
+
+
+def _combined(columns, of="{c}"):
+    total = " + ".join(f"coalesce({of.format(c=c)}, 0)" for c in columns)
+    return f"({total}) / nullif({' + '.join(f'({c} IS NOT NULL)::INT' for c in columns)}, 0)"
+
+
+def _balanced(columns):
+    up, down = (" + ".join(f"greatest(coalesce({sign}{c}, 0), 0)" for c in columns) for sign in ("", "-"))
+    return f"(({up}) - ({down})) / nullif(({up}) + ({down}), 0)"
+
+
+for _kind, _of in (("add", _combined), ("winr", lambda columns: _combined(columns, "sign({c})")), ("plr", _balanced)):
+    _now, _then = _of([f"x{n}" for n in _NOW]), _of([f"h{n}" for n in _THEN])
+    _add(f"termtrend_rev{_kind}", {"window": 48, "tfunc": "slope_func", "bars_a_day": 24}, "(a - b) / nullif(abs(a) + abs(b), 0)", f"(SELECT *, {_now} AS a, {_then} AS b FROM fm)", ctes=_FAMILIES)
+
+# Spectra of the frame's list, term by term.
+_SPECTRUM = f", l AS (SELECT *, list(x) OVER {_rows(16)} AS a, row_number() OVER {_O}::DOUBLE AS rn FROM s)"
+
+
+def _over_low(cutoff, of):
+    """Sum over the frequencies up to the cutoff of an expression in re and im."""
+    part = "list_sum(list_transform(range(0, len(a)), lambda j: a[j + 1] * {f}(2 * pi() * ((j * k) % len(a)) / len(a))))"
+    return f"list_sum(list_transform(list_filter(range(0, len(a)), lambda k: least(k, len(a) - k) / len(a) <= {cutoff}), lambda k: {of.format(re=part.format(f='cos'), im='-' + part.format(f='sin'))}))"
+
+
+def _energy(cutoff):
+    return f"{_over_low(cutoff, 'pow({re}, 2) + pow({im}, 2)')} / nullif(len(a) * list_sum(list_transform(a, lambda v: v * v)), 0)"
+
+
+_add("lowFreqEnergyRatio", {"window": 16, "cutoff_freq": 0.1}, _energy(0.1), "l", ctes=_SPECTRUM)
+_add("phaseTimesMagnitude", {"window": 16, "cutoff_freq": 0.1}, "CASE WHEN len(a) >= 2 THEN " + _over_low(0.1, "CASE WHEN (k = 0 OR 2 * k = len(a)) AND {re} < 0 THEN -pi() * {re} ELSE 0 END") + " END", "l", ctes=_SPECTRUM)
+_LATE = ", e AS (SELECT *, " + _energy(0.002) + " AS er, CASE WHEN count(x) OVER w = count(*) OVER w AND count(*) OVER w >= 2 THEN regr_slope(x, rn) OVER w * count(*) OVER w END AS sl FROM l WINDOW w AS (PARTITION BY series ORDER BY ts RANGE BETWEEN to_microseconds(29999999999) PRECEDING AND CURRENT ROW))"
+_add("lowFreqEnergyRatio_x_slope", {"window": 16, "cutoff_freq": 0.002}, "er * sl", "e", ctes=_SPECTRUM + _LATE)
+_add("lowFreqEnergyRatio_x_slpsign", {"window": 16, "cutoff_freq": 0.002}, "er * sign(sl)", "e", ctes=_SPECTRUM + _LATE)
+_POSITION = ", p AS (SELECT *, list(x) OVER (PARTITION BY series ORDER BY ts RANGE BETWEEN to_microseconds(259199999999) PRECEDING AND CURRENT ROW) AS b FROM l)"
+_add("lowFreqWithPosTrend", {"fft_window": 16, "pos_window": "3d", "freq_cutoff": 0.1}, "CASE WHEN len(a) >= 2 AND len(b) >= 2 THEN " + _over_low(0.1, "sqrt(pow({re}, 2) + pow({im}, 2))") + " * CASE WHEN len(list_filter(b, lambda v: v < x)) / len(b) > 0.5 THEN 1 ELSE -1 END END", "p", ctes=_SPECTRUM + _POSITION)
