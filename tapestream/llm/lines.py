@@ -29,6 +29,8 @@ from .text import word_count
 MIN_BLOCK_WORDS = 8
 #: Of the runs' polynomial hashes.
 PRIME, FACTOR = 2**127 - 1, 0x5851F42D4C957F2D14057B7EF767814F
+#: Later documents, about, that one copy of an earlier document's lines is sent with.
+TILE = 64
 #: Rows that are Python lists at a time; changes no result.
 SLICE = 256
 
@@ -186,11 +188,20 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tiles arrive row by row: first the earlier document's lines, then the later documents that are aligned with it."""
+    earlier: list = []
     for whole in batches:
         for start in range(0, whole.num_rows, SLICE):
             batch = whole.slice(start, SLICE)
-            gone = [removed(a, b, words) for a, b, words in zip(*(batch.column(k).to_pylist() for k in ("a_lines", "b_lines", "b_words")), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("version"), pa.array(gone, pa.list_(pa.int32()))], ["doc_id", "version", "gone"])
+            ids, versions, gone = [], [], []
+            for i, v, lines, words in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "version", "lines", "words")), strict=True):
+                if words is None:
+                    earlier = lines
+                else:
+                    ids.append(i)
+                    versions.append(v)
+                    gone.append(removed(earlier, lines, words))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(versions, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], ["doc_id", "version", "gone"])
 
 
 def version(text: Column) -> Column:
@@ -209,14 +220,20 @@ def removals(documents: DataFrame) -> DataFrame:
     places = written(held.select("doc_id", "version", "lines", "words").mapInArrow(_runs, "doc_id long, version long, run binary"), "runs").select("run", doc)
     holders = places.groupBy("run").agg(F.count("*").alias("n"), F.min("doc").alias("first")).where("n > 1")
     pairs = places.join(holders, "run").where("doc <> first").select(F.col("first").alias("a"), F.col("doc.doc_id").alias("doc_id"), F.col("doc.version").alias("version")).distinct()
-    pairs = pairs.join(held.select("doc_id", "version", F.col("lines").alias("b_lines"), F.col("words").alias("b_words")), ["doc_id", "version"])
-    pairs = pairs.join(held.select(doc.alias("a"), F.col("lines").alias("a_lines")), "a")
-    found = pairs.select("doc_id", "version", "a_lines", "b_lines", "b_words").mapInArrow(_aligned, "doc_id long, version long, gone array<int>")
+    pairs = written(pairs, "line-pairs")
+    tiles = pairs.groupBy("a").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    later = pairs.join(tiles, "a").withColumn("tile", F.pmod(F.xxhash64("doc_id", "version"), F.col("tiles")).cast("int")).drop("tiles")
+    later = later.join(held, ["doc_id", "version"]).select("a", "tile", "doc_id", "version", "lines", "words")
+    none = F.lit(None)
+    first = tiles.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).join(held.select(doc.alias("a"), "lines"), "a")
+    first = first.select("a", "tile", none.cast("long").alias("doc_id"), none.cast("long").alias("version"), "lines", none.cast("array<int>").alias("words"))
+    dealt = first.union(later).repartition("a", "tile").sortWithinPartitions("a", "tile", F.col("doc_id").asc_nulls_first())
+    found = dealt.select("doc_id", "version", "lines", "words").mapInArrow(_aligned, "doc_id long, version long, gone array<int>")
     return found.where(F.size("gone") > 0).groupBy("doc_id", "version").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
 
 
 def without_repeats(documents: DataFrame) -> DataFrame:
-    """``documents`` with their text less the lines that an earlier document has, and __lines and __removed (numbers of lines).
+    """``documents`` with their text less the lines that an earlier document has, and __lines and __removed (numbers of lines; columns of these names are replaced).
 
     A document is later if its doc_id is larger, or equal with another text. Lines are equal if they
     are so without the blanks around them. Rows that repeat an id and its text are one document:

@@ -165,6 +165,32 @@ def test_line_dedup_leaves_no_crossing_or_repeated_line(spark):
     assert found[2] == own(2) and found[11] == own(11)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_line_dedup_is_that_of_all_pairs(spark, seed, monkeypatch):
+    """Every run of lines with enough words that any earlier document holds goes, and nothing else; blocks are held by 2 to 40 documents."""
+    monkeypatch.setattr(lines, "TILE", 5)
+    rng = random.Random(seed)
+    blocks = [[" ".join(f"w{rng.randrange(60)}" for _ in range(rng.choice((1, 2, 3, 4, 9)))) for _ in range(rng.randrange(2, 7))] for _ in range(12)]
+    texts = []
+    for i in range(120):
+        parts = [rng.choice(blocks) if rng.random() < 0.7 else [f"own {i} {rng.random()}"] for _ in range(rng.randrange(1, 6))]
+        parts = [rng.sample(p, len(p)) if rng.random() < 0.2 else p[rng.randrange(len(p)) :] if rng.random() < 0.3 else p for p in parts]
+        texts.append([line for p in parts for line in p])
+    expected = {}
+    for j, b in enumerate(texts):
+        gone = set()
+        for a in texts[:j]:
+            for s, t in itertools.product(range(len(b)), range(len(a))):
+                n = 0
+                while s + n < len(b) and t + n < len(a) and b[s + n] == a[t + n]:
+                    n += 1
+                if sum(len(x.split()) for x in b[s : s + n]) >= lines.MIN_BLOCK_WORDS:
+                    gone.update(range(s, s + n))
+        expected[j] = "\n".join(x for k, x in enumerate(b) if k not in gone)
+    table = spark.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in lines.without_repeats(table).collect()} == expected
+
+
 def test_line_dedup_finds_blocks_of_short_lines(spark):
     random.seed(9)
     short = [" ".join(f"s{i}w{k}" for k in range(i % 4)) for i in range(40)]
