@@ -7,6 +7,7 @@ template that ends there. Long matches of one template are chained into covered
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,15 +40,51 @@ TEMPLATES = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
     ],
+    "agpl": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "artistic-2.0": ["is free software; you can redistribute it and/or modify it under the terms of the Artistic License 2.0"],
+    "bsl-1.0": ["Distributed under the Boost Software License, Version 1.0."],
+    "cc0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", "released under the CC0 1.0 Universal Public Domain Dedication"],
+    "epl-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at"],
+    "eupl-1.2": ["Licensed under the EUPL, Version 1.2 or - as soon they will be approved by the European Commission - subsequent versions of the EUPL", "Licensed under the European Union Public Licence"],
     "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
+    "lgpl": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+        "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License",
+    ],
     "mit": [
         "Released under the MIT License",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     ],
     "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
-    "unlicense": ["This is free and unencumbered software released into the public domain."],
+    "unlicense": ["This is free and unencumbered software released into the public domain.", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
+    "wtfpl": ["DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE"],
+    "zlib": ["This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely"],
 }
+# Identifiers of licences in source files, after SPDX_TAG, by label.
+SPDX_TAG = "SPDX-License-Identifier: "
+SPDX = {
+    "agpl": ["AGPL-3.0-only", "AGPL-3.0-or-later"],
+    "apache-2.0": ["Apache-2.0"],
+    "artistic-2.0": ["Artistic-2.0"],
+    "bsd": ["BSD-2-Clause", "BSD-3-Clause"],
+    "bsl-1.0": ["BSL-1.0"],
+    "cc-by": ["CC-BY-4.0"],
+    "cc-by-nc": ["CC-BY-NC-4.0"],
+    "cc-by-sa": ["CC-BY-SA-4.0"],
+    "cc0": ["CC0-1.0"],
+    "epl-2.0": ["EPL-2.0"],
+    "eupl-1.2": ["EUPL-1.2"],
+    "gpl": ["GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later"],
+    "isc": ["ISC"],
+    "lgpl": ["LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later"],
+    "mit": ["MIT"],
+    "mpl-2.0": ["MPL-2.0"],
+    "unlicense": ["Unlicense"],
+    "wtfpl": ["WTFPL"],
+    "zlib": ["Zlib"],
+}
 
 #: Maps A-Z to a-z, keeps a-z, 0-9 and all bytes of non-ASCII characters, and blanks the rest.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -55,7 +92,7 @@ FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 o
 MIN_MATCH = 4
 #: Tokens that may stand between two matches of one chain.
 MAX_GAP = 8
-#: Share of a notice that a chain must cover to carry its label.
+#: Share of a notice that a chain must cover to carry its label; an identifier must be there as a whole.
 MIN_COVER = 0.7
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels array<string>, labels array<string>, score double, spans array<struct<label:string,start:long,end:long>>"
 
@@ -70,7 +107,8 @@ class Automaton:
     def __init__(self, sequences: list[list[bytes]]):
         self.vocabulary: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
-        self.link, self.length, self.ends = [-1], [0], [{}]
+        self.link, self.length = [-1], [0]
+        self.ends: list[dict[int, list[int]]] = [{}]  # by state and sequence: where its strings end there, in order
         self.sizes = [len(s) for s in sequences]
         coded = [[self.vocabulary.setdefault(w, len(self.vocabulary)) for w in s] for s in sequences]
         for code in coded:
@@ -82,8 +120,8 @@ class Automaton:
             for at, token in enumerate(code):
                 state = self.next[state][token]
                 above = state
-                while above > 0 and k not in self.ends[above]:
-                    self.ends[above][k] = at + 1
+                while above > 0:
+                    self.ends[above].setdefault(k, []).append(at + 1)
                     above = self.link[above]
 
     def _state(self, length: int, link: int, following: dict[int, int]) -> int:
@@ -121,7 +159,10 @@ class Scanner:
     def __init__(self) -> None:
         phrases = [tokens(p.encode()) for p in PHRASES]
         notices = [(label, tokens(text.encode())) for label, texts in TEMPLATES.items() for text in texts]
+        tags = [(label, tokens((SPDX_TAG + name).encode())) for label, names in SPDX.items() for name in names]
+        notices += tags
         self.n_phrases = len(phrases)
+        self.least = [0.0] * len(phrases) + [MIN_COVER] * (len(notices) - len(tags)) + [1.0] * len(tags)
         self.names = [*PHRASES.values(), *(label for label, _ in notices)]
         self.automaton = a = Automaton(phrases + [t for _, t in notices])
         own = {}
@@ -157,21 +198,27 @@ class Scanner:
             matches.append((at + len(codes) - size, at + len(codes), state))
 
     def chains(self, matches: list[tuple[int, int, int]]) -> list[tuple[str, int, int]]:
-        """Spans of chained matches that cover enough of one notice, in its order."""
+        """Spans of chained matches that cover enough of one notice, in its order.
+
+        Notices of several licences are much alike. Where spans of two labels overlap by more than half of
+        the shorter one, the one stays whose notice and span are covered better; equal ones both stay.
+        """
         held: dict[int, list[int]] = {}  # by notice: start, end, covered tokens, end within the notice
         spans = []
 
         def close(k: int) -> None:
             start, end, covered, _ = held.pop(k)
-            if covered >= MIN_COVER * self.automaton.sizes[k]:
-                spans.append((self.names[k], start, end))
+            if covered >= self.least[k] * self.automaton.sizes[k]:
+                spans.append((self.names[k], start, end, min(covered / self.automaton.sizes[k], covered / (end - start))))
 
         for start, end, state in matches:
-            for k, there in self.automaton.ends[state].items():
+            for k, places in self.automaton.ends[state].items():
                 if k < self.n_phrases:
                     continue
+                there = next((p for p in places if k in held and p > held[k][3]), places[0])
                 if k in held and (start - held[k][1] > MAX_GAP or there <= held[k][3]):
                     close(k)
+                    there = places[0]
                 if k in held:
                     new = min(end - max(start, held[k][1]), there - held[k][3])
                     held[k] = [held[k][0], end, held[k][2] + new, there]
@@ -179,7 +226,13 @@ class Scanner:
                     held[k] = [start, end, end - start, there]
         for k in list(held):
             close(k)
-        return sorted(set(spans), key=lambda s: (s[1], s[2], s[0]))
+        spans.sort(key=lambda s: (s[1], s[2], s[0]))
+        starts, longest, kept = [s[1] for s in spans], max((s[2] - s[1] for s in spans), default=0), []
+        for label, start, end, share in spans:
+            near = spans[bisect_left(starts, start - longest) : bisect_left(starts, end)]
+            if not any(o[0] != label and o[3] > share and 2 * (min(end, o[2]) - max(start, o[1])) > min(end - start, o[2] - o[1]) for o in near):
+                kept.append((label, start, end))
+        return sorted(set(kept), key=lambda s: (s[1], s[2], s[0]))
 
     def scan(self, batch: pa.RecordBatch) -> dict[str, list]:
         words = [tokens(t or b"") for t in batch.column("text").to_pylist()]

@@ -289,6 +289,34 @@ def test_license_labels(spark):
     assert out[1]["score"] > 0.9 and out[3]["score"] == 0.0
 
 
+def test_license_notices_and_identifiers(spark):
+    texts = {f"some code here\n{notice} and more code": label for label, found in licenses.TEMPLATES.items() for notice in found}
+    texts |= {f"# {licenses.SPDX_TAG}{name}\nimport os": label for label, names in licenses.SPDX.items() for name in names}
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in rows(licenses.scan_licenses(table)):
+        text = list(texts)[r["doc_id"]]
+        assert texts[text] in r["labels"] and set(r["labels"]) - set(r["base_labels"]) <= {texts[text]}, (text, r["labels"])
+    other = spark.createDataFrame([(1, licenses.SPDX_TAG + "Foo-1.0"), (2, "the SPDX license identifier of a file"), (3, licenses.SPDX_TAG + "CC-BY-ND-4.0")], "doc_id long, text string")
+    assert all(set(r["labels"]) <= set(r["base_labels"]) for r in rows(licenses.scan_licenses(other)))
+
+
+def test_license_chain_with_repeated_stretches():
+    """A notice that says the same twice is covered in order, at both places."""
+    scanner = licenses.Scanner()
+    words = [w.encode() for w in "a b c d x a b c d y a b c d".split()]
+    scanner.automaton = licenses.Automaton([words])
+    scanner.names, scanner.n_phrases, scanner.least, scanner.phrases = ["twice"], 0, [1.0], [()] * len(scanner.automaton.next)
+    matches: list = []
+    text = [w.encode() for w in "a b c d q a b c d q a b c d".split()]
+    at = 0
+    for part in (text[0:4], text[5:9], text[10:14]):
+        scanner.run([scanner.automaton.vocabulary[w] for w in part], at, [], matches)
+        at += 5
+    assert scanner.automaton.ends[matches[0][2]] == {0: [4, 9, 14]}
+    scanner.least = [12 / 14]
+    assert scanner.chains(matches) == [("twice", 0, 14)]
+
+
 def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     out = toxicity.toxicity(docs, labels).join(labels, "doc_id").collect()
