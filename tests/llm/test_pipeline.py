@@ -1,6 +1,8 @@
 import corpus_pipeline as pipeline
 from tapestream.llm import toxicity
 
+from .data import documents, empty
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -41,3 +43,12 @@ def test_toxicity_stage(spark):
     bad = {r.doc_id for r in toxicity.score(docs, model).where(f"toxicity >= {toxicity.THRESHOLD}").collect()}
     kept = {r.doc_id for r in pipeline.drop_toxic(spark, docs, SF).collect()}
     assert bad and not bad & kept and len(bad | kept) == docs.count()
+
+
+def test_stages_on_awkward_and_empty_tables(spark):
+    """Nulls, repeated rows, clashing names, no n_chars; then no rows."""
+    for docs in (documents(spark).drop("n_chars"), empty(spark)):
+        for k, (name, stage) in enumerate(pipeline.STAGES):
+            after = stage(spark, docs, SF)
+            assert k == 4 or after.columns == docs.columns, name
+            assert (after.count() == 0) == (docs.count() == 0), name
