@@ -169,6 +169,7 @@ def _messages(s, d):
 
 
 _MESSAGES = "ms AS (SELECT o_orderkey AS id, o_orderstatus AS level, CASE WHEN o_orderkey % 4 = 0 THEN 1 ELSE 0 END AS alerted FROM orders)"
+_add("messages_insert", lambda s, d: tables.with_message(_messages(s, d), "me", "P", "late", "text"), f"WITH {_MESSAGES} SELECT * FROM ms UNION ALL BY NAME SELECT max(id) + 1 AS id, 'P' AS level, 0 AS alerted FROM ms")
 _add("messages_open", lambda s, d: tables.open_messages(_messages(s, d), ["F", "P"]), f"WITH {_MESSAGES} SELECT * FROM ms WHERE alerted = 0 AND level IN ('F', 'P')")
 _add("messages_open_not", lambda s, d: tables.open_messages(_messages(s, d), ["F", "P"], among=False), f"WITH {_MESSAGES} SELECT * FROM ms WHERE alerted = 0 AND level NOT IN ('F', 'P')")
 _add("messages_alerted", lambda s, d: tables.alerted(_messages(s, d), _messages(s, d).where("level = 'O'").select("id")), f"WITH {_MESSAGES} SELECT id, level, CASE WHEN level = 'O' THEN 1 ELSE alerted END AS alerted FROM ms")

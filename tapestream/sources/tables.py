@@ -86,6 +86,14 @@ def open_messages(messages: DataFrame, levels: list[str], among: bool = True) ->
     return messages.where((F.col("alerted") == 0) & (listed if among else ~listed))
 
 
+def with_message(messages: DataFrame, author: str, level: str, title: str, msg: str) -> DataFrame:
+    """Messages and one more, not alerted yet; its id is the next one (1 in an empty table)."""
+    following = messages.agg((F.coalesce(F.max("id"), F.lit(0)) + 1).cast(messages.schema["id"].dataType).alias("id"))
+    new = {"author": author, "level": level, "title": title, "msg": msg, "alerted": 0}
+    row = following.select(*(F.col("id") if f.name == "id" else F.lit(new.get(f.name)).cast(f.dataType).alias(f.name) for f in messages.schema))
+    return messages.unionByName(row)
+
+
 def alerted(messages: DataFrame, ids: DataFrame) -> DataFrame:
     """Messages with those of ``ids`` marked as alerted."""
     marked = ids.select("id").distinct().withColumn("__seen", F.lit(1))

@@ -42,16 +42,19 @@ class Inconsistent(RuntimeError):
     """An increment contradicts what is stored."""
 
 
-def updated(old: DataFrame, new: DataFrame, tolerance: float | None = None) -> DataFrame:
+def updated(old: DataFrame, new: DataFrame, tolerance: float | None = None, debug: str | None = None) -> DataFrame:
     """``old`` with ``new`` upserted, after they agree on the rows they share.
 
     Sums of doubles depend on how rows are dealt, so rows may differ by ``tolerance``; none asks for equality.
+    With ``debug``, the rows that differ are written there as Parquet before Inconsistent is raised.
     """
     found = mismatches(old, new)
     if tolerance is not None:
         found = found.where(F.col("old").isNull() | F.col("new").isNull() | (F.abs(F.col("old") - F.col("new")) > tolerance))
     first = found.orderBy("ts", "series").first()
     if first is not None:
+        if debug:
+            found.write.mode("overwrite").parquet(debug)
         raise Inconsistent(f"{found.count()} rows differ, the first at {first['ts']} of {first['series']}: {first['old']} and {first['new']}")
     return upsert(old, new)
 

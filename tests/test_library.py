@@ -207,3 +207,18 @@ def test_planner_takes_or_refuses_parameters(spark):
     assert not values(none) and values(both)
     with pytest.raises(ValueError, match="exchange"):
         planner.aggregated(ind, s, spec.Aggregation("f", "imb_csf", exchange="SH"))
+
+
+def test_inconsistent_rows_are_written(spark, tmp_path):
+    old = spark.createDataFrame([("a", T[0], 1.0), ("a", T[1], 2.0)], "series string, ts timestamp_ntz, value double")
+    new = spark.createDataFrame([("a", T[1], 2.5), ("a", T[2], 3.0)], "series string, ts timestamp_ntz, value double")
+    with pytest.raises(incremental.Inconsistent):
+        incremental.updated(old, new, debug=str(tmp_path / "differ"))
+    assert [(r.series, r.ts, r.old, r.new) for r in spark.read.parquet(str(tmp_path / "differ")).collect()] == [("a", T[1], 2.0, 2.5)]
+
+
+def test_message_insert(spark):
+    held = spark.createDataFrame([(4, "x", "F", "t", "m", 1)], "id int, author string, level string, title string, msg string, alerted int")
+    more = tables.with_message(tables.with_message(held, "me", "P", "late", "text"), "me", "P", "later", None)
+    assert [tuple(r) for r in more.orderBy("id").collect()] == [(4, "x", "F", "t", "m", 1), (5, "me", "P", "late", "text", 0), (6, "me", "P", "later", None, 0)]
+    assert [r.id for r in tables.with_message(held.limit(0), "me", "P", "t", "m").collect()] == [1]
