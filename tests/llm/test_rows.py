@@ -335,3 +335,28 @@ def test_toxicity_awkward_rows(spark):
     assert len(out) == docs.count() and all(0 <= r["score"] <= 1 for r in out)
     assert all(r["score"] == 0.0 for r in rows(toxicity.toxicity(docs, labels.limit(0))))
     assert rows(toxicity.toxicity(empty(spark), labels)) == []
+
+
+def test_ftrl_is_the_scalar_loop():
+    rng = np.random.default_rng(5)
+    rows_ = [(int(i), int(rng.random() < 0.4), np.unique(rng.integers(0, 40, 6)).astype(np.int32)) for i in rng.permutation(60)]
+    alpha, beta, l1, l2 = 0.7, 1.0, 0.4, 0.1
+    z, n, bias, bias_n = Counter(), Counter(), 0.0, 0.0
+
+    def weight(f):
+        if abs(z[f]) <= l1:
+            return 0.0
+        return -(z[f] - (l1 if z[f] > 0 else -l1)) / ((beta + n[f] ** 0.5) / alpha + l2)
+
+    for _ in range(3):
+        for _, label, features in sorted(rows_, key=lambda r: r[0]):
+            held = {f: weight(f) for f in features.tolist()}
+            g = 1 / (1 + np.exp(-(bias + sum(held.values())))) - label
+            for f, w in held.items():
+                z[f] += g - ((n[f] + g * g) ** 0.5 - n[f] ** 0.5) / alpha * w
+                n[f] += g * g
+            bias_n += g * g
+            bias -= alpha * g / (beta + bias_n**0.5)
+    found_bias, found = toxicity.ftrl(rows_, alpha, beta, l1, l2, epochs=3)
+    assert found_bias == pytest.approx(bias) and found[:40] == pytest.approx([weight(f) for f in range(40)]) and not found[40:].any()
+    assert (found[:40] == 0).any() and (found[:40] != 0).any()
