@@ -2,16 +2,18 @@
 
 1. Every document becomes a set of hashed shingles; documents with one set form a class.
 2. Each class emits signatures so that two linked classes are sure to share one (see ``signatures``).
-3. Pairs of classes that share a signature are bounded from above by the bit counts of their hashed
-   bitmaps; what passes joins them into groups.
-4. The classes of a group are sorted by size and cut into blocks; two blocks whose sizes are
-   compatible form a tile. Within a tile, bitmaps bound every overlap again and sorted arrays are
-   intersected exactly.
+3. Classes that share a signature are bounded from above by the bit counts of their hashed bitmaps, pair
+   by pair where few share it, in tiles of salted blocks where many do; what passes joins them into groups.
+4. A group is cut into blocks by size; two blocks whose sizes are compatible form a tile. Within a
+   tile, bitmaps bound every overlap again and sorted arrays are intersected exactly.
+
+Classes go by a key of their own, so rows that repeat a doc_id with another text stay apart.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +28,12 @@ from .text import WordHashes, as_bytes, mixed, ngram_hashes, slices
 SHARE = 0.0005
 #: Shingles that are counted together; a shingle frequent over all is frequent in one such block.
 BLOCK_SHINGLES = 6_000_000
-#: A signature that more classes share makes them one group without looking at pairs.
-MOST_PAIRED = 256
+#: Frequent shingles that are told apart from rare ones at most (8 MB): the most frequent of them.
+MOST_FREQUENT = 1_000_000
+#: A signature that more classes share is looked at in tiles of bitmaps, from which a tree of pairs comes back instead of all.
+MOST_PAIRED = 32
+#: Classes of one block of such a signature.
+SIGNATURE_ROWS = 1024
 #: Work of one block of a tile: shingles, plus ROW_COST for each class.
 BLOCK_COST, ROW_COST = 2**18, 512
 #: Bits of the filter that finds the texts of candidates (a prime; 2 MB). More ids than that let more texts pass, no fewer.
@@ -146,13 +152,14 @@ def _frequent(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
 def frequent_shingles(documents: DataFrame, width: int) -> np.ndarray:
     """Sorted hashes of shingles that at least SHARE of all documents (and 16) hold.
 
-    Their number is bounded by the documents' mean size / SHARE, whatever the number of documents. They only
-    order buckets: which shingles are in decides nothing about the result.
+    Their number is bounded by the documents' mean size / SHARE, whatever the number of documents, and by
+    MOST_FREQUENT. They only order buckets: which shingles are in decides nothing about the result.
     """
     counts = documents.select(as_bytes("text")).mapInArrow(lambda b: _frequent(b, width), "shingle long, count long")
     summed = written(counts.groupBy("shingle").agg(F.sum("count").alias("count")), "frequent")
     n = summed.where("shingle is null").agg(F.sum("count")).first()[0] or 0
-    found = summed.where(F.col("shingle").isNotNull() & (F.col("count") >= max(16, SHARE * n))).select("shingle").toArrow()
+    often = summed.where(F.col("shingle").isNotNull() & (F.col("count") >= max(16, SHARE * n)))
+    found = often.orderBy(F.desc("count"), "shingle").limit(MOST_FREQUENT).select("shingle").toArrow()
     return np.sort(found.column(0).to_numpy().view(np.uint64)) if found.num_rows else np.zeros(0, np.uint64)
 
 
@@ -206,19 +213,71 @@ def _arrays(batches: Iterator[pa.RecordBatch], width: int, bits: np.ndarray) ->
         yield pa.RecordBatch.from_arrays(columns, ["rep", "h1", "h2", "hashes"])
 
 
+def _tiles(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], columns: tuple[str, ...], of: Callable[[tuple, list[tuple]], list[tuple]]) -> Iterator[list[tuple]]:
+    """What ``of`` gives for each tile of batches that are sorted by the columns ``names``; a tile of one row gives nothing."""
+    key, held = None, []
+    for batch in batches:
+        out = []
+        for at, row in zip(zip(*(batch.column(k).to_pylist() for k in names), strict=True), zip(*(batch.column(k).to_pylist() for k in columns), strict=True), strict=True):
+            if at != key:
+                if len(held) > 1:
+                    out += of(key, held)
+                key, held = at, []
+            held.append(row)
+        yield out
+    if len(held) > 1:
+        yield of(key, held)
+
+
+def _ahead(i: int, low: int, high: int, block: np.ndarray) -> np.ndarray:
+    """The rows of a tile that row ``i`` is to be compared with: later ones of its own block, or all of the other."""
+    return np.arange(i + 1, len(block)) if low == high else np.flatnonzero(block == high)
+
+
+def _may_link(i: int, others: np.ndarray, sizes: np.ndarray, maps: np.ndarray, percent: int) -> np.ndarray:
+    """Those of ``others`` whose sizes and bitmaps leave room for a link with ``i``."""
+    n = sizes[others]
+    others = others[100 * np.minimum(n, sizes[i]) >= percent * np.maximum(n, sizes[i])]
+    n, mine, theirs = sizes[others], maps[i], maps[others]
+    most = np.minimum(sizes[i] - np.bitwise_count(mine & ~theirs).sum(axis=1, dtype=np.int64), n - np.bitwise_count(theirs & ~mine).sum(axis=1, dtype=np.int64))
+    return others[100 * most >= percent * (sizes[i] + n - most)]
+
+
+def _stacked(maps: list[np.ndarray]) -> np.ndarray:
+    width = min(map(len, maps))
+    return np.stack([folded(m, width) for m in maps])
+
+
+def _tied(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs that tie together all classes of a signature's tile which might link, one less than classes at most."""
+
+    def tile(key: tuple, rows: list[tuple]) -> list[tuple]:
+        _, low, high = key
+        names, block, sizes = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+        maps = _stacked([np.frombuffer(r[3], np.uint64) for r in rows])
+        label = np.arange(len(rows))
+        for i in range(len(rows)) if low == high else np.flatnonzero(block == low).tolist():
+            others = _ahead(i, low, high, block)
+            near = _may_link(i, others[label[others] != label[i]], sizes, maps, percent)
+            if len(near):
+                label[np.isin(label, label[near])] = label[i]
+        bound = np.flatnonzero(label != np.arange(len(rows)))
+        return list(zip(names[bound].tolist(), names[label[bound]].tolist(), strict=True))
+
+    for found in _tiles(batches, ("sig", "low", "high"), ("key", "block", "n", "bitmap"), tile):
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], pa.int64()) for k in range(2)], ["a", "b"])
+
+
 def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """For each class with links in a tile: the smallest class of its part of the tile, and how many documents it links with."""
+    """For each class with links in a tile: one class of its part of the tile, and how many documents it links with."""
 
     def tile(key: tuple, rows: list[tuple]) -> list[tuple]:
+        _, low, high = key
         unique = {r[0]: r for r in rows}  # rows that repeat a document's id and text
         rows = sorted(unique.values(), key=lambda r: (r[1], r[3], r[0]))
         sets = [np.frombuffer(r[2], np.uint64) for r in rows]
-        sizes = np.array([len(s) for s in sets])
-        maps = [bitmap(s) for s in sets]
-        width = min(map(len, maps))
-        maps = np.stack([folded(m, width) for m in maps])
-        block = np.array([r[1] for r in rows])
-        first = np.arange(len(rows)) if key[1] == key[2] else np.flatnonzero(block == key[1])
+        sizes, block = np.array([len(s) for s in sets]), np.array([r[1] for r in rows])
+        maps = _stacked([bitmap(s) for s in sets])
         links = [0] * len(rows)
         root = list(range(len(rows)))
 
@@ -228,44 +287,19 @@ def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
                 i = root[i]
             return i
 
-        for i in first.tolist():
-            others = np.arange(i + 1, len(rows)) if key[1] == key[2] else np.flatnonzero(block == key[2])
-            n = sizes[others]
-            others = others[100 * np.minimum(n, sizes[i]) >= percent * np.maximum(n, sizes[i])]
-            if not len(others):
-                continue
-            n = sizes[others]
-            mine, theirs = maps[i], maps[others]
-            most = np.minimum(sizes[i] - np.bitwise_count(mine & ~theirs).sum(axis=1, dtype=np.int64), n - np.bitwise_count(theirs & ~mine).sum(axis=1, dtype=np.int64))
-            for j in others[100 * most >= percent * (sizes[i] + n - most)].tolist():
+        for i in range(len(rows)) if low == high else np.flatnonzero(block == low).tolist():
+            for j in _may_link(i, _ahead(i, low, high, block), sizes, maps, percent).tolist():
                 at = np.searchsorted(sets[i], sets[j])
                 at[at == sizes[i]] = 0
                 both = int((sets[i][at] == sets[j]).sum())
                 if 100 * both >= percent * (sizes[i] + sizes[j] - both):
                     links[i] += rows[j][4]
                     links[j] += rows[i][4]
-                    a, b = find(i), find(j)
-                    if a != b:
-                        a, b = (a, b) if rows[a][0] < rows[b][0] else (b, a)
-                        root[b] = a
+                    root[find(j)] = find(i)
         return [(rows[i][0], rows[find(i)][0], n) for i, n in enumerate(links) if n]
 
-    key, held = None, []
-    for batch in batches:
-        out = []
-        for grp, low, high, rep, block, hashes, n, size in zip(*(batch.column(k).to_pylist() for k in ("grp", "low", "high", "rep", "block", "hashes", "n", "size")), strict=True):
-            if (grp, low, high) != key:
-                if len(held) > 1:
-                    out += tile(key, held)
-                key, held = (grp, low, high), []
-            held.append((rep, block, hashes, n, size))
-        yield _link_rows(out)
-    if len(held) > 1:
-        yield _link_rows(tile(key, held))
-
-
-def _link_rows(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["a", "b", "links"])
+    for found in _tiles(batches, ("grp", "low", "high"), ("key", "block", "hashes", "n", "size"), tile):
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], pa.int64()) for k in range(3)], ["a", "b", "links"])
 
 
 def shares_size(n_a: Column, n_b: Column, percent: int) -> Column:
@@ -274,34 +308,49 @@ def shares_size(n_a: Column, n_b: Column, percent: int) -> Column:
 
 def candidate_groups(classes: DataFrame, percent: int) -> DataFrame:
     """a, b: edges that tie together all classes which might link."""
-    sigs = classes.select("rep", "n", F.explode("sigs").alias("sig"))
-    alike = Window.partitionBy("sig")
-    counted = sigs.withColumn("m", F.count("*").over(alike)).withColumn("first", F.min("rep").over(alike))
-    shared = written(counted.where("m > 1"), "shared-signatures")
+    sigs = classes.select("key", "n", F.explode("sigs").alias("sig"))
+    counts = sigs.groupBy("sig").agg(F.count("*").alias("m")).where("m > 1")
+    shared = written(sigs.join(counts, "sig"), "shared-signatures")
+    maps = classes.select("key", "bitmap")
+
     few = shared.where(F.col("m") <= MOST_PAIRED)
-    a, b = few.select("sig", F.col("rep").alias("a"), F.col("n").alias("n_a")), few.select("sig", F.col("rep").alias("b"), F.col("n").alias("n_b"))
+    a, b = few.select("sig", F.col("key").alias("a"), F.col("n").alias("n_a")), few.select("sig", F.col("key").alias("b"), F.col("n").alias("n_b"))
     pairs = a.join(b, (a.sig == b.sig) & (a.a < b.b) & shares_size(F.col("n_a"), F.col("n_b"), percent)).select("a", "b", "n_a", "n_b").distinct()
-    maps = classes.select("rep", "bitmap")
-    pairs = pairs.join(maps.select(F.col("rep").alias("a"), F.col("bitmap").alias("map_a")), "a").join(maps.select(F.col("rep").alias("b"), F.col("bitmap").alias("map_b")), "b")
+    pairs = pairs.join(maps.select(F.col("key").alias("a"), F.col("bitmap").alias("map_a")), "a").join(maps.select(F.col("key").alias("b"), F.col("bitmap").alias("map_b")), "b")
     bounded = pairs.select("a", "b", "n_a", "n_b", "map_a", "map_b").mapInArrow(lambda x: _bounded(x, percent), "a long, b long")
-    many = shared.where((F.col("m") > MOST_PAIRED) & (F.col("rep") != F.col("first"))).select(F.col("rep").alias("a"), F.col("first").alias("b"))
-    return bounded.union(many)
+
+    blocks = F.ceil(F.col("m") / SIGNATURE_ROWS)
+    many = shared.where(F.col("m") > MOST_PAIRED).withColumn("block", F.pmod(F.xxhash64("key"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    many = many.select("sig", "key", "n", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).join(maps, "key")
+    tied = many.repartition("sig", "low", "high").sortWithinPartitions("sig", "low", "high").mapInArrow(lambda x: _tied(x, percent), "a long, b long")
+    return bounded.union(tied)
+
+
+def blocks_by_size(members: DataFrame, percent: int) -> DataFrame:
+    """grp, n, first and last block of that size, and the blocks from ``lowest`` to ``highest`` that hold sizes which may link with it.
+
+    Blocks follow the running cost of a group's sizes. Only the counts of its sizes meet in one task,
+    as many rows as it has different sizes.
+    """
+    cost = F.col("count") * (F.col("n") + ROW_COST)
+    so_far = F.sum(cost).over(Window.partitionBy("grp").orderBy("n"))
+    sizes = members.groupBy("grp", "n").agg(F.count("*").alias("count"))
+    sizes = sizes.select("grp", "n", F.floor((so_far - cost) / BLOCK_COST).alias("first"), F.floor((so_far - 1) / BLOCK_COST).alias("last"))
+    fine = 1_000_000  # sizes on a logarithmic scale of whole numbers
+    reach = math.ceil(fine * math.log(100 / percent)) + 1
+    near = Window.partitionBy("grp").orderBy(F.floor(fine * F.log("n"))).rangeBetween(-reach, reach)
+    return sizes.select("*", F.min("first").over(near).alias("lowest"), F.max("last").over(near).alias("highest"))
 
 
 def verified_links(documents: DataFrame, classes: DataFrame, groups: DataFrame, width: int, percent: int) -> DataFrame:
     """a, b, links: for classes with links, a class of the same component and the number of documents they link with, tile by tile."""
-    members = groups.select(F.col("node").alias("rep"), F.col("component").alias("grp")).join(classes.select("rep", "n", "size", "h1", "h2"), "rep")
-    by_size = Window.partitionBy("grp").orderBy("n", "rep").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    members = written(members.withColumn("block", F.floor(F.sum(F.col("n") + ROW_COST).over(by_size) / BLOCK_COST).cast("int")), "members")
-    blocks = members.groupBy("grp", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    bounds = blocks.groupBy("grp").agg(F.collect_list(F.struct("block", "least", "most")).alias("bounds"))
-    members = members.join(bounds, "grp")
-    fits = F.filter("bounds", lambda o: (percent * F.col("n") <= 100 * o["most"]) & (percent * o["least"] <= 100 * F.col("n")))
-    members = members.withColumn("others", F.transform(fits, lambda o: o["block"])).drop("bounds")
+    members = written(groups.select(F.col("node").alias("key"), F.col("component").alias("grp")).join(classes.select("key", "rep", "n", "size", "h1", "h2"), "key"), "members")
     bits = documents.sparkSession.sparkContext.broadcast(id_filter(members))
+    dealt = members.join(blocks_by_size(members, percent), ["grp", "n"])
+    dealt = dealt.withColumn("block", F.col("first") + F.pmod(F.xxhash64("key"), F.col("last") - F.col("first") + 1)).drop("first", "last")
     texts = documents.where("doc_id is not null").select(F.col("doc_id").alias("rep"), as_bytes("text"))
     arrays = texts.mapInArrow(lambda b: _arrays(b, width, bits.value), "rep long, h1 long, h2 long, hashes binary")
-    rows = arrays.join(members, ["rep", "h1", "h2"]).withColumn("other", F.explode("others")).drop("others", "h1", "h2")
+    rows = arrays.join(dealt, ["rep", "h1", "h2"]).withColumn("other", F.explode(F.sequence("lowest", "highest"))).drop("rep", "h1", "h2", "lowest", "highest")
     rows = rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("other")
     tiles = rows.repartition("grp", "low", "high").sortWithinPartitions("grp", "low", "high")
     return tiles.mapInArrow(lambda b: _verified(b, percent), "a long, b long, links long")
@@ -322,18 +371,21 @@ def jaccard_join(documents: DataFrame, width: int = 5, percent: int = 80) -> Dat
     sketches = documents.select("doc_id", as_bytes("text")).mapInArrow(lambda b: _sketches(b, width, percent, frequent.value), SKETCH)
     sketches = written(sketches, "sketches")
     known = sketches.where("doc_id is not null").groupBy("h1", "h2")
-    classes = written(known.agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.first("sigs").alias("sigs")), "classes")
+    classes = known.agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.first("sigs").alias("sigs"))
+    classes = written(classes.withColumn("key", F.monotonically_increasing_id()), "classes")
     groups = components(candidate_groups(classes.where("n > 0"), percent))
     links = written(verified_links(documents, classes, groups, width, percent), "links")
-    found = components(links.select("a", "b"))
-    counts = links.groupBy("a").agg(F.sum("links").alias("linked"))
-    of_class = classes.select("h1", "h2", "rep", "size").join(found.withColumnRenamed("node", "rep"), "rep", "left").join(counts.withColumnRenamed("a", "rep"), "rep", "left")
+    of_key = components(links.select("a", "b")).withColumnRenamed("node", "key").join(classes.select("key", "rep"), "key")
+    least = of_key.groupBy("component").agg(F.min("rep").alias("component_id"))
+    found = of_key.select("key", "component").join(least, "component").drop("component")
+    counts = links.groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("linked"))
+    of_class = classes.select("h1", "h2", "rep", "size", "key").join(found, "key", "left").join(counts, "key", "left")
     out = sketches.select("doc_id", "n", "h1", "h2").join(of_class, ["h1", "h2"], "left")
     alone = F.col("doc_id").isNull() | (F.col("n") == 0)
     return out.select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(alone, 0).otherwise(F.col("size") - 1 + F.coalesce("linked", F.lit(0))).cast("long").alias("n_links"),
-        F.when(alone, F.col("doc_id")).otherwise(F.coalesce("component", "rep")).alias("component_id"),
+        F.when(alone, F.col("doc_id")).otherwise(F.coalesce("component_id", "rep")).alias("component_id"),
     )
 
 

@@ -62,6 +62,7 @@ def near_copies():
 @pytest.mark.parametrize("width,percent,share,paired", [(4, 85, 0.0005, 256), (5, 80, 0.0005, 256), (4, 85, 0.01, 3), (3, 60, 0.2, 10)])
 def test_jaccard_loses_no_link(spark, monkeypatch, width, percent, share, paired):
     monkeypatch.setattr(jaccard, "MOST_PAIRED", paired)
+    monkeypatch.setattr(jaccard, "SIGNATURE_ROWS", 4)  # several tiles of a signature
     monkeypatch.setattr(jaccard, "BLOCK_COST", 4000)  # several tiles in a group
     table = near_copies()
     sets = [shingles(t, width) for _, t in table]
@@ -77,6 +78,29 @@ def test_jaccard_loses_no_link(spark, monkeypatch, width, percent, share, paired
     assert sum(degree) > 100
 
 
+def test_jaccard_repeated_ids(spark):
+    """Rows of one id with different texts link by their own texts."""
+    words = [[f"{k}w{i}" for i in range(100)] for k in "ab"]
+    a, b = (" ".join(w) for w in words)
+    table = [(7, a), (7, b), (8, a + " tail"), (9, b + " tail"), (3, b + " end")]
+    found = sorted((r.doc_id, r.component_id, r.n_links) for r in jaccard.jaccard_join(spark.createDataFrame(table, "doc_id long, text string")).collect())
+    assert found == [(3, 3, 2), (7, 3, 2), (7, 7, 1), (8, 7, 1), (9, 3, 2)]
+
+
+def test_jaccard_hot_signature(spark, monkeypatch):
+    """Many texts share a passage and so signatures, few of them link: no group of all comes of it."""
+    monkeypatch.setattr(jaccard, "SIGNATURE_ROWS", 50)
+    shared = " ".join(f"s{i}" for i in range(12))
+    table = [(i, f"{shared} " + " ".join(f"d{i // 2}x{k}" for k in range(10)) + (" end" if i % 2 else "")) for i in range(400)]
+    monkeypatch.setattr(jaccard, "frequent_shingles", lambda *_: np.zeros(0, np.uint64))
+    grouped = []
+    kept = jaccard.verified_links
+    monkeypatch.setattr(jaccard, "verified_links", lambda d, c, g, *a: (grouped.append(g), kept(d, c, g, *a))[1])
+    found = {r.doc_id: r.component_id for r in jaccard.jaccard_join(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    assert found == {i: i - i % 2 for i in range(400)}
+    assert grouped[0].groupBy("component").count().agg({"count": "max"}).first()[0] < 100
+
+
 def test_jaccard_awkward_rows(spark):
     out = jaccard.jaccard_join(documents(spark)).collect()
     assert len(out) == documents(spark).count()
