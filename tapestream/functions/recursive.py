@@ -1,8 +1,9 @@
 """Transforms that carry a state from row to row, and transforms of a window's spectrum.
 
-A series is cut into chunks of rows that overlap by as many rows as the state remembers (its older
-share is below double precision), so a long series is spread over many tasks. Spectra come from
-frames that are collected per row and handled in Arrow batches.
+A series is cut into chunks of values that overlap by as many as the state remembers (its older share
+is below double precision), so a long series is spread over many tasks. Rows keep all their columns on
+the way, so nothing is joined back. Spectra come from frames that are collected per row and transformed
+in Arrow batches.
 """
 
 from __future__ import annotations
@@ -12,8 +13,10 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .frames import day, ordered, trailing
 from .rolling import TRANSFORMS, Window_, _values, transform
@@ -28,39 +31,45 @@ def memory(alpha: float) -> int:
     return 1 if alpha >= 1 else math.ceil(math.log(FORGOTTEN) / math.log1p(-alpha))
 
 
+def _with_states(rows: DataFrame, frame: DataFrame, out: str, keys: tuple[str, ...], function: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """``frame``'s columns and ``function`` of ``__x`` along each group of ``rows``; rows of a group that aren't its ``__own`` only lead in."""
+    names = frame.columns
+
+    def run(part: pa.Table) -> pa.Table:
+        part = part.sort_by([("us", "ascending"), ("__n", "ascending")])
+        found = function(part["__x"].to_numpy().astype(np.float64))
+        return part.select(names).append_column(out, pa.array(found, pa.float64(), from_pandas=True)).filter(part["__own"])
+
+    return rows.groupBy(*keys).applyInArrow(run, StructType([*frame.schema.fields, StructField(out, DoubleType())]))
+
+
 def chunked(frame: DataFrame, x: Column, out: str, function: Callable[[np.ndarray], np.ndarray], rows: int, chunk: int = CHUNK) -> DataFrame:
-    """Adds ``function`` of a series' values in order (NaN where null; NaN results are null); it depends on ``rows`` rows before at most.
+    """Adds ``function`` of a series' values in order (NaN where null; NaN results are null); it depends on ``rows`` values before at most.
 
-    Chunks are no shorter than that memory, so each row is sent twice at most.
+    Chunks count values, and nulls go with the value before them, so a gap costs no memory of the state.
+    Chunks are no shorter than that memory, so each row is sent twice at most. Every row stays one row,
+    those of one time and those of a null series too.
     """
     chunk = max(chunk, rows)
-    number = F.row_number().over(ordered()) - 1
-    numbered = frame.withColumn("__x", x.cast("double")).withColumn("__n", number)
-    own = F.floor(F.col("__n") / chunk).cast("long")
-    lead = F.when(F.col("__n") % chunk >= chunk - rows, F.array(own, own + 1)).otherwise(F.array(own))
-    dealt = numbered.select("series", "us", "__x", "__n", F.explode(lead).alias("__chunk"))
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("__n")
-        values = function(part["__x"].to_numpy(np.float64, na_value=np.nan))
-        part = part.assign(**{out: values})[part["__n"] // chunk == part["__chunk"]]
-        return part[["series", "us", out]].astype({out: object}).where(part[[out]].notna().to_numpy() | np.array([True, True, False]), None)
-
-    schema = f"series string, us long, `{out}` double"
-    found = dealt.groupBy("series", "__chunk").applyInPandas(run, schema)
-    return frame.join(found, ["series", "us"], "left")
+    so_far = ordered().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = frame.withColumn("__x", F.nullif(x.cast("double"), F.lit(float("nan")))).withColumn("__n", F.count("__x").over(so_far))
+    first = F.floor(F.col("__n") / chunk)
+    lead = F.when(F.col("__n") % chunk >= chunk - rows, F.array(first, first + 1)).otherwise(F.array(first))
+    dealt = numbered.withColumn("__chunk", F.explode(lead)).withColumn("__own", F.col("__chunk") == first)
+    return _with_states(dealt, frame, out, ("series", "__chunk"), function)
 
 
 def ewm(values: np.ndarray, alpha: float) -> np.ndarray:
     """Exponentially weighted mean with weights that sum to 1; gaps decay, nothing before the first value."""
     total = weight = 0.0
-    out = np.full(len(values), np.nan)
-    for i, v in enumerate(values):
+    held = np.nan
+    out = np.empty(len(values))
+    for i, v in enumerate(values.tolist()):
         total, weight = total * (1 - alpha), weight * (1 - alpha)
         if v == v:
             total, weight = total + v, weight + 1.0
-        if weight > 0:
-            out[i] = total / weight
+            held = total / weight
+        out[i] = held
     return out
 
 
@@ -74,30 +83,27 @@ def ewma(frame: DataFrame, x: Column, out: str, span: float) -> DataFrame:
 def intraEwma(frame: DataFrame, x: Column, out: str, span: float) -> DataFrame:
     """``ewma`` that begins anew each day."""
     alpha = 2 / (span + 1)
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("us")
-        values = pd.Series(ewm(part["__x"].to_numpy(np.float64, na_value=np.nan), alpha), index=part.index)
-        return part[["series", "us"]].assign(**{out: values.astype(object).where(values.notna(), None)})
-
-    daily = frame.select("series", "us", x.cast("double").alias("__x"), day().alias("__day"))
-    return frame.join(daily.groupBy("series", "__day").applyInPandas(run, f"series string, us long, `{out}` double"), ["series", "us"], "left")
+    daily = frame.withColumn("__x", x.cast("double")).withColumn("__n", F.lit(0)).withColumn("__own", F.lit(True)).withColumn("__day", day())
+    return _with_states(daily, frame, out, ("series", "__day"), lambda v: ewm(v, alpha))
 
 
 # Spectra.
 
 
-def _spectral(frame: DataFrame, x: Column, out: str, window: Window_, value: Callable[[np.ndarray, np.ndarray], float], least: int, interval: float) -> DataFrame:
-    """``value`` of a frame's transform and frequencies; null where the frame has a null cell or fewer than ``least`` rows."""
+def _spectral(frame: DataFrame, x: Column, out: str, window: Window_, value: Callable[[np.ndarray, np.ndarray], np.ndarray], least: int, interval: float) -> DataFrame:
+    """``value`` of the transforms of frames (a row each) and their frequencies; null where a frame has a null cell or fewer than ``least`` rows."""
 
     @F.pandas_udf("double")
     def of(frames: pd.Series) -> pd.Series:
-        found = []
-        for a in frames:
-            a = np.array([np.nan if v is None else v for v in a], np.float64)
-            ok = len(a) >= least and not np.isnan(a).any()
-            found.append(value(np.fft.fft(a), np.fft.fftfreq(len(a), d=interval)) if ok else None)
-        return pd.Series(found, dtype=object)
+        found = np.full(len(frames), np.nan)
+        sizes = frames.map(len).to_numpy()
+        for n in np.unique(sizes[sizes >= max(least, 1)]).tolist():
+            at = np.flatnonzero(sizes == n)
+            a = np.array([[np.nan if v is None else v for v in frames.iloc[i]] for i in at], np.float64)
+            whole = ~np.isnan(a).any(axis=1)
+            if whole.any():
+                found[at[whole]] = value(np.fft.fft(a[whole], axis=1), np.fft.fftfreq(n, d=interval))
+        return pd.Series(found)
 
     framed = frame.withColumn("__a", F.transform(_values(x, trailing(window)), lambda e: e["x"]))
     return framed.withColumn(out, F.nullif(of("__a"), F.lit(float("nan"))))
@@ -107,9 +113,10 @@ def _spectral(frame: DataFrame, x: Column, out: str, window: Window_, value: Cal
 def lowFreqEnergyRatio(frame: DataFrame, x: Column, out: str, window: Window_, cutoff_freq: float, sampling_interval: float = 1) -> DataFrame:
     """Share of the window's energy at frequencies up to the cutoff."""
 
-    def value(f: np.ndarray, at: np.ndarray) -> float | None:
+    def value(f: np.ndarray, at: np.ndarray) -> np.ndarray:
         energy = np.abs(f) ** 2
-        return energy[np.abs(at) <= cutoff_freq].sum() / energy.sum() if energy.sum() > 0 else None
+        low, all_ = energy[:, np.abs(at) <= cutoff_freq].sum(axis=1), energy.sum(axis=1)
+        return np.divide(low, all_, out=np.full(len(f), np.nan), where=all_ > 0)
 
     return _spectral(frame, x, out, window, value, 1, sampling_interval)
 
@@ -123,9 +130,9 @@ def phaseTimesMagnitude(frame: DataFrame, x: Column, out: str, window: Window_,
     give rounding errors, and a whole turn where an imaginary part is rounded to 0.
     """
 
-    def value(f: np.ndarray, at: np.ndarray) -> float:
-        real = f.real[(np.abs(at) <= cutoff_freq) & ((at == 0) | (np.arange(len(f)) * 2 == len(f)))]
-        return float(-np.pi * real[real < 0].sum())
+    def value(f: np.ndarray, at: np.ndarray) -> np.ndarray:
+        real = f.real[:, (np.abs(at) <= cutoff_freq) & ((at == 0) | (np.arange(len(at)) * 2 == len(at)))]
+        return -np.pi * np.minimum(real, 0).sum(axis=1)
 
     return _spectral(frame, x, out, window, value, 2, sampling_interval)
 
@@ -156,7 +163,7 @@ def lowFreqEnergyRatio_x_slpsign(frame: DataFrame, x: Column, out: str, window:
 @transform
 def lowFreqWithPosTrend(frame: DataFrame, x: Column, out: str, fft_window: Window_, pos_window: Window_, freq_cutoff: float, sampling_interval: float = 1) -> DataFrame:
     """Summed low-frequency magnitude, negative unless x is above more than half of its position window."""
-    spectrum = _spectral(frame, x, "__amp", fft_window, lambda f, at: float(np.abs(f)[np.abs(at) <= freq_cutoff].sum()), 2, sampling_interval)
+    spectrum = _spectral(frame, x, "__amp", fft_window, lambda f, at: np.abs(f)[:, np.abs(at) <= freq_cutoff].sum(axis=1), 2, sampling_interval)
     ranked = spectrum.withColumn("__p", _values(x, trailing(pos_window)))
     above = F.size(F.filter("__p", lambda e: e["x"] < x)) / F.size("__p")
     sign = F.when((F.size("__p") >= 2) & (F.count(x).over(trailing(pos_window)) >= 1), F.when(above > 0.5, 1.0).otherwise(-1.0))
@@ -215,12 +222,12 @@ def kama_of(v: np.ndarray, n: int) -> np.ndarray:
     """Smoothing whose rate follows the efficiency of the last ``n`` steps, between spans of 2 and 30."""
     out = np.full(len(v), np.nan)
     if len(v) > n:
+        path = np.lib.stride_tricks.sliding_window_view(np.abs(np.diff(v)), n).sum(axis=1)
+        efficiency = np.minimum(np.divide(np.abs(v[n:] - v[:-n]), path, out=np.ones(len(path)), where=path > 0), 1.0)
+        rates = (efficiency * (2 / 3 - 2 / 31) + 2 / 31) ** 2
         held = v[n - 1]
-        steps = np.abs(np.diff(v))
-        for i in range(n, len(v)):
-            path = steps[i - n : i].sum()
-            efficiency = min(abs(v[i] - v[i - n]) / path, 1.0) if path > 0 else 1.0
-            held = out[i] = held + (efficiency * (2 / 3 - 2 / 31) + 2 / 31) ** 2 * (v[i] - held)
+        for i, rate in enumerate(rates.tolist(), n):
+            held = out[i] = held + rate * (v[i] - held)
     return out
 
 

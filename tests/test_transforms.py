@@ -5,6 +5,7 @@ import datetime as dt
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tapestream.functions import recursive, technical
 from tapestream.functions.frames import bars, calendar_micros, trading_seconds
@@ -90,16 +91,35 @@ def test_chunks_change_nothing(spark, monkeypatch):
     whole = run(frame(spark, NOISY * 20), "ewma", span=2)
     monkeypatch.setattr(recursive, "CHUNK", 50)
     df = frame(spark, NOISY * 20)
-    parts = [r.out for r in recursive.chunked(df.withColumn("us", __import__("pyspark.sql.functions", fromlist=["x"]).expr("unix_micros(cast(ts as timestamp))")), df["value"], "out", lambda v: recursive.ewm(v, 2 / 3), recursive.memory(2 / 3), 50).orderBy("ts").collect()]
+    parts = [r.out for r in recursive.chunked(df.withColumn("us", F.expr("unix_micros(cast(ts as timestamp))")), df["value"], "out", lambda v: recursive.ewm(v, 2 / 3), recursive.memory(2 / 3), 50).orderBy("ts").collect()]
     close(parts, whole)
 
 
+def test_chunks_and_gaps(spark, monkeypatch):
+    """A gap longer than the memory changes nothing; rows of one time and of no series stay."""
+    values = [*NOISY, *[None] * 1500, *NOISY[::-1], *[None] * 90, *NOISY]
+    kept = {}
+    for size in (100_000, 7):
+        monkeypatch.setattr(recursive, "memory", lambda alpha: 60)
+        monkeypatch.setattr(recursive.chunked, "__defaults__", (size,))
+        kept[size] = run(frame(spark, values), "ewma", span=2), run(frame(spark, values), "ema_func", window=4)
+    for a, b in zip(*kept.values(), strict=True):
+        close(a, b)
+    assert kept[7][0][len(NOISY) + 1400] == kept[7][0][len(NOISY) - 1]
+    some = frame(spark, [1.0, None, 3.0])
+    twice = some.union(some).union(some.withColumn("series", F.lit(None).cast("string")))
+    out = TRANSFORMS["ewma"](TRANSFORMS["ewma"](twice, x="value", out="a", span=3), x="a", out="b", span=3)
+    assert out.count() == 9 and out.where("series is null and b is not null").count() == 3
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
 def test_intraday(spark):
     df = frame(spark, [1, 2, None, 4, 5, 6], dt.timedelta(hours=8))
     assert run(df, "intraCumSum") == [1, 3, None, 4, 9, 15]
     assert run(df, "intraSma", window=2) == [1, 1.5, 2, 4, 4.5, 5.5]
     close(run(df, "intraEwma", span=3), [1, 5 / 3, 5 / 3, 4, 14 / 3, 38 / 7])
-    at = frame(spark, [None, 5, 7, None], dt.timedelta(minutes=30)).withColumn("ts", __import__("pyspark.sql.functions", fromlist=["x"]).expr("ts + interval 9 hours"))
+    at = frame(spark, [None, 5, 7, None], dt.timedelta(minutes=30)).withColumn("ts", F.expr("ts + interval 9 hours"))
     assert run(at, "OAD", reference_time="0930") == [None, 0, 2, 2]
 
 
