@@ -1,21 +1,25 @@
 """From specs to lazy DataFrames.
 
-A factor's transforms are columns added to one frame, so all of them share an exchange and a sort; the
-wide frame is turned into rows once at the end. Paths keep one DataFrame per node.
+The factors of an indicator are rows of one frame and their transforms columns added to it, so all of
+them share an exchange and a sort; the wide frame is turned into rows once at the end. Paths keep one DataFrame per node.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import recursive, technical  # noqa: F401  register their transforms
-from ..functions.frames import timed, trading_seconds
+from ..functions.frames import calendar_micros, timed, trading_seconds
 from ..functions.rolling import TRANSFORMS
 from ..operators import aggregate
 from ..operators.align import dense, without_empty_times
+from ..streaming.incremental import agreed
 from .spec import Aggregation, Spec, Step, path_edges
 
+#: Between a factor's name and its series where both together are the series of a frame.
+SEPARATOR = "\x1f"
+
 
 def _bar_windows(parameters: dict) -> dict:
     """Trading durations as numbers of one-minute bars."""
@@ -42,44 +46,73 @@ def aggregated(ind: DataFrame, setting: aggregate.Setting, spec: Aggregation, mi
     return {spec.name: made.select("series", "ts", "value")}
 
 
-def _rows(frame: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """factor, series, ts, value of several columns (name: column)."""
-    pairs = F.array(*(F.struct(F.lit(name).alias("factor"), F.col(f"`{c}`").cast("double").alias("value")) for name, c in columns.items()))
-    return frame.select("series", "ts", F.explode(pairs).alias("p")).select("p.factor", "series", "ts", "p.value")
+def _rows(frame: DataFrame, columns: dict[str, str], name: Column) -> DataFrame:
+    """factor, series, ts, value of several columns (name: column) of the factor ``name``."""
+    pairs = F.array(*(F.struct(F.lit(of).alias("of"), F.col(f"`{c}`").cast("double").alias("value")) for of, c in columns.items()))
+    return frame.withColumn("name", name).select("name", "series", "ts", F.explode(pairs).alias("p")).select(F.concat_ws("-", "name", "p.of").alias("factor"), "series", "ts", "p.value")
 
 
-def layered(factor: DataFrame, name: str, spec: Spec) -> DataFrame:
-    """A factor with its first and second layer of transforms: factor, series, ts, value."""
-    frame = timed(dense(without_empty_times(factor)))
-    columns = {f"{name}-org": "value"} if spec.save_org else {}
+def _layers(frame: DataFrame, spec: Spec) -> tuple[DataFrame, dict[str, str]]:
+    """A frame with the first and second layer of transforms as columns, and which of them to keep by name."""
+    columns = {"org": "value"} if spec.save_org else {}
     held = {"org": "value"}
     for k, step in enumerate(spec.steps):
         frame = TRANSFORMS[step.function](frame, x="value", out=f"a{k}", **step.parameters)
         held[step.name] = f"a{k}"
         if spec.save_first_layer:
-            columns[f"{name}-{step.name}"] = f"a{k}"
+            columns[step.name] = f"a{k}"
     for k, second in enumerate(spec.second):
         for j, base in enumerate(["org", *second.base]):
             frame = TRANSFORMS[second.step.function](frame, x=held[base], out=f"b{k}_{j}", **second.step.parameters)
-            columns[f"{name}-{base}-{second.step.name}"] = f"b{k}_{j}"
-    return _rows(frame, columns)
+            columns[f"{base}-{second.step.name}"] = f"b{k}_{j}"
+    return frame, columns
+
+
+def layered(factor: DataFrame, name: str, spec: Spec) -> DataFrame:
+    """A factor with its first and second layer of transforms: factor, series, ts, value."""
+    frame, columns = _layers(timed(dense(without_empty_times(factor))), spec)
+    return _rows(frame, columns, F.lit(name))
 
 
 def generated(ind: DataFrame, setting: aggregate.Setting, spec: Spec, indicator: str, minute_weights: DataFrame | None = None) -> DataFrame:
-    """All factors of one indicator under a spec."""
-    out = None
+    """All factors of one indicator under a spec: factor, series, ts, value.
+
+    The factors are rows of one frame, each dense on its own times and series, so every transform is
+    planned once, whatever the number of aggregations.
+    """
+    rows = None
     for aggregation in spec.aggregations:
         for name, factor in aggregated(ind, setting, aggregation, minute_weights).items():
-            made = layered(factor, f"{indicator}-{name}", spec)
-            out = made if out is None else out.unionByName(made)
-    return out
+            made = factor.select(F.lit(f"{indicator}-{name}").alias("name"), "series", "ts", "value")
+            rows = made if rows is None else rows.unionByName(made)
+    if rows is None:
+        raise ValueError("the spec has no aggregation")
+    used = rows.groupBy("name", "ts").agg(F.count("value").alias("n")).where("n > 0").select("name", "ts")
+    grid = used.join(rows.select("name", "series").distinct(), "name").join(rows, ["name", "series", "ts"], "left")
+    frame, columns = _layers(timed(grid.withColumn("of", F.col("series")).withColumn("series", F.concat_ws(SEPARATOR, "name", "series"))), spec)
+    return _rows(frame.withColumn("series", F.col("of")), columns, F.col("name"))
+
+
+def extended(old: DataFrame, ind: DataFrame, setting: aggregate.Setting, spec: Spec, indicator: str, since: str, history: str, minute_weights: DataFrame | None = None, tolerance: float | None = None, debug: str | None = None) -> DataFrame:
+    """``old`` (what ``generated`` gave) with all factors made anew from the time ``since`` on.
+
+    Only the indicator's rows from ``history`` (a calendar duration, as long as the transforms look back)
+    before it are read. Where both have a row they must agree (``incremental.agreed``); the new one stays.
+    """
+    start = F.lit(since).cast("timestamp_ntz")
+    recent = ind.where(F.col("ts") >= start - F.make_dt_interval(secs=F.lit(calendar_micros(history) / 1e6)))
+    new = generated(recent, setting, spec, indicator, minute_weights).where(F.col("ts") >= start)
+    keyed = [t.select(F.concat_ws(SEPARATOR, "factor", "series").alias("series"), "ts", "value") for t in (old, new)]
+    agreed(*keyed, tolerance, debug)
+    kept = old.join(new.select("factor", "series", "ts"), ["factor", "series", "ts"], "left_anti")
+    return kept.select("factor", "series", "ts", "value").unionByName(new)
 
 
 def along_paths(factors: DataFrame, paths: list[list[str]], specs: dict[str, list[Step]]) -> dict[str, DataFrame]:
     """factor, series, ts, value of every node of the paths; each node transforms all factors of its parent."""
     nodes: dict[str | None, DataFrame] = {None: factors}
     for parent, spec, node in path_edges(paths):
-        keyed = nodes[parent].withColumn("of", F.col("series")).withColumn("series", F.concat_ws("\x1f", "factor", "series"))
+        keyed = nodes[parent].withColumn("of", F.col("series")).withColumn("series", F.concat_ws(SEPARATOR, "factor", "series"))
         frame = timed(keyed)
         columns = {}
         for k, step in enumerate(specs[spec]):

@@ -9,6 +9,7 @@ from ..operators import align, calendar, weights
 from ..plans import planner, spec
 from ..sources import tables
 from ..streaming import incremental
+from . import aggregates
 from . import panels as p
 
 QUERIES = {}
@@ -137,9 +138,33 @@ SPEC = {
 }
 
 
+def _shown(made):
+    """Amounts in another currency."""
+    amount = F.round(F.col("value") * p.RATE, 3)
+    return made.withColumn("value", F.when(F.col("factor").contains("side"), amount).otherwise(F.round("value", 6)))
+
+
 def plan_generated(s, d):
-    made = planner.generated(p.weekly(s, d), p.setting(s, d), spec.parsed(SPEC), "week")
-    return made.groupBy("factor").agg(F.count("*").alias("n_rows"), F.count("value").alias("n_values"))
+    return _shown(planner.generated(p.weekly(s, d), p.setting(s, d), spec.parsed(SPEC), "week"))
+
+
+def plan_extended(s, d):
+    """The factors up to mid 1997, then those from 1997 on out of half a year before."""
+    week, setting, parsed = p.weekly(s, d), p.setting(s, d), spec.parsed(SPEC)
+    old = planner.generated(week.where("ts < '1997-07-01'"), setting, parsed, "week")
+    return _shown(planner.extended(old, week, setting, parsed, "week", "1997-01-01", "180d", tolerance=1e-5))
+
+
+_LAYERS = {"org": "x", "mean_w3": "m3", "mean_w6": "m6", "org-absv": "abs(x)", "mean_w3-absv": "abs(m3)", "mean_w6-absv": "abs(m6)"}
+_SIDES = aggregates._weighted(aggregates._RANGE[0])
+_PLAN = f"""WITH {p.WEEKLY}, {p.WEIGHTS}, sides AS ({_SIDES}), f AS (
+  SELECT 'week-w' AS name, series, ts, {aggregates._IMB01} AS x FROM ({aggregates._weighted("SELECT * FROM w", aggregates._WMEAN)})
+  UNION ALL SELECT 'week-side_Bid', series, ts, bid FROM sides UNION ALL SELECT 'week-side_Ask', series, ts, ask FROM sides
+), g AS (
+  SELECT name, series, ts, x FROM (SELECT DISTINCT name, ts FROM f WHERE x IS NOT NULL) JOIN (SELECT DISTINCT name, series FROM f) USING (name) LEFT JOIN f USING (name, series, ts)
+), m AS (
+  SELECT *, avg(x) OVER (o ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS m3, avg(x) OVER (o ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS m6 FROM g WINDOW o AS (PARTITION BY name, series ORDER BY ts)
+) SELECT factor, series, ts, CASE WHEN contains(factor, 'side') THEN round(x * {p.RATE}::DOUBLE, 3) ELSE round(x, 6) END + 0.0 AS value FROM ({" UNION ALL ".join(f"SELECT name || '-{k}' AS factor, series, ts, {v} AS x FROM m" for k, v in _LAYERS.items())})"""
 
 
 def plan_paths(s, d):
@@ -148,7 +173,8 @@ def plan_paths(s, d):
     return _value(nodes["a_TS_b"].unionByName(nodes["a_TS_c"]))
 
 
-_add("plan_generated", plan_generated)
+_add("plan_generated", plan_generated, _PLAN)
+_add("plan_extended", plan_extended, _PLAN)
 _add("plan_paths", plan_paths, f"WITH {p.SERIES}, a AS (SELECT series, ts, avg(x) OVER (PARTITION BY series ORDER BY ts ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS m FROM s) SELECT 'f-mean_w3-absv' AS factor, series, ts, round(abs(m), 6) + 0.0 AS value FROM a UNION ALL SELECT 'f-mean_w3-rmax_w4', series, ts, round(max(m) OVER (PARTITION BY series ORDER BY ts ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 6) + 0.0 FROM a")
 
 # Status and message tables, from orders.

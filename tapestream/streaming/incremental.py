@@ -42,8 +42,8 @@ class Inconsistent(RuntimeError):
     """An increment contradicts what is stored."""
 
 
-def updated(old: DataFrame, new: DataFrame, tolerance: float | None = None, debug: str | None = None) -> DataFrame:
-    """``old`` with ``new`` upserted, after they agree on the rows they share.
+def agreed(old: DataFrame, new: DataFrame, tolerance: float | None = None, debug: str | None = None) -> None:
+    """Raises Inconsistent unless two tables agree on the rows they share.
 
     Sums of doubles depend on how rows are dealt, so rows may differ by ``tolerance``; none asks for equality.
     With ``debug``, the rows that differ are written there as Parquet before Inconsistent is raised.
@@ -56,6 +56,11 @@ def updated(old: DataFrame, new: DataFrame, tolerance: float | None = None, debu
         if debug:
             found.write.mode("overwrite").parquet(debug)
         raise Inconsistent(f"{found.count()} rows differ, the first at {first['ts']} of {first['series']}: {first['old']} and {first['new']}")
+
+
+def updated(old: DataFrame, new: DataFrame, tolerance: float | None = None, debug: str | None = None) -> DataFrame:
+    """``old`` with ``new`` upserted, after they agree on the rows they share (``agreed``)."""
+    agreed(old, new, tolerance, debug)
     return upsert(old, new)
 
 
