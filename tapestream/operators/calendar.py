@@ -12,27 +12,38 @@ def trading_days(calendar: DataFrame, first: str, last: str) -> DataFrame:
     return calendar.where(F.col("trade_date").between(F.to_date(F.lit(first)), F.to_date(F.lit(last))))
 
 
-def _nearest(days: DataFrame, calendar: DataFrame, condition: Column, pick) -> DataFrame:
-    """Joins each day with the picked trading day; a calendar has a few thousand rows a decade."""
-    return days.join(F.broadcast(calendar), condition, "left").groupBy("day").agg(pick("trade_date").alias("trade_date"))
+def _nearest(days: DataFrame, dates: DataFrame, at: Column, ahead: bool, key: str = "day") -> DataFrame:
+    """Each ``key`` with the last of ``dates`` (trade_date) at or before the date ``at``, or the first at or after it if ``ahead``; null if there is none.
+
+    Every trading day is spread over the calendar days it stands for, so this is an equi-join; a calendar
+    has a few thousand rows a decade, which one window puts in order.
+    """
+    asked = days.select(key).distinct().withColumn("at", at)
+    ends = asked.agg(F.min("at").alias("least"), F.max("at").alias("most"))
+    in_order = Window.orderBy("trade_date")
+    spans = dates.select("trade_date").distinct().withColumn("before", F.lag("trade_date").over(in_order)).withColumn("after", F.lead("trade_date").over(in_order)).crossJoin(ends)  # one row
+    first = F.coalesce(F.date_add("before", 1), F.least("trade_date", "least")) if ahead else F.col("trade_date")
+    last = F.col("trade_date") if ahead else F.coalesce(F.date_sub("after", 1), F.greatest("trade_date", "most"))
+    held = spans.select("trade_date", F.explode(F.sequence(first, last, F.expr("interval 1 day"))).alias("at"))
+    return asked.join(held, "at", "left").select(key, "trade_date")
 
 
 def previous_trading_day(days: DataFrame, calendar: DataFrame) -> DataFrame:
     """The last trading day before each ``day``."""
-    return _nearest(days, calendar, F.col("trade_date") < F.col("day"), F.max)
+    return _nearest(days, calendar, F.date_sub("day", 1), False)
 
 
 def next_trading_day(days: DataFrame, calendar: DataFrame) -> DataFrame:
-    return _nearest(days, calendar, F.col("trade_date") > F.col("day"), F.min)
+    return _nearest(days, calendar, F.date_add("day", 1), True)
 
 
 def trading_day_n_days_ago(days: DataFrame, calendar: DataFrame, n: int) -> DataFrame:
     """The last trading day at or before ``day`` less n calendar days."""
-    return _nearest(days, calendar, F.col("trade_date") <= F.date_sub("day", n), F.max)
+    return _nearest(days, calendar, F.date_sub("day", n), False)
 
 
 def last_trading_days_of_months(calendar: DataFrame) -> DataFrame:
-    """Trading days whose next trading day is in another month, per year for parallelism; the calendar's last day isn't one."""
+    """Trading days whose next trading day is in another month; the calendar's last day isn't one."""
     following = F.lead("trade_date").over(Window.orderBy("trade_date"))
     return calendar.withColumn("n", following).where(F.trunc("n", "month") != F.trunc("trade_date", "month")).select("trade_date")
 
@@ -41,12 +52,13 @@ def futures_expiry(months: DataFrame, calendar: DataFrame) -> DataFrame:
     """Third Friday of each ``month`` (any day of it), moved to the next trading day if it is none."""
     first = F.trunc("month", "month")
     third_friday = F.date_add(F.next_day(F.date_sub(first, 1), "Fri"), 14)
-    return months.withColumn("friday", third_friday).join(F.broadcast(calendar), F.col("trade_date") >= F.col("friday"), "left").groupBy("month").agg(F.min("trade_date").alias("expiry"))
+    return _nearest(months, calendar, third_friday, True, "month").withColumnRenamed("trade_date", "expiry")
 
 
 def contract_month(days: DataFrame, expiries: DataFrame) -> DataFrame:
     """YYMM of the contract that is current on the day after each ``day``: of the first expiry after it."""
-    return days.join(F.broadcast(expiries.select("expiry")), F.col("expiry") > F.col("day"), "left").groupBy("day").agg(F.date_format(F.min("expiry"), "yyMM").alias("contract"))
+    found = _nearest(days, expiries.select(F.col("expiry").alias("trade_date")).where("expiry is not null"), F.date_add("day", 1), True)
+    return found.select("day", F.date_format("trade_date", "yyMM").alias("contract"))
 
 
 def round_up(ms: Column, step: int) -> Column:

@@ -21,22 +21,35 @@ def constituents(history: DataFrame, securities: DataFrame, index_symbol: str |
     return rows.select("index_code", "symbol", "eff_date", F.col("weight").cast("double").alias("weight"))
 
 
+def _days(spans: DataFrame, start: str, days: DataFrame, day: str) -> DataFrame:
+    """The rows of ``spans`` on every date from ``start`` to the day before ``until`` (null: to the last of ``days``), as ``day``."""
+    end = days.agg(F.to_date(F.max(day)).alias("__end"))
+    held = spans.crossJoin(end).withColumn("__until", F.least(F.coalesce(F.date_sub("until", 1), F.col("__end")), "__end")).where(F.col(start) <= F.col("__until"))  # one row
+    return held.withColumn(day, F.explode(F.sequence(F.to_date(start), "__until", F.expr("interval 1 day")))).drop("until", "__until", "__end")
+
+
+def increment(old: DataFrame, new: DataFrame, key: str = "eff_date") -> DataFrame | None:
+    """``old`` with the rows of ``new`` whose date it lacks, or None if it has all of them: nothing is to be built anew."""
+    fresh = new.join(old.select(key).distinct(), key, "left_anti").select(*old.columns)
+    return None if fresh.isEmpty() else old.unionByName(fresh)
+
+
 def daily_weights(members: DataFrame, calendar: DataFrame) -> DataFrame:
     """Weights of each trading day from the latest effective date at or before it.
 
     A symbol that a later effective date of its index doesn't name has weight 0 from then on, so a
-    day's rows are those of one effective date: an interval join, no pivot.
+    day's rows are those of one effective date: its days joined with the calendar's, no pivot.
     """
     dates = members.select("index_code", "eff_date").distinct()
     until = dates.withColumn("until", F.lead("eff_date").over(Window.partitionBy("index_code").orderBy("eff_date")))
-    days = until.join(F.broadcast(calendar), (F.col("trade_date") >= F.col("eff_date")) & (F.col("until").isNull() | (F.col("trade_date") < F.col("until"))))
-    return days.drop("until").join(members, ["index_code", "eff_date"]).select("index_code", "trade_date", "symbol", "weight")
+    days = _days(until, "eff_date", calendar, "trade_date").join(calendar, "trade_date")
+    return days.join(members, ["index_code", "eff_date"]).select("index_code", "trade_date", "symbol", "weight")
 
 
 def labelled_next_day(weights: DataFrame, calendar: DataFrame) -> DataFrame:
     """Weights known on a trading day, under the date of the next one."""
     following = calendar.withColumn("next_date", F.lead("trade_date").over(Window.orderBy("trade_date")))  # a calendar is small
-    return weights.join(F.broadcast(following), "trade_date").where("next_date is not null").withColumn("trade_date", F.col("next_date")).drop("next_date")
+    return weights.join(following, "trade_date").where("next_date is not null").withColumn("trade_date", F.col("next_date")).drop("next_date")
 
 
 def filled_days(weights: DataFrame) -> DataFrame:
@@ -52,5 +65,5 @@ def weights_as_of(weights: DataFrame, days: DataFrame) -> DataFrame:
     """The weights of the latest date at or before each ``day``, per index."""
     dates = weights.select("index_code", "trade_date").distinct()
     spans = dates.withColumn("until", F.lead("trade_date").over(Window.partitionBy("index_code").orderBy("trade_date")))
-    matched = days.join(F.broadcast(spans), (F.col("day") >= F.col("trade_date")) & (F.col("until").isNull() | (F.col("day") < F.col("until"))))  # dates of a few indexes
+    matched = days.join(_days(spans, "trade_date", days, "day"), "day")
     return matched.select("day", "index_code", "trade_date").join(weights, ["index_code", "trade_date"]).select("index_code", "day", "symbol", "weight")

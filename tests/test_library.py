@@ -10,7 +10,7 @@ from tapestream.functions.cross_section import reduce_cross_section
 from tapestream.functions.imbalance import IMBALANCE
 from tapestream.functions.rolling import TRANSFORMS
 from tapestream.operators import aggregate, align, calendar, universe, weights
-from tapestream.plans import naming, planner, spec
+from tapestream.plans import naming, planner, registry, spec
 from tapestream.sources import panels, tables
 from tapestream.streaming import incremental
 
@@ -95,6 +95,39 @@ def test_weights_build(spark):
     assert {r.trade_date.day for r in weights.labelled_next_day(weights.daily_weights(members, days), days).collect()} == {2, 3, 4}
 
 
+def test_weights_increment(spark):
+    old = spark.createDataFrame([("I", dt.date(2024, 1, 1)), ("I", dt.date(2024, 2, 1))], "index_code string, eff_date date")
+    assert weights.increment(old, old) is None
+    more = weights.increment(old, old.unionByName(spark.createDataFrame([("J", dt.date(2024, 3, 1)), ("J", dt.date(2024, 2, 1))], old.schema)))
+    assert sorted((r.index_code, r.eff_date.month) for r in more.collect()) == [("I", 1), ("I", 2), ("J", 3)]
+
+
+def test_days_outside_the_calendar(spark):
+    cal = spark.createDataFrame([(dt.date(2024, 1, d),) for d in (3, 4, 8)], "trade_date date")
+    days = spark.createDataFrame([(dt.date(2024, 1, d),) for d in (1, 3, 4, 6, 8, 20)] + [(None,)], "day date")
+    of = lambda df: {r.day and r.day.day: r.trade_date and r.trade_date.day for r in df.collect()}
+    assert of(calendar.previous_trading_day(days, cal)) == {1: None, 3: None, 4: 3, 6: 4, 8: 4, 20: 8, None: None}
+    assert of(calendar.next_trading_day(days, cal)) == {1: 3, 3: 4, 4: 8, 6: 8, 8: None, 20: None, None: None}
+    assert of(calendar.trading_day_n_days_ago(days, cal, 2)) == {1: None, 3: None, 4: None, 6: 4, 8: 4, 20: 8, None: None}
+    assert of(calendar.next_trading_day(days, cal.limit(0))) == {1: None, 3: None, 4: None, 6: None, 8: None, 20: None, None: None}
+
+
+def test_registry(spark):
+    own = {"imb": lambda b, a: b * a, "cs": lambda x, m, u, least=0.0: F.count_if(x - m >= least).cast("double"), "ts": lambda frame, x, out, by: frame.withColumn(out, x * by)}
+    for kind, function in own.items():
+        registry.register(kind, "own", function, two_pass=kind == "cs")
+        with pytest.raises(ValueError):
+            registry.register(kind, "own", function)
+    registry.register("aggregation", "own", lambda ind, s, imb="imb01": ind.select("ts", F.col("symbol").alias("series"), IMBALANCE[imb](F.col("bid"), F.col("ask")).alias("value")))
+    plan = spec.parsed({"target_indexes": ["A"], "index_all": "B", "aggregation": {"o": {"aggregation": "own", "imb": "own"}, "c": {"aggregation": "imb_csf", "cs": "own", "cs_prs": {"least": -9.0}}}, "ts": {"own": {"by": [2.0]}}})
+    found = {(r.factor, r.ts, r.series): r.value for r in planner.generated(indicator(spark), setting(spark), plan, "v").collect()}
+    assert found["v-o-own_b2.0", T[0], "s3"] == 36 and found["v-c-org", T[0], "B"] == 2
+    for kind in registry.KINDS:
+        registry.unregister(kind, "own")
+    with pytest.raises(ValueError):
+        registry.register("udf", "own", len)
+
+
 def test_panels_in_files(spark, tmp_path):
     index = pd.Index(T[:3], name="ts")
     for side in ("Bid", "Ask"):
