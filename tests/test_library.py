@@ -191,6 +191,20 @@ def test_plan_equals_direct_composition(spark):
     assert {(r.series, r.ts): r.value for r in made.where("factor = 'vol-w-mean_w2'").collect()} == {(r.series, r.ts): r.m for r in direct.collect()}
 
 
+def test_new_dates_of_a_plan(spark):
+    s = setting(spark)
+    plan = spec.parsed({"target_indexes": ["A", "B"], "index_all": "B", "aggregation": {"w": {"aggregation": "avg_imb"}}, "ts": {"mean": {"window": [2]}}})
+    rows = [(t, f"s{k}", float(i + k), float((i * k) % 4 + 1)) for i, t in enumerate(T) for k in (1, 2, 3)]
+    ind = spark.createDataFrame(rows, "ts timestamp_ntz, symbol string, bid double, ask double")
+    whole = planner.generated(ind, s, plan, "v")
+    old = planner.generated(ind.where(F.col("ts") <= F.lit(T[3])), s, plan, "v")
+    keyed = lambda df: {(r.factor, r.series, r.ts): r.value for r in df.collect()}
+    more = planner.extended(old, ind, s, plan, "v", str(T[2]), "2min", tolerance=1e-12)
+    assert keyed(more) == pytest.approx(keyed(whole)) and len(keyed(whole)) == 24
+    with pytest.raises(incremental.Inconsistent):
+        planner.extended(old.withColumn("value", F.col("value") + 1), ind, s, plan, "v", str(T[2]), "2min", tolerance=1e-12)
+
+
 def test_transform_within_aggregation(spark):
     found = aggregate.avg_imb(indicator(spark), setting(spark), ts=lambda f, x, out: TRANSFORMS["absv"](f, x=x, out=out))
     assert values(found).keys() == {(T[0], "A"), (T[0], "B")}
