@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
 
-from . import jaccard, licenses, lines, mixing, order, pieces, pii, quality, toxicity, vectors
+from . import bytebpe, jaccard, licenses, lines, mixing, order, pieces, pii, quality, toxicity, vectors
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_license_scan": licenses.op8_license_scan,
     "op9_embedding_dedup": vectors.op9_embedding_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_byte_bpe": bytebpe.op11_byte_bpe,
 }
 
 ORACLE_SQL = {"op1_quality_rules": quality.OP1_SQL, "op3_ngram_jaccard": jaccard.OP3_SQL, "op4_source_mixing": mixing.OP4_SQL, "op9_embedding_dedup": vectors.OP9_SQL}
