@@ -1,8 +1,8 @@
 """What filters of a corpus do to each other, in any order of application.
 
 Words are counted in a sparse document-term matrix. Tasks build shards in compressed-row form over words
-of their own; the words of all shards, each once per shard, make the global dictionary, whose ids are
-joined back to the shards' words and replace them. Row sums and nonzero counts of the matrix decide
+of their own; the words of all shards, each once per shard, make the global dictionary, whose terms go
+back to the shards and replace their own. Row sums and nonzero counts of the matrix decide
 the filters about words, the other flags go along with the rows, and only counts by part, set of
 failed filters and labels are left of the documents when the orders are laid out.
 """
@@ -10,11 +10,13 @@ failed filters and labels are left of the documents when the orders are laid out
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate, permutations
+from itertools import permutations
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,13 +53,26 @@ def _signed(value: int) -> int:
     return value - 2**64 if value >= 2**63 else value
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _packed(values: np.ndarray) -> bytes:
+    """32-bit numbers on their way through a shuffle."""
+    return zstandard.compress(values.astype(np.int32).tobytes(), 1)
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(blob), np.int32)
+
+
+def _shards(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     first = TaskContext.get().partitionId() << 32
     for k, batch in enumerate(slices(batches, most_bytes=SHARD_BYTES)):
         texts = [t or b"" for t in batch.column("text").to_pylist()]
-        words, starts, terms, counts = _csr([t.split() for t in texts])
+        words, *cells = _csr([t.split() for t in texts])
         capitals = [100 * (len(t) - len(t.translate(None, CAPITALS))) > 3 * len(t.translate(None, CONTINUATION)) for t in texts]
         hashes = [divmod(xxhash.xxh3_128_intdigest(t), 2**64) for t in texts]
+        dealt: dict[int, list[tuple[bytes, int]]] = {}
+        for i, word in enumerate(words):
+            dealt.setdefault(crc32(word) % parts, []).append((word, i))
+        own = [{"p": p, "words": b" ".join(w for w, _ in sorted(held)), "local": _packed(np.array([i for _, i in sorted(held)]))} for p, held in sorted(dealt.items())]
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([first + k], pa.int64()),
@@ -66,45 +81,63 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 _lists(pa.array(capitals, pa.bool_())),
                 _lists(pa.array([len(t.translate(None, SYMBOLS)) < len(t) for t in texts], pa.bool_())),
                 *(_lists(pa.array([_signed(h[i]) for h in hashes], pa.int64())) for i in (0, 1)),
-                _lists(pa.array(words, pa.binary())),
-                *(_lists(pa.array(a)) for a in (starts, terms, counts)),
+                _lists(pa.array(own, pa.struct([("p", pa.int32()), ("words", pa.binary()), ("local", pa.binary())]))),
+                *(pa.array([_packed(a)], pa.binary()) for a in cells),
             ],
-            ["shard", "doc_ids", *ATTRIBUTES, "words", "starts", "terms", "counts"],
+            ["shard", "doc_ids", *ATTRIBUTES, "own", "starts", "terms", "counts"],
         )
 
 
-def shards(documents: DataFrame, part: str = "lang") -> DataFrame:
-    """Rows in compressed form over the words of their shard: shard, doc_ids, attributes, words, starts, terms (numbers in ``words``), counts."""
-    lists = {"doc_ids": documents.schema["doc_id"].dataType, **ATTRIBUTES, "words": BinaryType(), "starts": IntegerType(), "terms": IntegerType(), "counts": IntegerType()}
-    schema = StructType([StructField("shard", LongType()), *(StructField(name, ArrayType(kind)) for name, kind in lists.items())])
-    named = F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part")
-    return documents.select("doc_id", named, as_bytes("text")).mapInArrow(_shards, schema)
-
+def shards(documents: DataFrame, part: str, parts: int) -> DataFrame:
+    """Rows in compressed form over the words of their shard: shard, doc_ids, attributes, own, starts, terms, counts.
 
-def dictionary(words: DataFrame) -> DataFrame:
-    """word and its term, numbers from 0 without gaps; ``words`` has a row per shard and word. Written, so a lost executor gives no word another number."""
-    numbered = written(words.select("word").distinct().select("word", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m")), "dictionary", "zstd")
-    sizes = dict(numbered.groupBy("p").count().collect())  # a row per partition
-    before = dict(zip(sorted(sizes), accumulate([0, *(sizes[p] for p in sorted(sizes))]), strict=False))
-    base = F.lit([p for p in sorted(before)] or [0]), F.lit([before[p] for p in sorted(before)] or [0])
-    first = F.element_at(F.map_from_arrays(*base), F.col("p"))
-    return numbered.select("word", (F.col("m") - F.shiftleft(F.col("p").cast("long"), 33) + first).cast("long").alias("term"))
+    ``own`` has the shard's words by the part of the dictionary they belong to (p, words: sorted and joined by the blank that
+    none of them holds, local: their numbers within the shard); terms are such numbers.
+    """
+    own = StructType([StructField("p", IntegerType()), StructField("words", BinaryType()), StructField("local", BinaryType())])
+    lists = {"doc_ids": documents.schema["doc_id"].dataType, **ATTRIBUTES, "own": own}
+    schema = StructType([StructField("shard", LongType()), *(StructField(name, ArrayType(kind)) for name, kind in lists.items()), *(StructField(name, BinaryType()) for name in ("starts", "terms", "counts"))])
+    named = F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part")
+    return documents.select("doc_id", named, as_bytes("text")).mapInArrow(lambda batches: _shards(batches, parts), schema)
 
 
-def _renumbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers of the words within their part of the dictionary, in the order of the shards; holds one part's words."""
+    part, numbers = None, {}
+    for batch in batches:
+        out = []
+        for p, words, local in zip(*(batch.column(n).to_pylist() for n in ("p", "words", "local")), strict=True):
+            if p != part:
+                part, numbers = p, {}
+            known, listed = len(numbers), words.split(b" ")
+            found = np.fromiter((numbers.setdefault(w, len(numbers)) for w in listed), np.int64, len(listed))
+            new = found >= known
+            out.append((_packed(found), local, known, b" ".join(w for w, n in zip(listed, new.tolist(), strict=True) if n) if new.any() else None))
+        columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.binary(), pa.binary(), pa.int64(), pa.binary()), strict=True)] if out else []
+        if columns:
+            yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("p"), *columns], ["shard", "p", "number", "local", "known", "new"])
+
+
+def _renumbered(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Shards over the words of the dictionary: a part's n-th word is term n * parts + part."""
     for batch in batches:
         for i in range(batch.num_rows):
-            row = {name: batch.column(name)[i].values for name in ("starts", "terms", "counts", "of")}
-            starts, local, counts = (row[n].to_numpy() for n in ("starts", "terms", "counts"))
-            of = row["of"]
-            table = np.zeros(len(of), np.int64)
-            if len(of):
-                table[of.field("local").to_numpy()] = of.field("term").to_numpy()
+            starts, local, counts = (_unpacked(batch.column(n)[i].as_py()) for n in ("starts", "terms", "counts"))
+            of = [(p["p"], _unpacked(p["local"]), _unpacked(p["number"])) for p in batch.column("of")[i].as_py()]
+            table = np.zeros(sum(len(own) for _, own, _ in of), np.int64)
+            for p, own, number in of:
+                table[own] = number.astype(np.int64) * parts + p
             terms = table[local]
             order = np.lexsort((terms, np.repeat(np.arange(len(starts) - 1), np.diff(starts))))
-            one = batch.slice(i, 1)
-            kept = [one.column(n) for n in ("shard", "doc_ids", *ATTRIBUTES, "starts")]
-            yield pa.RecordBatch.from_arrays([*kept, _lists(pa.array(terms[order])), _lists(pa.array(counts[order]))], ["shard", "doc_ids", *ATTRIBUTES, "starts", "terms", "counts"])
+            kept = [batch.slice(i, 1).column(n) for n in ("shard", "doc_ids", *ATTRIBUTES)]
+            yield pa.RecordBatch.from_arrays([*kept, *(_lists(pa.array(a)) for a in (starts, terms[order], counts[order]))], ["shard", "doc_ids", *ATTRIBUTES, "starts", "terms", "counts"])
+
+
+def _split(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for p, known, new in zip(*(batch.column(n).to_pylist() for n in ("p", "known", "new")), strict=True):
+            words = new.split(b" ")
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array((known + np.arange(len(words))) * parts + p)], ["word", "term"])
 
 
 def matrix(documents: DataFrame, part: str = "lang") -> tuple[DataFrame, DataFrame]:
@@ -112,20 +145,26 @@ def matrix(documents: DataFrame, part: str = "lang") -> tuple[DataFrame, DataFra
 
     The matrix has a row per shard, in compressed-row form: shard, doc_ids and the attributes of its documents
     (lists of one length), starts (row i's cells are those from starts[i] to starts[i + 1]), terms and
-    counts. Only a shard's distinct words and its cells are shuffled, not the texts; a word that all
-    shards hold is one small row of each. Both are tables below ``spark.checkpoint.dir``.
+    counts. Only a shard's distinct words and its cells are shuffled, not the texts. The dictionary is in as many parts
+    as there are shuffle partitions, by a hash of the word; one task numbers one part's words and
+    holds only these. Terms count through the parts in turn, so they have few gaps. Both results are
+    tables below ``spark.checkpoint.dir``: no lost executor gives a word another term.
     """
-    local = written(shards(documents, part), "matrix-local", "zstd")
-    words = local.select("shard", F.posexplode("words").alias("local", "word"))
-    with shuffle_files_freed(documents.sparkSession):
-        terms = dictionary(words)
-        of = words.join(terms, "word").groupBy("shard").agg(F.collect_list(F.struct("local", "term")).alias("of"))  # bounded by a shard's words
-        joined = local.drop("words").join(of, "shard", "left").withColumn("of", F.coalesce("of", F.array().cast("array<struct<local:int,term:bigint>>")))
-        kinds = {f.name: f for f in local.schema}
-        schema = StructType([*(kinds[n] for n in ("shard", "doc_ids", *ATTRIBUTES, "starts")), StructField("terms", ArrayType(LongType())), kinds["counts"]])
-        whole = written(joined.mapInArrow(_renumbered, schema), "matrix", "zstd")
+    spark = documents.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with shuffle_files_freed(spark):
+        local = written(shards(documents, part, parts), "matrix-local", "zstd")
+        words = local.select("shard", F.explode("own").alias("o")).select("shard", "o.*")
+        dealt = words.repartition(parts, "p").sortWithinPartitions("p", "shard")
+        terms = written(dealt.mapInArrow(_numbered, "shard long, p int, number binary, local binary, known long, new binary"), "dictionary", "zstd")
+        of = terms.groupBy("shard").agg(F.collect_list(F.struct("p", "local", "number")).alias("of"))  # bounded by a shard's words
+        nothing = F.array().cast("array<struct<p:int,local:binary,number:binary>>")
+        joined = local.drop("own").join(of, "shard", "left").withColumn("of", F.coalesce("of", nothing))
+        kinds = {"starts": IntegerType(), "terms": LongType(), "counts": IntegerType()}
+        schema = StructType([*(f for f in local.schema if f.name in ("shard", "doc_ids", *ATTRIBUTES)), *(StructField(n, ArrayType(k)) for n, k in kinds.items())])
+        whole = written(joined.mapInArrow(lambda batches: _renumbered(batches, parts), schema), "matrix", "zstd")
     dropped(local)
-    return whole, terms
+    return whole, terms.select("p", "known", "new").where("new is not null").mapInArrow(lambda batches: _split(batches, parts), "word binary, term long")
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
