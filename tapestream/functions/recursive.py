@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .frames import day, ordered, trailing
-from .rolling import TRANSFORMS, Window_, _values, transform
+from .order import framed
+from .rolling import TRANSFORMS, Window_, _rank, _values, transform
 
 CHUNK = 100_000
 #: What is left of a state after its memory: below this share nothing of a double changes.
@@ -48,14 +49,16 @@ def chunked(frame: DataFrame, x: Column, out: str, function: Callable[[np.ndarra
 
     Chunks count values, and nulls go with the value before them, so a gap costs no memory of the state.
     Chunks are no shorter than that memory, so each row is sent twice at most. Every row stays one row,
-    those of one time and those of a null series too.
+    those of one time and those of a null series too. Values are counted along the series, or by
+    ``scan.placed``.
     """
     chunk = max(chunk, rows)
-    so_far = ordered().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    numbered = frame.withColumn("__x", F.nullif(x.cast("double"), F.lit(float("nan")))).withColumn("__n", F.count("__x").over(so_far))
+    valued = frame.withColumn("__x", F.nullif(x.cast("double"), F.lit(float("nan"))))
+    so_far = F.col("__count") if "__count" in frame.columns else F.count("__x").over(ordered().rowsBetween(Window.unboundedPreceding, 0))
+    counted = valued.withColumn("__n", so_far)
     first = F.floor(F.col("__n") / chunk)
     lead = F.when(F.col("__n") % chunk >= chunk - rows, F.array(first, first + 1)).otherwise(F.array(first))
-    dealt = numbered.withColumn("__chunk", F.explode(lead)).withColumn("__own", F.col("__chunk") == first)
+    dealt = counted.withColumn("__chunk", F.explode(lead)).withColumn("__own", F.col("__chunk") == first)
     return _with_states(dealt, frame, out, ("series", "__chunk"), function)
 
 
@@ -164,10 +167,8 @@ def lowFreqEnergyRatio_x_slpsign(frame: DataFrame, x: Column, out: str, window:
 def lowFreqWithPosTrend(frame: DataFrame, x: Column, out: str, fft_window: Window_, pos_window: Window_, freq_cutoff: float, sampling_interval: float = 1) -> DataFrame:
     """Summed low-frequency magnitude, negative unless x is above more than half of its position window."""
     spectrum = _spectral(frame, x, "__amp", fft_window, lambda f, at: np.abs(f)[:, np.abs(at) <= freq_cutoff].sum(axis=1), 2, sampling_interval)
-    ranked = spectrum.withColumn("__p", _values(x, trailing(pos_window)))
-    above = F.size(F.filter("__p", lambda e: e["x"] < x)) / F.size("__p")
-    sign = F.when((F.size("__p") >= 2) & (F.count(x).over(trailing(pos_window)) >= 1), F.when(above > 0.5, 1.0).otherwise(-1.0))
-    return ranked.withColumn(out, F.col("__amp") * sign)
+    ranked = framed(spectrum, "__p", pos_window, {"x": x}, lambda f: _rank(f["x"], f["x"].x))
+    return ranked.withColumn(out, F.col("__amp") * F.when(F.col("__p") > 0.5, 1.0).when(F.col("__p").isNotNull(), -1.0))
 
 
 # Smoothers of technical analysis, by their public definitions. Rows without a value are skipped.

@@ -10,10 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from .frames import MICROS, at_least, bars, between_0_and_1, bucket, clock, day, ordered, ratio, rows, timed, trailing
+from .frames import MICROS, at_least, bars, bucket, clock, day, ordered, ratio, rows, timed, trailing
+from .order import Frames, framed, ratio_of
+from .scan import row_number
 
 Window_ = int | str
 TRANSFORMS: dict[str, Callable[..., DataFrame]] = {}
@@ -25,7 +28,9 @@ def transform(function: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     def added(frame: DataFrame, x: str = "value", out: str = "out", **parameters) -> DataFrame:
         had_order = "us" in frame.columns
         before = set(frame.columns)
-        result = function(timed(frame), F.col(x), out, **parameters)
+        counted = f"{x}#n"  # what ``scan.placed`` counted
+        ready = timed(frame).withColumn("__count", F.col(f"`{counted}`")) if counted in before else timed(frame)
+        result = function(ready, F.col(x), out, **parameters)
         return result.drop(*[c for c in result.columns if c.startswith("__") and c not in before], *([] if had_order else ["us"]))
 
     added.__name__, added.__doc__ = function.__name__, function.__doc__
@@ -53,10 +58,6 @@ def unbiased_kurtosis(x: Column, w: WindowSpec) -> Column:
     return F.when(n >= 4, F.coalesce((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(x).over(w) + 6), F.lit(-3.0)))
 
 
-def _quartiles(x: Column, w: WindowSpec) -> Column:
-    return F.percentile(x, F.lit(0.75)).over(w) - F.percentile(x, F.lit(0.25)).over(w)
-
-
 for _name, _value in {
     "mean": lambda x, w: F.avg(x).over(w),
     "std": lambda x, w: F.stddev_samp(x).over(w),
@@ -64,11 +65,16 @@ for _name, _value in {
     "rmax": lambda x, w: F.max(x).over(w),
     "skew": unbiased_skew,
     "kurt": unbiased_kurtosis,
-    "iqr": _quartiles,
 }.items():
     _simple(_name, _value)
 
 
+@transform
+def iqr(frame: DataFrame, x: Column, out: str, window: Window_) -> DataFrame:
+    """Distance of the quartiles."""
+    return framed(frame, out, window, {"x": x}, lambda f: f["x"].quantile(0.75) - f["x"].quantile(0.25))
+
+
 def _z(x: Column, w: WindowSpec) -> Column:
     return ratio(x - F.avg(x).over(w), F.stddev_samp(x).over(w))
 
@@ -110,7 +116,7 @@ def dod_three_minutes(frame: DataFrame, x: Column, out: str, n: int = 1) -> Data
 
 def _sloped(frame: DataFrame, x: Column, out: str, window: Window_) -> DataFrame:
     w = trailing(window)
-    numbered = frame.withColumn("__row", F.row_number().over(ordered()).cast("double"))
+    numbered = frame.withColumn("__row", row_number(frame).cast("double"))
     whole = (F.count(x).over(w) == F.count("*").over(w)) & (F.count("*").over(w) >= 2)
     return numbered.withColumn(out, F.when(whole, F.regr_slope(x, F.col("__row")).over(w) * F.count("*").over(w)))
 
@@ -152,10 +158,6 @@ def _directions(frame: DataFrame, x: Column, window: Window_) -> DataFrame:
     return steps.withColumn("__s", F.transform("__d", lambda d: F.signum(d))).withColumn("__k", F.size("__s"))
 
 
-def _matching(a: Column, test: Callable[[Column], Column]) -> Column:
-    return F.size(F.filter(a, test)).cast("double")
-
-
 def _total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
 
@@ -203,11 +205,14 @@ def trendStrengthRatio(frame: DataFrame, x: Column, out: str, window: Window_) -
     return moved.withColumn(out, F.when(F.col("__k") >= 2, (F.max(x).over(w) - F.min(x).over(w)) / (noise + 1e-9) * F.signum("__m")))
 
 
+def _rank(long: Frames, bound: np.ndarray) -> np.ndarray:
+    """Share of the window below a bound, null cells counting; from two rows on, one of them with a value."""
+    return np.where((long.size >= 2) & (long.count >= 1), long.below(bound) / np.maximum(long.size, 1), np.nan)
+
+
 def _ranked(frame: DataFrame, x: Column, short: int, long: int) -> DataFrame:
-    """__r: share of the long frame below the mean of the short one, null cells counting; from two rows on, one of them with a value."""
-    valued = _framed(frame, x, long).withColumn("__v", F.avg(x).over(rows(short)))
-    share = _matching(F.col("__a"), lambda e: e["x"] < F.col("__v")) / F.size("__a")
-    return valued.withColumn("__r", F.when((F.size("__a") >= 2) & (F.count(x).over(rows(long)) >= 1), share))
+    """__r: rank of the mean of the short frame within the long one."""
+    return framed(frame, "__r", long, {"x": x, "mean": F.avg(x).over(rows(short))}, lambda f: _rank(f["x"], f["mean"].x))
 
 
 @transform
@@ -251,13 +256,9 @@ def trendInteraction(frame: DataFrame, x: Column, out: str, short_window: int, l
 @transform
 def percentileTrendAcceleration(frame: DataFrame, x: Column, out: str, short_window: int, long_window: int) -> DataFrame:
     """Rank of the short mean less the rank of the short mean one row before, both within the long window."""
-    whole = F.col("__n") > short_window
-    begin = F.when(whole, F.col("__n") - short_window).otherwise(1)
-    before = F.when(F.col("__n") >= 2, F.filter(F.slice("__a", begin, F.col("__n") - begin), lambda e: e["x"].isNotNull())).otherwise(F.array().cast("array<struct<x:double>>"))
-    ranked = _ranked(frame, x, short_window, long_window).withColumn("__n", F.size("__a")).withColumn("__b", before)
-    mean = F.when(F.size("__b") > 0, F.aggregate("__b", F.lit(0.0), lambda s, e: s + e["x"]) / F.size("__b"))
-    ranked = ranked.withColumn("__p", mean)
-    return ranked.withColumn(out, F.col("__r") - _matching(F.col("__a"), lambda e: e["x"] < F.col("__p")) / F.col("__n"))
+    before = F.avg(x).over(ordered().rowsBetween(-min(short_window, long_window - 1), -1)) if long_window > 1 else F.lit(None)
+    means = {"x": x, "now": F.avg(x).over(rows(short_window)), "before": before}
+    return framed(frame, out, long_window, means, lambda f: _rank(f["x"], f["now"].x) - _rank(f["x"], f["before"].x))
 
 
 # Scaling and ranking within windows, also of one time of day.
@@ -269,47 +270,71 @@ def rollingRemoveIntradayEffect(frame: DataFrame, x: Column, out: str, window: s
     return frame.withColumn("__c", clock()).withColumn(out, x - F.avg(x).over(trailing(window, "__c")))
 
 
-def _quantiles(x: Column, w: WindowSpec, min_periods: int, q: float) -> Column:
-    low, high = F.percentile(x, F.lit(q)).over(w), F.percentile(x, F.lit(1 - q)).over(w)
-    return at_least(min_periods, x, w, between_0_and_1(ratio(x - low, high - low)))
+def _place(of: Frames, least: int, low: float, high: float) -> np.ndarray:
+    """A row's value between two quantiles of its window; NaN without ``least`` values."""
+    a, b = of.quantile(low), of.quantile(high)
+    return np.where(of.count >= least, ratio_of(of.x - a, b - a), np.nan)
+
+
+def _scaled(of: Frames, least: int, q: float) -> np.ndarray:
+    return np.clip(_place(of, least, q, 1 - q), 0, 1)
+
+
+def _share(of: Frames, least: int, above: bool = False) -> np.ndarray:
+    """Share of the window's rows whose value is at most a row's own (at least, with ``above``); 0 for a row without one."""
+    n = of.below(of.x, inclusive=not above)
+    n = np.where(np.isnan(of.x), 0, of.count - n) if above else n
+    return np.where(of.count >= least, n / np.maximum(of.size, 1), np.nan)
+
+
+def _clocked(frame: DataFrame, exact: bool, interval: int) -> Column:
+    return clock() if exact else bucket(interval)
 
 
 def _by_clock(name: str, value: Callable[..., Column], exact: bool = False) -> None:
     """A transform over the rows of one time of day: of its exact clock time, or of its bucket of ``interval`` minutes."""
 
     def of_bucket(frame: DataFrame, x: Column, out: str, window: Window_ = "30d", min_periods: int = 1, quantile: float = 0.05, interval: int = 5) -> DataFrame:
-        return frame.withColumn("__c", clock() if exact else bucket(interval)).withColumn(out, value(x, trailing(window, "__c"), min_periods, quantile))
+        return frame.withColumn("__c", _clocked(frame, exact, interval)).withColumn(out, value(x, trailing(window, "__c"), min_periods))
 
     of_bucket.__name__ = name
     transform(of_bucket)
 
 
-def _share_up_to(x: Column, w: WindowSpec, k: int, above: bool = False) -> Column:
-    a = _values(x, w)
-    return at_least(k, x, w, F.size(F.filter(a, lambda e: (e["x"] >= x) if above else (e["x"] <= x))) / F.size(a))
-
-
-for _name, _value, _exact in (
-    ("rollingMinuteQuantileScale", _quantiles, True),
-    ("rollingAggMinuteMinMaxScale", _quantiles, False),
-    ("aggMinmax", _quantiles, False),
-    ("rollingAggMinutePercentile", lambda x, w, k, q: 100 * _share_up_to(x, w, k, above=True), False),
-    ("rollingAggMinutePctl", lambda x, w, k, q: _share_up_to(x, w, k), False),
-    ("aggPctl", lambda x, w, k, q: _share_up_to(x, w, k), False),
-    ("rollingMinuteZScore", lambda x, w, k, q: at_least(k, x, w, _z(x, w)), False),
-    ("aggZsc", lambda x, w, k, q: at_least(k, x, w, _z(x, w)), False),
-    ("rollingMinuteDeMean", lambda x, w, k, q: at_least(k, x, w, x - F.avg(x).over(w)), False),
-    ("aggDmean", lambda x, w, k, q: at_least(k, x, w, x - F.avg(x).over(w)), False),
-    ("aggDivMean", lambda x, w, k, q: at_least(k, x, w, ratio(x, F.avg(x).over(w))), False),
-    ("aggDivMean_parallel", lambda x, w, k, q: at_least(k, x, w, ratio(x, F.avg(x).over(w))), False),
+def _ordered_by_clock(name: str, value: Callable[[Frames, int, float], np.ndarray], exact: bool = False) -> None:
+    """The same for order statistics."""
+
+    def of_bucket(frame: DataFrame, x: Column, out: str, window: Window_ = "30d", min_periods: int = 1, quantile: float = 0.05, interval: int = 5) -> DataFrame:
+        return framed(frame, out, window, {"x": x}, lambda f: value(f["x"], min_periods, quantile), by=_clocked(frame, exact, interval))
+
+    of_bucket.__name__ = name
+    transform(of_bucket)
+
+
+for _name, _value in (
+    ("rollingMinuteZScore", lambda x, w, k: at_least(k, x, w, _z(x, w))),
+    ("aggZsc", lambda x, w, k: at_least(k, x, w, _z(x, w))),
+    ("rollingMinuteDeMean", lambda x, w, k: at_least(k, x, w, x - F.avg(x).over(w))),
+    ("aggDmean", lambda x, w, k: at_least(k, x, w, x - F.avg(x).over(w))),
+    ("aggDivMean", lambda x, w, k: at_least(k, x, w, ratio(x, F.avg(x).over(w)))),
+    ("aggDivMean_parallel", lambda x, w, k: at_least(k, x, w, ratio(x, F.avg(x).over(w)))),
 ):
-    _by_clock(_name, _value, _exact)
+    _by_clock(_name, _value)
+for _name, _statistic, _exact in (
+    ("rollingMinuteQuantileScale", _scaled, True),
+    ("rollingAggMinuteMinMaxScale", _scaled, False),
+    ("aggMinmax", _scaled, False),
+    ("rollingAggMinutePercentile", lambda f, k, q: 100 * _share(f, k, above=True), False),
+    ("rollingAggMinutePctl", lambda f, k, q: _share(f, k), False),
+    ("aggPctl", lambda f, k, q: _share(f, k), False),
+):
+    _ordered_by_clock(_name, _statistic, _exact)
 
 
 @transform
 def minmax(frame: DataFrame, x: Column, out: str, window: Window_ = 20, min_periods: int = 10, quantile: float = 0.05) -> DataFrame:
     """x between two quantiles of its window, clipped to [0, 1]."""
-    return frame.withColumn(out, _quantiles(x, trailing(window), min_periods, quantile))
+    return framed(frame, out, window, {"x": x}, lambda f: _scaled(f["x"], min_periods, quantile))
 
 
 TRANSFORMS["minmax_scale"] = minmax
@@ -318,33 +343,34 @@ TRANSFORMS["minmax_scale"] = minmax
 @transform
 def minmax_scale_numba_parallel(frame: DataFrame, x: Column, out: str, window: Window_ = 20, min_periods: int = 10, quantile: float = 0.05) -> DataFrame:
     """``minmax`` of single-precision values with 0 for null, and 1e-12 added to the range."""
-    w = trailing(window)
-    filled = frame.withColumn("__f", F.coalesce(x, F.lit(0.0)).cast("float").cast("double"))
-    f = F.col("__f")
-    low, high = F.percentile(f, F.lit(quantile)).over(w), F.percentile(f, F.lit(1 - quantile)).over(w)
-    return filled.withColumn(out, at_least(min_periods, f, w, between_0_and_1((f - low) / (high - low + 1e-12))))
+
+    def value(f: dict[str, Frames]) -> np.ndarray:
+        low, high = f["x"].quantile(quantile), f["x"].quantile(1 - quantile)
+        return np.where(f["x"].count >= min_periods, np.clip((f["x"].x - low) / (high - low + 1e-12), 0, 1), np.nan)
+
+    return framed(frame, out, window, {"x": F.coalesce(x, F.lit(0.0)).cast("float")}, value)
 
 
 @transform
 def rlPctl(frame: DataFrame, x: Column, out: str, window: int) -> DataFrame:
     """Share of the rows before with a value that is at most x; 0 for a null x, null without such rows."""
-    before = ordered().rowsBetween(1 - window, -1)
-    framed = frame.withColumn("__a", _values(x, before)).withColumn("__n", F.count(x).over(before))
-    return framed.withColumn(out, F.when(F.col("__n") > 0, _matching(F.col("__a"), lambda e: e["x"] <= x) / F.col("__n")))
+
+    def value(f: dict[str, Frames]) -> np.ndarray:
+        return np.where(f["x"].count > 0, f["x"].below(f["x"].x, inclusive=True) / np.maximum(f["x"].count, 1), np.nan)
+
+    return framed(frame, out, window, {"x": x}, value, ahead=1)
 
 
 @transform
 def minmaxSep(frame: DataFrame, x: Column, out: str, window: Window_ = 20, min_periods: int = 10, quantile: float = 0.05) -> DataFrame:
     """Positive values scaled to [0.5, 1], negative ones to [0, 0.5] with the deepest at 0.5; 0 gives null."""
-    w = trailing(window)
 
-    def scaled(side: Column, low: float, high: float) -> Column:
-        a, b = F.percentile(side, F.lit(low)).over(w), F.percentile(side, F.lit(high)).over(w)
-        return at_least(min_periods, side, w, ratio(side - a, b - a))
+    def value(f: dict[str, Frames]) -> np.ndarray:
+        positive = 0.5 + 0.5 * _place(f["up"], min_periods, quantile, 1 - quantile)
+        negative = 0.5 * _place(f["down"], min_periods, 1 - quantile, quantile)
+        return np.clip(np.where(np.isnan(f["up"].x), negative, positive), 0, 1)
 
-    positive = 0.5 + 0.5 * scaled(F.when(x > 0, x), quantile, 1 - quantile)
-    negative = 0.5 * scaled(F.when(x < 0, x), 1 - quantile, quantile)
-    return frame.withColumn(out, between_0_and_1(F.when(x > 0, positive).when(x < 0, negative)))
+    return framed(frame, out, window, {"up": F.when(x > 0, x), "down": F.when(x < 0, x)}, value)
 
 
 # Of single values.

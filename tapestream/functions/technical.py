@@ -4,17 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from . import recursive  # noqa: F401  registers the smoothers
 from .frames import at_least, ordered, ratio, rows
 from .rolling import TRANSFORMS, transform, unbiased_kurtosis, unbiased_skew
-
-
-def _held(signal: Column) -> Column:
-    """The last signal so far."""
-    return F.last(signal, ignorenulls=True).over(ordered().rowsBetween(Window.unboundedPreceding, 0))
+from .scan import held, row_number
 
 
 def _full(name: str, value: Callable[[Column, WindowSpec, int], Column], least: int | None = None) -> None:
@@ -22,7 +18,7 @@ def _full(name: str, value: Callable[[Column, WindowSpec, int], Column], least:
 
     def function(frame: DataFrame, x: Column, out: str, window: int) -> DataFrame:
         w = rows(window)
-        numbered = frame.withColumn("__row", F.row_number().over(ordered()).cast("double"))
+        numbered = frame.withColumn("__row", row_number(frame).cast("double"))
         return numbered.withColumn(out, at_least(window if least is None else least, x, w, value(x, w, window)))
 
     function.__name__ = name
@@ -78,7 +74,7 @@ def DoubleDiff_func(frame: DataFrame, x: Column, out: str, window: int) -> DataF
 def pct_func(frame: DataFrame, x: Column, out: str, window: int) -> DataFrame:
     """Change over ``window`` rows relative to the absolute value then; carried forward over gaps."""
     before = F.lag(x, window).over(ordered())
-    return frame.withColumn("__p", ratio(x - before, F.abs(before))).withColumn(out, _held(F.col("__p")))
+    return held(frame, ratio(x - before, F.abs(before)), out)
 
 
 @transform
@@ -100,30 +96,29 @@ def regression_beta(frame: DataFrame, x: Column, out: str, factor: str, window:
 @transform
 def ma_func(frame: DataFrame, x: Column, out: str, window: int) -> DataFrame:
     """Moving mean; of the first rows, row i has the mean of the last i values and row 0 its own."""
-    numbered = frame.withColumn("__row", F.row_number().over(ordered()) - 1)
-    return numbered.withColumn("__early", F.avg(x).over(ordered().rowsBetween(Window.unboundedPreceding, 0)) * (F.col("__row") + 1)).withColumn(
-        out, F.when(F.col("__row") == 0, x).when(F.col("__row") < window, (F.col("__early") - F.first(x).over(ordered().rowsBetween(Window.unboundedPreceding, 0))) / F.col("__row")).otherwise(F.avg(x).over(rows(window)))
-    )
+    w = rows(window)  # of the first rows, all so far
+    numbered = frame.withColumn("__row", row_number(frame) - 1).withColumn("__mean", F.avg(x).over(w))
+    early = (F.col("__mean") * (F.col("__row") + 1) - F.first(x).over(w)) / F.col("__row")
+    return numbered.withColumn(out, F.when(F.col("__row") == 0, x).when(F.col("__row") < window, early).otherwise(F.col("__mean")))
 
 
 @transform
 def bbands_func(frame: DataFrame, x: Column, out: str, window: int, up: float = 2.0, down: float = 2.0) -> DataFrame:
     """1 above the upper band, -1 below the lower one, 0 after the middle is crossed; signals against the sign of x end."""
-    numbered = frame.withColumn("__row", F.row_number().over(ordered()) - 1)
-    early = ordered().rowsBetween(Window.unboundedPreceding, 0)
+    numbered = frame.withColumn("__row", row_number(frame) - 1)
     warm, w = F.col("__row") < window, rows(window)
-    # while warming up, row i uses its last i values: all rows but the first
-    n, sum_, square = F.col("__row"), F.sum(x).over(early) - F.first(x).over(early), F.sum(x * x).over(early) - F.first(x * x).over(early)
+    # while warming up, the window holds all rows so far, and row i uses its last i values: all rows but the first
+    n, sum_, square = F.col("__row"), F.sum(x).over(w) - F.first(x).over(w), F.sum(x * x).over(w) - F.first(x * x).over(w)
     mean = F.when(warm, ratio(sum_, n)).otherwise(F.avg(x).over(w))
     deviation = F.when(warm, F.sqrt(F.greatest(ratio(square, n) - ratio(sum_, n) * ratio(sum_, n), F.lit(0.0)))).otherwise(F.stddev_pop(x).over(w))
     ready = F.col("__row") >= 2
     bands = numbered.withColumn("__mid", F.when(ready, mean)).withColumn("__dev", F.when(ready, deviation))
     buy, sell = x >= F.col("__mid") + F.when(warm, up).otherwise(2.0) * F.col("__dev"), x <= F.col("__mid") - F.when(warm, down).otherwise(2.0) * F.col("__dev")
-    first = bands.withColumn("__buy", buy).withColumn("__sell", sell).withColumn("__s", F.when(F.col("__sell"), -1.0).when(F.col("__buy"), 1.0)).withColumn("__state", _held(F.col("__s")))
+    first = held(bands.withColumn("__buy", buy).withColumn("__sell", sell), F.when(F.col("__sell"), -1.0).when(F.col("__buy"), 1.0), "__state")
     left = ((F.col("__state") == 1) & (x <= F.col("__mid"))) | ((F.col("__state") == -1) & (x >= F.col("__mid")))
     signal = F.when(F.col("__sell"), -1.0).when(F.col("__buy"), 1.0).when(left, 0.0)
     signal = F.when(((signal == 1) & (x < 0)) | ((signal == -1) & (x > 0)), 0.0).otherwise(signal)
-    return first.withColumn("__t", signal).withColumn(out, _held(F.col("__t")))
+    return held(first, signal, out)
 
 
 def _crossings(short: Column, long: Column) -> tuple[Column, Column]:
@@ -144,20 +139,17 @@ def _averages(name: str, smoother: str) -> None:
 
     def macd(frame: DataFrame, x: Column, out: str, window: int) -> DataFrame:
         up, down = _crossings(F.col("m2"), F.col("m1"))
-        signalled = parts(frame, x, {"m2": window // 2, "m1": window}).withColumn("__c", F.when(down, -1.0).when(up, 1.0))
-        return signalled.withColumn(out, _held(F.col("__c"))).drop("xs", "m1", "m2")
+        return held(parts(frame, x, {"m2": window // 2, "m1": window}), F.when(down, -1.0).when(up, 1.0), out).drop("xs", "m1", "m2")
 
     def double(frame: DataFrame, x: Column, out: str, window: int) -> DataFrame:
         up, down = _crossings(F.col("m2"), F.col("m1"))
         strong = TRANSFORMS["rsi_func"](parts(frame, x, {"m2": window // 2, "m1": window}), x="xs", out="rs", window=window)
-        signalled = strong.withColumn("__c", F.when(down & (F.col("rs") > 30), -1.0).when(up & (F.col("rs") < 70), 1.0))
-        return signalled.withColumn(out, _held(F.col("__c"))).drop("xs", "m1", "m2", "rs")
+        return held(strong, F.when(down & (F.col("rs") > 30), -1.0).when(up & (F.col("rs") < 70), 1.0), out).drop("xs", "m1", "m2", "rs")
 
     def triple(frame: DataFrame, x: Column, out: str, window: int) -> DataFrame:
         fast, medium = _crossings(F.col("m4"), F.col("m1")), _crossings(F.col("m2"), F.col("m1"))
         signalled = parts(frame, x, {"m4": window // 4, "m2": window // 2, "m1": window})
-        signalled = signalled.withColumn("__c", F.when(fast[1] & medium[1], -1.0).when(fast[0] & medium[0], 1.0))
-        return signalled.withColumn(out, _held(F.col("__c"))).drop("xs", "m1", "m2", "m4")
+        return held(signalled, F.when(fast[1] & medium[1], -1.0).when(fast[0] & medium[0], 1.0), out).drop("xs", "m1", "m2", "m4")
 
     for kind, function in (("MACD", macd), ("Double", double), ("Triple", triple)):
         function.__name__ = f"{kind}{name}_func"
@@ -264,7 +256,7 @@ def _family(name: str, combine: Callable[[list[Column]], Column]) -> None:
         if window < bars_a_day:
             raise ValueError(f"a comparison with history needs a window of {bars_a_day} rows or more")
         back = window // bars_a_day * bars_a_day
-        frame = frame.withColumn("xs", x).withColumn("__lag", F.lag(x, back).over(ordered())).withColumn("xh", _held(F.col("__lag")))
+        frame = held(frame.withColumn("xs", x).withColumn("__lag", F.lag(x, back).over(ordered())), F.col("__lag"), "xh")
         frame = combined(frame, "xs", "fam_now", halvings(window, LEAST_WINDOW), tfunc)
         frame = combined(frame, "xh", "fam_then", halvings(24 * bars_a_day + back, back), tfunc)
         now, then = F.col("fam_now"), F.col("fam_then")
