@@ -153,7 +153,8 @@ def blocks(rows: DataFrame) -> DataFrame:
     mark = F.when(F.col("dropped"), "").when(ending == "", "b").when(F.right(ending, F.lit(1)).isin(".", "!", "?"), shown).otherwise(F.upper(shown))
     marked = rows.select("conv_id", "block", "pos", mark.alias("mark"), F.when(~F.col("dropped") & (ending != ""), _digest()).alias("digest"))
     first = marked.where("digest is not null").groupBy("digest").agg(F.min("pos").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    seen = marked.join(first, "digest", "left").withColumn("mark", F.when(F.col("pos") > F.col("first"), "d").otherwise(F.col("mark")))
+    keyed = marked.withColumn("digest", F.coalesce("digest", F.unhex(F.hex("pos"))))  # 8 bytes, which no digest has: rows without one don't meet in a task
+    seen = keyed.join(first, "digest", "left").withColumn("mark", F.when(F.col("pos") > F.col("first"), "d").otherwise(F.col("mark")))
     listed = F.array_sort(F.collect_list(F.struct("pos", "mark")))  # a block's rows at most
     return seen.groupBy("conv_id", "block").agg(F.array_join(F.transform(listed, lambda r: r["mark"]), "").alias("symbols"))
 
