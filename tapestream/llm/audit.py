@@ -11,10 +11,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import permutations
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 from .runtime import dropped, shuffle_files_freed, written
-from .text import CONTINUATION, as_bytes, slices
+from .text import CONTINUATION, as_bytes, mixed, slices
 
 FILTERS = "ABCDE"
 CAPITALS, SYMBOLS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"#$%&*|"
@@ -34,15 +34,16 @@ SHARD_BYTES = 8_000_000
 ATTRIBUTES = {"parts": StringType(), "fails_c": BooleanType(), "fails_d": BooleanType(), "h1": LongType(), "h2": LongType()}
 
 
-def _csr(words: list[list[bytes]]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words in order of appearance, and row starts, word numbers and counts of the rows."""
-    numbers: dict[bytes, int] = {}
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    codes = np.fromiter((numbers.setdefault(w, len(numbers)) for row in words for w in row), np.int64, int(lengths.sum()))
-    width = max(len(numbers), 1)
-    cells, counts = np.unique(np.repeat(np.arange(len(words)), lengths) * width + codes, return_counts=True)
-    starts = np.searchsorted(cells, np.arange(len(words) + 1) * width)
-    return list(numbers), starts.astype(np.int32), (cells % width).astype(np.int32), counts.astype(np.int32)
+def _csr(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words, and row starts, word numbers and counts of the rows; words are split at exactly 0x20 and 0x09-0x0D."""
+    listed = pc.ascii_split_whitespace(texts.fill_null(b"").view(pa.string()))
+    rows, words = pc.list_parent_indices(listed), pc.list_flatten(listed)
+    there = pc.greater(pc.binary_length(words), 0)  # blanks at the ends of a text leave empty words
+    coded = words.filter(there).view(pa.binary()).dictionary_encode()
+    width = max(len(coded.dictionary), 1)
+    cells, counts = np.unique(rows.filter(there).to_numpy().astype(np.int64) * width + coded.indices.to_numpy(), return_counts=True)
+    starts = np.searchsorted(cells, np.arange(len(texts) + 1) * width)
+    return coded.dictionary, starts, cells % width, counts
 
 
 def _lists(values: pa.Array, starts=(0,)) -> pa.ListArray:
@@ -62,17 +63,32 @@ def _unpacked(blob: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(blob), np.int32)
 
 
+def _dealt(words: pa.Array, parts: int) -> pa.Array:
+    """Distinct words by their part of the dictionary: p, words (sorted, joined by a blank) and their numbers."""
+    ends = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, 4 * words.offset)
+    data = np.frombuffer(words.buffers()[2], np.uint8)[ends[0] : ends[-1]] if len(words) else np.empty(0, np.uint8)
+    ends = ends - ends[0]
+    place = np.arange(len(data)) - np.repeat(ends[:-1], np.diff(ends))
+    powers = np.cumprod(np.full(int(place.max(initial=0)) + 1, 0x9E3779B97F4A7C15, np.uint64))
+    hashes = mixed(np.add.reduceat(data * powers[place], ends[:-1])) if len(words) else np.empty(0, np.uint64)
+    order = pc.array_sort_indices(words).to_numpy().astype(np.int64)
+    part = (hashes % np.uint64(parts)).astype(np.int32)[order]
+    within = np.argsort(part, kind="stable")
+    order, part = order[within], part[within]
+    starts = np.flatnonzero(np.diff(part, prepend=-1)).astype(np.int32)
+    bounds = [*starts.tolist(), len(order)]
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), words.take(pa.array(order))), b" ")
+    local = pa.array([_packed(order[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)], pa.binary())
+    return pa.StructArray.from_arrays([pa.array(part[starts], pa.int32()), joined, local], ["p", "words", "local"])
+
+
 def _shards(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     first = TaskContext.get().partitionId() << 32
     for k, batch in enumerate(slices(batches, most_bytes=SHARD_BYTES)):
         texts = [t or b"" for t in batch.column("text").to_pylist()]
-        words, *cells = _csr([t.split() for t in texts])
+        words, *cells = _csr(batch.column("text"))
         capitals = [100 * (len(t) - len(t.translate(None, CAPITALS))) > 3 * len(t.translate(None, CONTINUATION)) for t in texts]
         hashes = [divmod(xxhash.xxh3_128_intdigest(t), 2**64) for t in texts]
-        dealt: dict[int, list[tuple[bytes, int]]] = {}
-        for i, word in enumerate(words):
-            dealt.setdefault(crc32(word) % parts, []).append((word, i))
-        own = [{"p": p, "words": b" ".join(w for w, _ in sorted(held)), "local": _packed(np.array([i for _, i in sorted(held)]))} for p, held in sorted(dealt.items())]
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([first + k], pa.int64()),
@@ -81,7 +97,7 @@ def _shards(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Record
                 _lists(pa.array(capitals, pa.bool_())),
                 _lists(pa.array([len(t.translate(None, SYMBOLS)) < len(t) for t in texts], pa.bool_())),
                 *(_lists(pa.array([_signed(h[i]) for h in hashes], pa.int64())) for i in (0, 1)),
-                _lists(pa.array(own, pa.struct([("p", pa.int32()), ("words", pa.binary()), ("local", pa.binary())]))),
+                _lists(_dealt(words, parts)),
                 *(pa.array([_packed(a)], pa.binary()) for a in cells),
             ],
             ["shard", "doc_ids", *ATTRIBUTES, "own", "starts", "terms", "counts"],
@@ -128,7 +144,7 @@ def _renumbered(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Re
             for p, own, number in of:
                 table[own] = number.astype(np.int64) * parts + p
             terms = table[local]
-            order = np.lexsort((terms, np.repeat(np.arange(len(starts) - 1), np.diff(starts))))
+            order = np.argsort(np.repeat(np.arange(len(starts) - 1), np.diff(starts)) * (terms.max(initial=0) + 1) + terms)
             kept = [batch.slice(i, 1).column(n) for n in ("shard", "doc_ids", *ATTRIBUTES)]
             yield pa.RecordBatch.from_arrays([*kept, *(_lists(pa.array(a)) for a in (starts, terms[order], counts[order]))], ["shard", "doc_ids", *ATTRIBUTES, "starts", "terms", "counts"])
 
