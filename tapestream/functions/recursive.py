@@ -2,8 +2,7 @@
 
 A series is cut into chunks of values that overlap by as many as the state remembers (its older share
 is below double precision), so a long series is spread over many tasks. Rows keep all their columns on
-the way, so nothing is joined back. Spectra come from frames that are collected per row and transformed
-in Arrow batches.
+the way, so nothing is joined back. Recursions run in blocks of closed form, spectra as running sums by frequency.
 """
 
 from __future__ import annotations
@@ -12,15 +11,15 @@ import math
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .frames import day, ordered, trailing
-from .order import framed
-from .rolling import TRANSFORMS, Window_, _rank, _values, transform
+from .frames import day, ordered
+from .order import Frames, framed, ratio_of
+from .rolling import TRANSFORMS, Window_, _rank, transform
+from .states import STATES
 
 CHUNK = 100_000
 #: What is left of a state after its memory: below this share nothing of a double changes.
@@ -62,66 +61,56 @@ def chunked(frame: DataFrame, x: Column, out: str, function: Callable[[np.ndarra
     return _with_states(dealt, frame, out, ("series", "__chunk"), function)
 
 
-def ewm(values: np.ndarray, alpha: float) -> np.ndarray:
-    """Exponentially weighted mean with weights that sum to 1; gaps decay, nothing before the first value."""
-    total = weight = 0.0
-    held = np.nan
-    out = np.empty(len(values))
-    for i, v in enumerate(values.tolist()):
-        total, weight = total * (1 - alpha), weight * (1 - alpha)
-        if v == v:
-            total, weight = total + v, weight + 1.0
-            held = total / weight
-        out[i] = held
-    return out
-
-
 @transform
 def ewma(frame: DataFrame, x: Column, out: str, span: float) -> DataFrame:
-    alpha = 2 / (span + 1)
-    return chunked(frame, x, out, lambda v: ewm(v, alpha), memory(alpha))
+    return chunked(frame, x, out, lambda v: STATES["ewma"](span=span).run(v), memory(2 / (span + 1)))
 
 
 @transform
 def intraEwma(frame: DataFrame, x: Column, out: str, span: float) -> DataFrame:
     """``ewma`` that begins anew each day."""
-    alpha = 2 / (span + 1)
     daily = frame.withColumn("__x", x.cast("double")).withColumn("__n", F.lit(0)).withColumn("__own", F.lit(True)).withColumn("__day", day())
-    return _with_states(daily, frame, out, ("series", "__day"), lambda v: ewm(v, alpha))
+    return _with_states(daily, frame, out, ("series", "__day"), lambda v: STATES["ewma"](span=span).run(v))
 
 
 # Spectra.
 
 
-def _spectral(frame: DataFrame, x: Column, out: str, window: Window_, value: Callable[[np.ndarray, np.ndarray], np.ndarray], least: int, interval: float) -> DataFrame:
-    """``value`` of the transforms of frames (a row each) and their frequencies; null where a frame has a null cell or fewer than ``least`` rows."""
+def _spectral(f: Frames, cutoff: float, interval: float, least: int, of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """Sum over frequencies up to the cutoff of ``of`` the squared magnitudes; NaN where a window has a null cell or fewer than ``least`` rows.
+
+    The transforms of all windows of one length come from running sums of the values turned by each frequency that
+    counts, so a row costs these and not its window; where few windows have a length, each is transformed by itself.
+    """
+    out = np.full(len(f.x), np.nan)
+    whole = (f.count == f.size) & (f.size >= max(least, 1))
+    for n in np.unique(f.size[whole]).tolist():
+        at = np.flatnonzero(whole & (f.size == n))
+        k = np.flatnonzero(np.fft.rfftfreq(n, interval) <= cutoff)
+        twice = np.where((k == 0) | (2 * k == n), 1.0, 2.0)  # a frequency and its conjugate
+        if len(at) * n <= len(f.values):
+            held = np.abs(np.fft.rfft(f.values[f.lo[at, None] + np.arange(n)], axis=1)[:, k]) ** 2
+            out[at] = (of(held) * twice).sum(axis=1)
+        else:
+            total = np.zeros(len(at))
+            for one, weight in zip(k.tolist(), twice.tolist(), strict=True):
+                turned = np.concatenate([[0], np.cumsum(f.values * np.exp(-2j * np.pi * one / n * (np.arange(len(f.values)) % n)))])
+                total += weight * of(np.abs(turned[f.hi[at]] - turned[f.lo[at]]) ** 2)
+            out[at] = total
+    return out
 
-    @F.pandas_udf("double")
-    def of(frames: pd.Series) -> pd.Series:
-        found = np.full(len(frames), np.nan)
-        sizes = frames.map(len).to_numpy()
-        for n in np.unique(sizes[sizes >= max(least, 1)]).tolist():
-            at = np.flatnonzero(sizes == n)
-            a = np.array([[np.nan if v is None else v for v in frames.iloc[i]] for i in at], np.float64)
-            whole = ~np.isnan(a).any(axis=1)
-            if whole.any():
-                found[at[whole]] = value(np.fft.fft(a[whole], axis=1), np.fft.fftfreq(n, d=interval))
-        return pd.Series(found)
 
-    framed = frame.withColumn("__a", F.transform(_values(x, trailing(window)), lambda e: e["x"]))
-    return framed.withColumn(out, F.nullif(of("__a"), F.lit(float("nan"))))
+def _energy(f: Frames) -> np.ndarray:
+    """Sum of all squared magnitudes of a window's transform, by Parseval's theorem; exactly 0 for zeros."""
+    squares = np.concatenate([[0], np.cumsum(f.values**2)])
+    some = np.concatenate([[0], np.cumsum(f.values != 0)])
+    return np.where(some[f.hi] > some[f.lo], f.size * (squares[f.hi] - squares[f.lo]), 0.0)
 
 
 @transform
 def lowFreqEnergyRatio(frame: DataFrame, x: Column, out: str, window: Window_, cutoff_freq: float, sampling_interval: float = 1) -> DataFrame:
     """Share of the window's energy at frequencies up to the cutoff."""
-
-    def value(f: np.ndarray, at: np.ndarray) -> np.ndarray:
-        energy = np.abs(f) ** 2
-        low, all_ = energy[:, np.abs(at) <= cutoff_freq].sum(axis=1), energy.sum(axis=1)
-        return np.divide(low, all_, out=np.full(len(f), np.nan), where=all_ > 0)
-
-    return _spectral(frame, x, out, window, value, 1, sampling_interval)
+    return framed(frame, out, window, {"x": x}, lambda f: ratio_of(_spectral(f["x"], cutoff_freq, sampling_interval, 1, lambda e: e), _energy(f["x"])))
 
 
 @transform
@@ -133,11 +122,17 @@ def phaseTimesMagnitude(frame: DataFrame, x: Column, out: str, window: Window_,
     give rounding errors, and a whole turn where an imaginary part is rounded to 0.
     """
 
-    def value(f: np.ndarray, at: np.ndarray) -> np.ndarray:
-        real = f.real[:, (np.abs(at) <= cutoff_freq) & ((at == 0) | (np.arange(len(at)) * 2 == len(at)))]
-        return -np.pi * np.minimum(real, 0).sum(axis=1)
+    def value(frames: dict[str, Frames]) -> np.ndarray:
+        f = frames["x"]
+        whole = (f.count == f.size) & (f.size >= 2)
+        sign = np.where(np.arange(len(f.values)) % 2 == 0, 1.0, -1.0)
+        plain, turned = (np.concatenate([[0], np.cumsum(v)]) for v in (f.values, f.values * sign))
+        total = np.minimum(plain[f.hi] - plain[f.lo], 0) if cutoff_freq >= 0 else np.zeros(len(f.x))
+        half = (turned[f.hi] - turned[f.lo]) * np.where(f.lo % 2 == 0, 1.0, -1.0)
+        total = total + np.where((f.size % 2 == 0) & (0.5 / sampling_interval <= cutoff_freq), np.minimum(half, 0), 0.0)
+        return np.where(whole, -np.pi * total, np.nan)
 
-    return _spectral(frame, x, out, window, value, 2, sampling_interval)
+    return framed(frame, out, window, {"x": x}, value)
 
 
 def freq_to_minutes(cutoff_freq: float) -> str:
@@ -166,145 +161,59 @@ def lowFreqEnergyRatio_x_slpsign(frame: DataFrame, x: Column, out: str, window:
 @transform
 def lowFreqWithPosTrend(frame: DataFrame, x: Column, out: str, fft_window: Window_, pos_window: Window_, freq_cutoff: float, sampling_interval: float = 1) -> DataFrame:
     """Summed low-frequency magnitude, negative unless x is above more than half of its position window."""
-    spectrum = _spectral(frame, x, "__amp", fft_window, lambda f, at: np.abs(f)[:, np.abs(at) <= freq_cutoff].sum(axis=1), 2, sampling_interval)
+    spectrum = framed(frame, "__amp", fft_window, {"x": x}, lambda f: _spectral(f["x"], freq_cutoff, sampling_interval, 2, np.sqrt))
     ranked = framed(spectrum, "__p", pos_window, {"x": x}, lambda f: _rank(f["x"], f["x"].x))
     return ranked.withColumn(out, F.col("__amp") * F.when(F.col("__p") > 0.5, 1.0).when(F.col("__p").isNotNull(), -1.0))
 
 
-# Smoothers of technical analysis, by their public definitions. Rows without a value are skipped.
-
-
-def _present(function: Callable[[np.ndarray], np.ndarray]) -> Callable[[np.ndarray], np.ndarray]:
-    def run(values: np.ndarray) -> np.ndarray:
-        at = np.flatnonzero(~np.isnan(values))
-        out = np.full(len(values), np.nan)
-        out[at] = function(values[at])
-        return out
-
-    return run
-
-
-def smoothed(v: np.ndarray, n: int, alpha: float) -> np.ndarray:
-    """Exponential smoothing that starts with the mean of the first ``n`` values; NaN before."""
-    out = np.full(len(v), np.nan)
-    first = int(np.isnan(v).sum())  # leading NaN of a smoother below
-    if len(v) - first >= n:
-        held = out[first + n - 1] = v[first : first + n].mean()
-        for i in range(first + n, len(v)):
-            held = out[i] = held + alpha * (v[i] - held)
-    return out
+# Smoothers of technical analysis, by their public definitions (``states``). Rows without a value are skipped.
 
 
-def ema_of(v: np.ndarray, n: int) -> np.ndarray:
-    return smoothed(v, n, 2 / (n + 1))
-
-
-def ema_warm(v: np.ndarray, n: int) -> np.ndarray:
-    """``ema_of`` whose first n - 1 values use the rows there are: row i the smoothing of length i."""
-    out = ema_of(v, n)
-    out[: min(n, len(v))] = [v[0] if i == 0 else ema_of(v[: i + 1], i)[-1] for i in range(min(n, len(v)))]
-    return out
+def _smoother(name: str, remembers: Callable[[int], int]) -> None:
+    def added(frame: DataFrame, x: Column, out: str, window: int) -> DataFrame:
+        return chunked(frame, x, out, lambda v: STATES[name](window=window).run(v), remembers(window))
 
+    added.__name__ = name
+    transform(added)
 
-def dema_of(v: np.ndarray, n: int) -> np.ndarray:
-    once = ema_of(v, n)
-    return 2 * once - ema_of(once, n)
 
+for _name, _remembers in {
+    "ema_func": lambda n: 2 * n + memory(2 / (n + 1)),
+    "dema_func": lambda n: 3 * n + 2 * memory(2 / (n + 1)),
+    "t3_func": lambda n: 7 * n + 6 * memory(2 / (n + 1)),
+    "kama_func": lambda n: n + memory((2 / 31) ** 2),
+    "rsi_func": lambda n: 2 * n + memory(1 / n),
+    "cmo_func": lambda n: 2 * n + memory(1 / n),
+    "macd_func": lambda n: 3 * n + 9 + 2 * memory(2 / (n + 1)) + memory(0.2),
+    "htTrendline_func": lambda _: 2000,
+}.items():
+    _smoother(_name, _remembers)
 
-def t3_of(v: np.ndarray, n: int, k: float = 0.7) -> np.ndarray:
-    """Six smoothings combined by a cubic of the volume factor."""
-    e = [v]
-    for _ in range(6):
-        e.append(ema_of(e[-1], n))
-    return -(k**3) * e[6] + (3 * k**2 + 3 * k**3) * e[5] + (-6 * k**2 - 3 * k - 3 * k**3) * e[4] + (1 + 3 * k + k**3 + 3 * k**2) * e[3]
 
+# Sums over all values so far, by weights.
 
-def kama_of(v: np.ndarray, n: int) -> np.ndarray:
-    """Smoothing whose rate follows the efficiency of the last ``n`` steps, between spans of 2 and 30."""
-    out = np.full(len(v), np.nan)
-    if len(v) > n:
-        path = np.lib.stride_tricks.sliding_window_view(np.abs(np.diff(v)), n).sum(axis=1)
-        efficiency = np.minimum(np.divide(np.abs(v[n:] - v[:-n]), path, out=np.ones(len(path)), where=path > 0), 1.0)
-        rates = (efficiency * (2 / 3 - 2 / 31) + 2 / 31) ** 2
-        held = v[n - 1]
-        for i, rate in enumerate(rates.tolist(), n):
-            held = out[i] = held + rate * (v[i] - held)
-    return out
 
+def convolved(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Sum of weights[j] * values[i - j] over the values there are: directly for few weights, else by overlapping blocks of transforms."""
+    n, m = len(values), len(weights)
+    if not n or not m:
+        return np.zeros(n)
+    if m <= 64:
+        return np.convolve(values, weights)[:n]
+    size = 1 << (4 * m - 1).bit_length()
+    step, turned = size - m + 1, np.fft.rfft(weights, size)
+    padded = np.concatenate([np.zeros(m - 1), values])
+    blocks = [np.fft.irfft(np.fft.rfft(padded[a : a + size], size) * turned, size)[m - 1 : m - 1 + min(step, n - a)] for a in range(0, n, step)]
+    return np.concatenate(blocks)
 
-def _wilder(v: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    step = np.diff(v)
-    up, down = np.full(len(v), np.nan), np.full(len(v), np.nan)
-    up[1:], down[1:] = smoothed(np.maximum(step, 0), n, 1 / n), smoothed(np.maximum(-step, 0), n, 1 / n)
-    return up, down
-
-
-def wilder_rsi(v: np.ndarray, n: int) -> np.ndarray:
-    up, down = _wilder(v, n)
-    return np.divide(100 * up, up + down, out=np.where(np.isnan(up), np.nan, 0.0), where=up + down > 0)
-
-
-def cmo_of(v: np.ndarray, n: int) -> np.ndarray:
-    up, down = _wilder(v, n)
-    return np.divide(100 * (up - down), up + down, out=np.where(np.isnan(up), np.nan, 0.0), where=up + down > 0)
-
-
-def macd_signal(v: np.ndarray, fast: int, slow: int, signal: int = 9) -> np.ndarray:
-    """Smoothing of the difference of two smoothings that both begin at the slow one's first value."""
-    short, long = np.full(len(v), np.nan), ema_of(v, slow)
-    if len(v) >= slow:
-        short[slow - fast :] = ema_of(v[slow - fast :], fast)
-    difference = np.where(np.isnan(long), np.nan, short - long)
-    return ema_of(difference, signal)
-
-
-def ht_trendline(v: np.ndarray) -> np.ndarray:
-    """Instantaneous trendline: means over the dominant cycle that a Hilbert transform finds; NaN for 63 rows."""
-    n = len(v)
-    smooth, detrend, q1, i1 = (np.zeros(n) for _ in range(4))
-    i2 = q2 = re = im = period = 0.0
-    trends, out = np.zeros(n), np.full(n, np.nan)
-
-    def hilbert(a: np.ndarray, i: int, rate: float) -> float:
-        return (0.0962 * a[i] + 0.5769 * a[i - 2] - 0.5769 * a[i - 4] - 0.0962 * a[i - 6]) * rate
-
-    for i in range(n):
-        smooth[i] = (4 * v[i] + 3 * v[i - 1] + 2 * v[i - 2] + v[i - 3]) / 10 if i >= 3 else v[i]
-        if i < 9:
-            continue
-        rate = 0.075 * period + 0.54
-        detrend[i] = hilbert(smooth, i, rate)
-        q1[i], i1[i] = hilbert(detrend, i, rate), detrend[i - 3]
-        i2_, q2_ = i1[i] - hilbert(q1, i, rate), q1[i] + hilbert(i1, i, rate)
-        i2_, q2_ = 0.2 * i2_ + 0.8 * i2, 0.2 * q2_ + 0.8 * q2
-        re, im = 0.2 * (i2_ * i2 + q2_ * q2) + 0.8 * re, 0.2 * (i2_ * q2 - q2_ * i2) + 0.8 * im
-        i2, q2 = i2_, q2_
-        new = 2 * math.pi / math.atan(im / re) if im and re else period
-        new = min(max(new, 0.67 * period), 1.5 * period) if period else new
-        period = 0.2 * min(max(new, 6.0), 50.0) + 0.8 * period
-        cycle = max(1, int(period + 0.5))
-        trends[i] = v[max(0, i - cycle + 1) : i + 1].mean()
-        if i >= 63:
-            out[i] = (4 * trends[i] + 3 * trends[i - 1] + 2 * trends[i - 2] + trends[i - 3]) / 10
-    return out
 
+def weighted_so_far(frame: DataFrame, x: Column, out: str, weights: list[float], gap: int) -> DataFrame:
+    """Adds the weighted sum of the latest values, the present one first; null for a null and for the first ``gap`` values."""
+    held = np.array(weights)
 
-def _smoother(name: str, function: Callable[[np.ndarray, int], np.ndarray], remembers: Callable[[int], int]) -> None:
-    def added(frame: DataFrame, x: Column, out: str, window: int) -> DataFrame:
-        return chunked(frame, x, out, _present(lambda v: function(v, window)), remembers(window))
-
-    added.__name__ = name
-    transform(added)
-
+    def run(values: np.ndarray) -> np.ndarray:
+        out, at = np.full(len(values), np.nan), np.flatnonzero(~np.isnan(values))
+        out[at[gap:]] = convolved(values[at], held)[gap:]
+        return out
 
-for _name, _function, _remembers in (
-    ("ema_func", ema_warm, lambda n: 2 * n + memory(2 / (n + 1))),
-    ("dema_func", dema_of, lambda n: 3 * n + 2 * memory(2 / (n + 1))),
-    ("t3_func", t3_of, lambda n: 7 * n + 6 * memory(2 / (n + 1))),
-    ("kama_func", kama_of, lambda n: n + memory((2 / 31) ** 2)),
-    ("rsi_func", wilder_rsi, lambda n: 2 * n + memory(1 / n)),
-    ("cmo_func", cmo_of, lambda n: 2 * n + memory(1 / n)),
-    ("macd_func", lambda v, n: macd_signal(v, n // 2, n), lambda n: 3 * n + 9 + 2 * memory(2 / (n + 1)) + memory(0.2)),
-    ("htTrendline_func", lambda v, _: ht_trendline(v), lambda _: 2000),
-):
-    _smoother(_name, _function, _remembers)
+    return chunked(frame, x, out, run, max(len(weights), gap, 1))

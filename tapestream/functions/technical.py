@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from . import recursive  # noqa: F401  registers the smoothers
+from . import recursive
 from .frames import at_least, ordered, ratio, rows
 from .rolling import TRANSFORMS, transform, unbiased_kurtosis, unbiased_skew
 from .scan import held, row_number
@@ -182,14 +182,7 @@ def fracdiff(frame: DataFrame, x: Column, out: str, d: float, thres: float = 1e-
     ``shift`` drops the weights of the latest rows: value k then gets the weight of k + shift.
     """
     weights = ffd_weights(d, thres, lim)[shift:]
-    # the frame ends at the current row, whose weight comes first; rows with a value are a partition of their own, so nulls count no row
-    present = F.col("__present")
-    marked = frame.withColumn("__present", x.isNotNull())
-    held = F.reverse(F.collect_list(x.cast("double")).over(rows(len(weights), present))) if weights else F.array().cast("array<double>")
-    w = F.array(*(F.lit(v) for v in weights)) if weights else F.array().cast("array<double>")
-    dot = F.aggregate(F.zip_with(F.col("__v"), F.slice(w, 1, F.size("__v")), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    framed = marked.withColumn("__v", held).withColumn("__n", F.row_number().over(ordered(present)) - 1)
-    return framed.withColumn(out, F.when(present & (F.col("__n") >= gap), dot)).drop("__present", "__v", "__n")
+    return recursive.weighted_so_far(frame, x, out, weights, gap)
 
 
 def _fracdiff_window(name: str, terms: Callable[[Column, Column, Column, int], Column], shifts: tuple[int, ...]) -> None:

@@ -127,3 +127,44 @@ def test_one_long_series_in_many_tasks(spark):
     assert placed.agg(F.max("row"), F.max("value#n"), F.count_distinct("row")).first() == (500_000, 500_000, 500_000)
     sizes = placed.groupBy(F.spark_partition_id()).count().collect()
     assert len(sizes) > 1 and max(r["count"] for r in sizes) < 400_000
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.floats(-100, 100), max_size=700), st.integers(1, 300))
+def test_convolutions(values, m):
+    weights = np.linspace(1, -0.5, m)
+    expected = [sum(weights[j] * values[i - j] for j in range(min(m, i + 1))) for i in range(len(values))]
+    assert np.allclose(recursive.convolved(np.array(values, float), weights), expected, atol=1e-8)
+
+
+def test_fracdiff_of_long_windows(spark, monkeypatch):
+    """Thousands of weights, in chunks, with gaps."""
+    from tapestream.functions import technical
+
+    rng = np.random.default_rng(5)
+    values = [None if rng.random() < 0.1 else float(v) for v in 50 + np.cumsum(rng.normal(size=3000))]
+    weights = np.array(technical.ffd_weights(0.3, 1e-5, 1500))
+    held = np.array([v for v in values if v is not None])
+    expected = iter([None] * 10 + [float(weights[: i + 1] @ held[max(0, i + 1 - len(weights)) : i + 1][::-1]) for i in range(10, len(held))])
+    monkeypatch.setattr(recursive.chunked, "__defaults__", (100,))
+    close(run(frame(spark, values), "fracdiff", d=0.3, lim=1500), [None if v is None else next(expected) for v in values])
+
+
+@pytest.mark.parametrize("window", [16, "20min"])
+def test_spectra_like_transforms_of_each_window(spark, monkeypatch, window):
+    rng = np.random.default_rng(6)
+    values = [*rng.normal(size=150), None, *rng.normal(size=70), *[0.0] * 40, *rng.normal(size=60)]
+    df, n = frame(spark, values), 16 if window == 16 else 20
+    monkeypatch.setattr(order, "CHUNK", 90)
+    found = {name: run(df, name, window=window, cutoff_freq=cut) for name, cut in (("lowFreqEnergyRatio", 0.15), ("phaseTimesMagnitude", 0.5))}
+    for i in range(len(values)):
+        held = values[max(0, i + 1 - n) : i + 1]
+        ratio_, phase = found["lowFreqEnergyRatio"][i], found["phaseTimesMagnitude"][i]
+        if None in held:
+            assert ratio_ is None and phase is None
+            continue
+        f, at = np.fft.fft(held), np.fft.fftfreq(len(held))
+        energy = (np.abs(f) ** 2).sum()
+        assert ratio_ is None if energy == 0 else ratio_ == pytest.approx((np.abs(f[np.abs(at) <= 0.15]) ** 2).sum() / energy, abs=1e-9)
+        real = [f[0].real] + ([f[len(held) // 2].real] if len(held) % 2 == 0 else [])
+        assert phase is None if len(held) < 2 else phase == pytest.approx(-np.pi * sum(min(r, 0) for r in real), abs=1e-8)

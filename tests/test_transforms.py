@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tapestream.functions import recursive, technical
 from tapestream.functions.frames import bars, calendar_micros, trading_seconds
 from tapestream.functions.rolling import TRANSFORMS
+from tapestream.functions.states import STATES
 
 START = dt.datetime(2024, 1, 1)
 SCHEMA = "series string, ts timestamp_ntz, value double"
@@ -91,7 +92,7 @@ def test_chunks_change_nothing(spark, monkeypatch):
     whole = run(frame(spark, NOISY * 20), "ewma", span=2)
     monkeypatch.setattr(recursive, "CHUNK", 50)
     df = frame(spark, NOISY * 20)
-    parts = [r.out for r in recursive.chunked(df.withColumn("us", F.expr("unix_micros(cast(ts as timestamp))")), df["value"], "out", lambda v: recursive.ewm(v, 2 / 3), recursive.memory(2 / 3), 50).orderBy("ts").collect()]
+    parts = [r.out for r in recursive.chunked(df.withColumn("us", F.expr("unix_micros(cast(ts as timestamp))")), df["value"], "out", lambda v: STATES["ewma"](span=2).run(v), recursive.memory(2 / 3), 50).orderBy("ts").collect()]
     close(parts, whole)
 
 
