@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
 
 def zero_to_null(x: Column) -> Column:
     return F.nullif(x.cast("double"), F.lit(0.0))
@@ -77,10 +79,10 @@ def long(table: DataFrame, key: str = "ts", names: str = "series") -> DataFrame:
 
 
 def described(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Count, mean, deviation and quartiles of the absolute differences of two factors."""
-    d = F.abs(F.col("left") - F.col("right"))
-    q = F.percentile(d, F.array(*(F.lit(p) for p in (0.25, 0.5, 0.75))))
-    return union_of_series(a, b).agg(F.count(d).alias("n"), F.avg(d).alias("mean"), F.stddev_samp(d).alias("std"), F.min(d).alias("least"), F.max(d).alias("most"), q.alias("q")).selectExpr("n", "mean", "std", "least", "q[0] as q25", "q[1] as q50", "q[2] as q75", "most")
+    """Count, mean, deviation and quartiles of the absolute differences of two factors; the quartiles are exact, and searched for at once."""
+    both = union_of_series(a, b).select(F.abs(F.col("left") - F.col("right")).alias("d"))
+    q = [F.lit(v).cast("double").alias(f"q{p}") for v, p in zip(quantiles(both, "d", [0.25, 0.5, 0.75]), (25, 50, 75), strict=True)]
+    return both.agg(F.count("d").alias("n"), F.avg("d").alias("mean"), F.stddev_samp("d").alias("std"), F.min("d").alias("least"), F.max("d").alias("most")).select("n", "mean", "std", "least", *q, "most")
 
 
 def priced(factor: DataFrame, prices: DataFrame, names: dict[str, str]) -> DataFrame:

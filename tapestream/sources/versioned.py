@@ -136,8 +136,9 @@ class FactorTable:
         if not parts:
             raise LookupError(f"{self.path} has no rows there")
         rows = self._read(parts)
-        rows = rows if since is None else rows.where(F.col("ts") >= F.lit(since).cast("timestamp_ntz"))
-        return rows if until is None else rows.where(F.col("ts") < F.lit(until).cast("timestamp_ntz"))
+        kind = rows.schema["ts"].dataType
+        rows = rows if since is None else rows.where(F.col("ts") >= F.lit(since).cast(kind))
+        return rows if until is None else rows.where(F.col("ts") < F.lit(until).cast(kind))
 
     def _bound(self, time, otherwise: int) -> int:
         if time is None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.frames import between_0_and_1, calendar_micros, clock, ratio, timed
+from ..functions.imbalance import IMBALANCE
 from ..operators.align import mismatches, upsert
+from ..sources.versioned import FactorTable
 
 
 def _trailing(frame: DataFrame, window: str, same_clock: bool) -> DataFrame:
@@ -74,24 +77,54 @@ def minute_bars(events: DataFrame, delay: str = "10 minutes", step: str = "1 min
 def write_trailing(bars: DataFrame, history: str, target: str, transform: Callable[[DataFrame], DataFrame], window: str, checkpoint: str) -> StreamingQuery:
     """Keeps a factor table up to date: each batch of bars joins the history, and the last ``window`` is computed anew.
 
-    Row windows don't run on streams, so they run per batch over what the new rows can change. Each
-    batch writes a version of its own below ``target``; a repeated batch writes the same one.
+    Row windows don't run on streams, so they run per batch over what the new rows can change. History and target
+    are versioned tables (``sources.versioned``): of the history only the folders of the window are opened, both stay
+    at few folders, and a repeated batch changes neither. Transforms with a state need no history (``stateful``).
     """
 
     def batch(rows: DataFrame, number: int) -> None:
         spark: SparkSession = rows.sparkSession
-        rows.write.mode("overwrite").parquet(f"{history}/batch={number}")
         first = rows.agg(F.min("ts")).first()[0]
         if first is None:
             return
-        known = spark.read.parquet(history).where((F.col("batch") <= number) & (F.col("ts") >= F.lit(first) - F.make_dt_interval(secs=F.lit(calendar_micros(window) / 1e6)))).drop("batch")
-        transform(known).where(F.col("ts") >= F.lit(first)).write.mode("overwrite").parquet(f"{target}/version={number}")
+        held = FactorTable(spark, history)
+        held.commit(rows.withColumnRenamed("symbol", "series"), number)
+        known = held.read(since=first - dt.timedelta(microseconds=calendar_micros(window))).withColumnRenamed("series", "symbol")
+        FactorTable(spark, target).commit(transform(known).where(F.col("ts") >= F.lit(first)), number)
 
     return bars.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(batch).start()
 
 
 def latest_version(spark: SparkSession, target: str) -> DataFrame:
-    """Rows of all versions, the newest of each (series, ts)."""
-    from ..operators.align import latest_per_key
+    """Rows of a table that ``write_trailing`` keeps."""
+    return FactorTable(spark, target).read()
 
-    return latest_per_key(spark.read.parquet(target), ["series", "ts"], "version").drop("version")
+
+def both_sides(bids: DataFrame, asks: DataFrame, delay: str = "10 minutes", apart: str = "1 minute") -> DataFrame:
+    """Bid and ask of two streams of (ts, symbol, value), joined by time and symbol: ts, symbol, bid, ask.
+
+    A side that hasn't come ``apart`` after the watermark of the slower stream (its latest time less ``delay``) is null, as in
+    the batch pair. What comes later than ``delay`` is left out, and so is its partner's chance to meet it.
+    """
+    left = bids.select(F.col("ts").alias("b_ts"), F.col("symbol").alias("b_symbol"), F.col("value").alias("bid")).withWatermark("b_ts", delay)
+    right = asks.select(F.col("ts").alias("a_ts"), F.col("symbol").alias("a_symbol"), F.col("value").alias("ask")).withWatermark("a_ts", delay)
+    near = F.expr(f"b_symbol = a_symbol and b_ts = a_ts and a_ts between b_ts - interval {apart} and b_ts + interval {apart}")
+    joined = left.join(right, near, "full_outer")
+    return joined.select(F.coalesce("b_ts", "a_ts").alias("ts"), F.coalesce("b_symbol", "a_symbol").alias("symbol"), "bid", "ask")
+
+
+def weighted_pairs(weights: Callable[[], DataFrame], imb: str = "imb01") -> Callable[[DataFrame], DataFrame]:
+    """A transform for ``write_trailing``: weighted imbalance per index of (ts, symbol, bid, ask).
+
+    ``weights`` gives the static side (index_code, symbol, trade_date, weight) and is asked for each batch, so a new day's weights
+    count from its first batch on. A pair that becomes complete later, or never, comes with a later batch; its time is made anew
+    out of the history of pairs.
+    """
+
+    def transform(pairs: DataFrame) -> DataFrame:
+        joined = pairs.withColumn("trade_date", F.to_date("ts")).join(weights(), ["symbol", "trade_date"])
+        value = IMBALANCE[imb](F.col("bid"), F.col("ask"))
+        there = F.when(value.isNotNull(), F.col("weight"))
+        return joined.groupBy(F.col("index_code").alias("series"), "ts").agg(ratio(F.sum(value * F.col("weight")), F.sum(there)).alias("value"))
+
+    return transform
