@@ -177,7 +177,8 @@ def _smoother(name: str, remembers: Callable[[int], int]) -> None:
     transform(added)
 
 
-for _name, _remembers in {
+#: Values that a smoother looks back over, by its window.
+REMEMBERS: dict[str, Callable[[int], int]] = {
     "ema_func": lambda n: 2 * n + memory(2 / (n + 1)),
     "dema_func": lambda n: 3 * n + 2 * memory(2 / (n + 1)),
     "t3_func": lambda n: 7 * n + 6 * memory(2 / (n + 1)),
@@ -186,7 +187,8 @@ for _name, _remembers in {
     "cmo_func": lambda n: 2 * n + memory(1 / n),
     "macd_func": lambda n: 3 * n + 9 + 2 * memory(2 / (n + 1)) + memory(0.2),
     "htTrendline_func": lambda _: 2000,
-}.items():
+}
+for _name, _remembers in REMEMBERS.items():
     _smoother(_name, _remembers)
 
 

@@ -9,14 +9,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import recursive, technical  # noqa: F401  register their transforms
-from ..functions.frames import calendar_micros, timed, trading_seconds
+from ..functions import recursive, technical  # noqa: F401  the latter registers its transforms
+from ..functions.frames import MICROS, calendar_micros, timed, trading_seconds
 from ..functions.rolling import TRANSFORMS
 from ..operators import aggregate
 from ..operators.align import dense, without_empty_times
 from ..streaming.incremental import agreed
 from .spec import Aggregation, Spec, Step, path_edges
 
+#: Transforms whose durations are trading time, of one-minute bars.
+TRADING = ("zscore_fxwd", "zsc")
 #: Between a factor's name and its series where both together are the series of a frame.
 SEPARATOR = "\x1f"
 
@@ -87,18 +89,63 @@ def generated(ind: DataFrame, setting: aggregate.Setting, spec: Spec, indicator:
             rows = made if rows is None else rows.unionByName(made)
     if rows is None:
         raise ValueError("the spec has no aggregation")
-    used = rows.groupBy("name", "ts").agg(F.count("value").alias("n")).where("n > 0").select("name", "ts")
-    grid = used.join(rows.select("name", "series").distinct(), "name").join(rows, ["name", "series", "ts"], "left")
+    # one row per factor and time, whose exchange the list of each factor's series reuses; a factor has few series
+    times = rows.groupBy("name", "ts").agg(F.collect_list(F.struct("series", "value")).alias("cells"), F.count("value").alias("n"))
+    series = times.select("name", F.explode("cells.series").alias("series")).groupBy("name").agg(F.collect_set("series").alias("all"))
+    at = times.where("n > 0").join(series, "name").select("name", "ts", F.map_from_entries("cells").alias("cells"), F.explode("all").alias("series"))
+    grid = at.select("name", "ts", "series", F.try_element_at("cells", F.col("series")).alias("value"))
     frame, columns = _layers(timed(grid.withColumn("of", F.col("series")).withColumn("series", F.concat_ws(SEPARATOR, "name", "series"))), spec)
     return _rows(frame.withColumn("series", F.col("of")), columns, F.col("name"))
 
 
+def look_back(spec: Spec) -> tuple[int, int]:
+    """How far the transforms of a spec look back, both layers together: microseconds of calendar windows, and rows of the others."""
+
+    def of(step: Step) -> tuple[int, int]:
+        micros, rows = 0, 0
+        for name, value in step.parameters.items():
+            if isinstance(value, str) and value[:1].isdigit():
+                if step.function in TRADING:
+                    rows += trading_seconds(value) // 60
+                else:
+                    micros += calendar_micros(value)
+            elif name in ("window", "short_window", "long_window", "fft_window", "pos_window", "period", "gap"):
+                rows += recursive.REMEMBERS[step.function](value) if step.function in recursive.REMEMBERS else int(value)
+            elif name == "span":
+                rows += recursive.memory(2 / (value + 1))
+            elif name == "n" and step.function.startswith("dod"):
+                micros += value * MICROS["d"]
+        return micros, rows + 1
+
+    first = [of(s) for s in spec.steps] or [(0, 0)]
+    second = [of(s.step) for s in spec.second] or [(0, 0)]
+    inner = [_bar_windows(a.ts_prs) for a in spec.aggregations if a.ts]
+    within = max((sum(v for v in p.values() if isinstance(v, int)) for p in inner), default=0)
+    return max(f[0] for f in first) + max(s[0] for s in second), max(f[1] for f in first) + max(s[1] for s in second) + within
+
+
+class ShortHistory(ValueError):
+    """An increment would be computed from fewer rows than its transforms look back over."""
+
+
+def covered(ind: DataFrame, spec: Spec, since: str, history: str) -> None:
+    """Raises ShortHistory unless ``history`` before ``since`` holds what the spec's transforms look back over, or all there is."""
+    micros, rows = look_back(spec)
+    start = F.lit(since).cast("timestamp_ntz")
+    begin = start - F.make_dt_interval(secs=F.lit(calendar_micros(history) / 1e6))
+    known = ind.where(F.col("ts") < start).agg(F.count_distinct(F.when(F.col("ts") >= begin, F.col("ts"))).alias("n"), F.count_if(F.col("ts") < begin).alias("earlier")).first()
+    if known["earlier"] and (calendar_micros(history) < micros or known["n"] < rows):
+        raise ShortHistory(f"{history} before {since} has {known['n']} times; the transforms look back {rows} rows and {micros / 1e6:.0f} seconds")
+
+
 def extended(old: DataFrame, ind: DataFrame, setting: aggregate.Setting, spec: Spec, indicator: str, since: str, history: str, minute_weights: DataFrame | None = None, tolerance: float | None = None, debug: str | None = None) -> DataFrame:
     """``old`` (what ``generated`` gave) with all factors made anew from the time ``since`` on.
 
     Only the indicator's rows from ``history`` (a calendar duration, as long as the transforms look back)
-    before it are read. Where both have a row they must agree (``incremental.agreed``); the new one stays.
+    before it are read; too short a one is an error (``covered``). Where both have a row they must agree
+    (``incremental.agreed``); the new one stays. ``stateful.update`` goes on without any history.
     """
+    covered(ind, spec, since, history)
     start = F.lit(since).cast("timestamp_ntz")
     recent = ind.where(F.col("ts") >= start - F.make_dt_interval(secs=F.lit(calendar_micros(history) / 1e6)))
     new = generated(recent, setting, spec, indicator, minute_weights).where(F.col("ts") >= start)

@@ -205,6 +205,21 @@ def test_new_dates_of_a_plan(spark):
         planner.extended(old.withColumn("value", F.col("value") + 1), ind, s, plan, "v", str(T[2]), "2min", tolerance=1e-12)
 
 
+def test_short_history_is_an_error(spark):
+    s, start = setting(spark), dt.datetime(2024, 1, 2, 10)
+    rows = [(start + dt.timedelta(minutes=i), f"s{k}", float(i + k), float((i * k) % 4 + 1)) for i in range(60) for k in (1, 2, 3)]
+    ind = spark.createDataFrame(rows, "ts timestamp_ntz, symbol string, bid double, ask double")
+    body = {"target_indexes": ["A", "B"], "index_all": "B", "aggregation": {"w": {"aggregation": "avg_imb"}}, "ts_second_layer": {"mean": {"params": {"window": [5]}}}}
+    for ts, needed in (({"mean": {"window": [20]}}, (0, 27)), ({"zscore": {"period_str": ["30min"]}}, (30 * 60 * 10**6, 7)), ({"ewma": {"span": [2]}}, (0, 1 + 6 + 38)), ({"zsc": {"period_str": ["10min"]}}, (0, 17))):
+        plan = spec.parsed({**body, "ts": ts})
+        assert planner.look_back(plan) == needed
+        since = str(start + dt.timedelta(minutes=50))
+        planner.covered(ind, plan, since, "48min")
+        planner.covered(ind, plan, since, "2h")  # all there is
+        with pytest.raises(planner.ShortHistory):
+            planner.extended(planner.generated(ind, s, plan, "v"), ind, s, plan, "v", since, "6min")
+
+
 def test_transform_within_aggregation(spark):
     found = aggregate.avg_imb(indicator(spark), setting(spark), ts=lambda f, x, out: TRANSFORMS["absv"](f, x=x, out=out))
     assert values(found).keys() == {(T[0], "A"), (T[0], "B")}
