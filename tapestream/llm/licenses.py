@@ -1,6 +1,6 @@
 """License scans with a generalised suffix automaton over the tokens of licence templates.
 
-The automaton is built once from the templates (a few hundred tokens). Each file's tokens are
+The automaton is built once from the templates (notices, identifiers, warranty paragraphs). Each file's tokens are
 streamed through it, which gives matching statistics: for every token the longest stretch of some
 template that ends there. Long matches of one template are chained into covered spans.
 """
@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from .text import as_bytes, slices
 
@@ -30,6 +31,7 @@ TEMPLATES = {
     "bsd": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     ],
     "cc-by-nc": ["Licensed under CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"],
@@ -56,6 +58,7 @@ TEMPLATES = {
         "Released under the MIT License",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ],
     "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
     "unlicense": ["This is free and unencumbered software released into the public domain.", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
@@ -65,20 +68,20 @@ TEMPLATES = {
 # Identifiers of licences in source files, after SPDX_TAG, by label.
 SPDX_TAG = "SPDX-License-Identifier: "
 SPDX = {
-    "agpl": ["AGPL-3.0-only", "AGPL-3.0-or-later"],
+    "agpl": ["AGPL-3.0-only", "AGPL-3.0-or-later", "AGPL-3.0", "AGPL-1.0"],
     "apache-2.0": ["Apache-2.0"],
     "artistic-2.0": ["Artistic-2.0"],
-    "bsd": ["BSD-2-Clause", "BSD-3-Clause"],
+    "bsd": ["BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause"],
     "bsl-1.0": ["BSL-1.0"],
-    "cc-by": ["CC-BY-4.0"],
-    "cc-by-nc": ["CC-BY-NC-4.0"],
-    "cc-by-sa": ["CC-BY-SA-4.0"],
+    "cc-by": ["CC-BY-4.0", "CC-BY-3.0"],
+    "cc-by-nc": ["CC-BY-NC-4.0", "CC-BY-NC-3.0"],
+    "cc-by-sa": ["CC-BY-SA-4.0", "CC-BY-SA-3.0"],
     "cc0": ["CC0-1.0"],
     "epl-2.0": ["EPL-2.0"],
     "eupl-1.2": ["EUPL-1.2"],
-    "gpl": ["GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later"],
+    "gpl": ["GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "GPL-1.0", "GPL-2.0", "GPL-2.0+", "GPL-3.0", "GPL-3.0+"],
     "isc": ["ISC"],
-    "lgpl": ["LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later"],
+    "lgpl": ["LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "LGPL-2.0", "LGPL-2.0+", "LGPL-2.1", "LGPL-2.1+", "LGPL-3.0", "LGPL-3.0+"],
     "mit": ["MIT"],
     "mpl-2.0": ["MPL-2.0"],
     "unlicense": ["Unlicense"],
@@ -86,6 +89,18 @@ SPDX = {
     "zlib": ["Zlib"],
 }
 
+# Names that licences go by after words such as "licensed under", by label.
+LEADS = ["licensed under", "released under", "distributed under", "available under"]
+NAMES = {
+    "agpl": ["AGPLv3", "AGPL v3", "GNU AGPL"],
+    "apache-2.0": ["Apache 2.0", "Apache License 2.0", "Apache-2.0"],
+    "bsd": ["BSD license", "2-clause BSD", "3-clause BSD", "BSD 2-Clause", "BSD 3-Clause"],
+    "gpl": ["GPLv2", "GPLv3", "GPL v2", "GPL v3", "GNU GPL", "GPL 2.0", "GPL 3.0", "GPL"],
+    "lgpl": ["LGPLv2", "LGPLv3", "LGPL v2.1", "LGPL v3", "GNU LGPL", "LGPL"],
+    "mit": ["MIT license", "MIT"],
+    "mpl-2.0": ["MPL 2.0", "MPLv2", "Mozilla Public License 2.0"],
+}
+
 #: Maps A-Z to a-z, keeps a-z, 0-9 and all bytes of non-ASCII characters, and blanks the rest.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 #: A match shorter than this many tokens starts no chain.
@@ -94,7 +109,7 @@ MIN_MATCH = 4
 MAX_GAP = 8
 #: Share of a notice that a chain must cover to carry its label; an identifier must be there as a whole.
 MIN_COVER = 0.7
-SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels array<string>, labels array<string>, score double, spans array<struct<label:string,start:long,end:long>>"
+SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_labels array<string>, labels array<string>, score double, spans array<struct<label:string,start:long,end:long>>"
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -161,6 +176,10 @@ class Scanner:
         notices = [(label, tokens(text.encode())) for label, texts in TEMPLATES.items() for text in texts]
         tags = [(label, tokens((SPDX_TAG + name).encode())) for label, names in SPDX.items() for name in names]
         notices += tags
+        #: Openings after which a name stands, the names by their first token (longest first), and whether names may be joined there.
+        identifiers = [(label, t[len(tokens(SPDX_TAG.encode())) :]) for label, t in tags]
+        spoken = [(label, tokens(name.encode())) for label, names in NAMES.items() for name in names]
+        self.openings = [(tokens(SPDX_TAG.encode()), self.by_token(identifiers), True)] + [(tokens(lead.encode()), self.by_token(spoken), False) for lead in LEADS]
         self.n_phrases = len(phrases)
         self.least = [0.0] * len(phrases) + [MIN_COVER] * (len(notices) - len(tags)) + [1.0] * len(tags)
         self.names = [*PHRASES.values(), *(label for label, _ in notices)]
@@ -176,6 +195,43 @@ class Scanner:
         for state in sorted(range(1, len(a.next)), key=a.length.__getitem__):
             self.phrases[state] = self.phrases[a.link[state]] + ((own[state],) if state in own else ())
 
+    @staticmethod
+    def by_token(names: list[tuple[str, list[bytes]]]) -> dict[bytes, list[tuple[list[bytes], str]]]:
+        found: dict[bytes, list[tuple[list[bytes], str]]] = {}
+        for label, name in sorted(names, key=lambda n: -len(n[1])):
+            found.setdefault(name[0], []).append((name, label))
+        return found
+
+    def named(self, doc: list[bytes]) -> list[tuple[str, int, int]]:
+        """Licences by name: identifiers after their tag, joined by OR and AND and with exceptions (WITH), and names after words such as "licensed under"."""
+        spans = []
+        for opening, names, joined in self.openings:
+            at = -1
+            while True:
+                try:
+                    at = doc.index(opening[-1], at + 1)
+                except ValueError:
+                    break
+                start = at + 1 - len(opening)
+                if start < 0 or doc[start : at + 1] != opening:
+                    continue
+                here = at + 1
+                while here < len(doc):
+                    if not joined and doc[here] in (b"the", b"a"):
+                        here += 1
+                        continue
+                    name = next(((n, label) for n, label in names.get(doc[here], ()) if doc[here : here + len(n)] == n), None)
+                    if name is None:
+                        break
+                    here += len(name[0])
+                    spans.append((name[1], start, here))
+                    if joined and doc[here : here + 1] == [b"with"]:  # an exception: some words up to the next joint
+                        here = next((k for k in range(here + 1, min(here + 8, len(doc))) if doc[k] in (b"or", b"and")), len(doc))
+                    if not joined or doc[here : here + 1] not in ([b"or"], [b"and"]):
+                        break
+                    here += 1
+        return spans
+
     def run(self, codes: list[int], at: int, base: list[tuple[int, int]], matches: list[tuple[int, int, int]]) -> None:
         """Streams one stretch of template tokens that begins at word ``at``: its phrase places and maximal matches."""
         a = self.automaton
@@ -249,7 +305,7 @@ class Scanner:
             self.run(codes[start:end].tolist(), start - int(begins[doc]), base[doc], matches[doc])
         out: dict[str, list] = {k: [] for k in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans")}
         for doc, places, found in zip(words, base, matches, strict=True):
-            spans = self.chains(found) if found else []
+            spans = sorted({*(self.chains(found) if found else []), *self.named(doc)}, key=lambda s: (s[1], s[2], s[0]))
             base_labels = {self.names[k] for _, k in places}
             covered = {i for _, start, end in spans for i in range(start, end)} | {i for start, k in places for i in range(start, start + self.automaton.sizes[k])}
             out["n_words"].append(len(doc))
@@ -275,9 +331,10 @@ def scan_licenses(documents: DataFrame) -> DataFrame:
     """One row per document: base places, labels, covered spans (in words, end exclusive) and the covered share.
 
     ``documents`` needs doc_id and text; others are ignored. A null or empty text has no words, no
-    labels and score 0. Repeated rows each give a row; an empty table gives an empty table.
+    labels and score 0. Repeated rows each give a row, doc_id keeps its type; an empty table gives an empty table.
     """
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes("text")).mapInArrow(_scan, SCHEMA)
+    schema = StructType([documents.schema["doc_id"], *_parse_datatype_string(SCHEMA)])
+    return documents.select("doc_id", as_bytes("text")).mapInArrow(_scan, schema)
 
 
 def op8_license_scan(spark, sf_dir: str) -> DataFrame:

@@ -300,6 +300,20 @@ def test_license_notices_and_identifiers(spark):
     assert all(set(r["labels"]) <= set(r["base_labels"]) for r in rows(licenses.scan_licenses(other)))
 
 
+def test_license_names_and_expressions(spark):
+    tag = licenses.SPDX_TAG
+    texts = {
+        tag + "GPL-2.0": "gpl", tag + "GPL-2.0+": "gpl", tag + "LGPL-2.1\nint x;": "lgpl", tag + "AGPL-3.0": "agpl", tag + "MIT OR Apache-2.0": "apache-2.0,mit", tag + "(MIT AND BSD-3-Clause)": "bsd,mit",
+        tag + "GPL-2.0 OR MIT": "gpl,mit", tag + "GPL-2.0-only WITH Classpath-exception-2.0 OR Apache-2.0 */": "apache-2.0,gpl", tag + "GPL-2.0-or-later or nothing": "gpl", tag + "Foo-1.0 OR MIT": "",
+        "Licensed under GPLv3.": "gpl", "released under the MIT license, and more": "mit", "it was released under a cloud": "", "distributed under the 3-Clause BSD": "bsd", "spdx license identifier": "", tag + "MIT AND": "mit",
+    }
+    table = spark.createDataFrame([(f"id {i}", text) for i, text in enumerate(texts)], "doc_id string, text string")
+    found = {r["doc_id"]: r for r in rows(licenses.scan_licenses(table))}
+    assert [",".join(found[f"id {i}"]["labels"]) for i in range(len(texts))] == list(texts.values())
+    first = found["id 4"]["spans"]
+    assert [(s["label"], s["start"], s["end"]) for s in first] == [("mit", 0, 4), ("apache-2.0", 0, 8)]
+
+
 def test_license_chain_with_repeated_stretches():
     """A notice that says the same twice is covered in order, at both places."""
     scanner = licenses.Scanner()
