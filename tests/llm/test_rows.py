@@ -107,6 +107,22 @@ def test_pii_iban_of_15_characters(spark):
         assert found == ([] if r["doc_id"] == 99 else [(5, 5 + len(written[r["doc_id"] % 4]))])
 
 
+def test_pii_secrets_by_name_and_digests_by_context(spark):
+    """Values after a name are found; commit hashes and checksums of the same shape are not."""
+    import hashlib as h
+
+    word = lambda i: h.sha256(str(i).encode()).hexdigest()
+    texts = []
+    for i in range(300):
+        texts += [(f"config api_key={'AKIA' + word(i).upper()[:16]} end", "secret"), (f"set password token={word(i)[:40]} now", "secret"), (f"the secret key is {word(i)[8:40]} here", "secret")]
+        texts += [(f"see commit {word(i)[:40]} of the branch", ""), (f"its checksum sha256 {word(-i)} was right", ""), (f"md5 digest {word(i)[:32]} of the file", "")]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    found = {r["doc_id"]: [(s["kind"], texts[r["doc_id"]][0][s["start"] : s["end"]]) for s in r["spans"]] for r in rows(pii.personal_data(docs))}
+    for i, (text, kind) in enumerate(texts):
+        assert [k for k, _ in found[i] if k not in pii.BASE] == ([kind] if kind else []), text  # runs of digits may pass as cards
+    assert found[0][0][1].startswith("AKIA")
+
+
 def test_pii_many_matches_in_one_text(spark):
     text = "".join(f"é{i % 7}.x@host{i}.org, 10.0.{i % 256}.{i % 200} " for i in range(50_000))
     began = time.perf_counter()
