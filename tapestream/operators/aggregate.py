@@ -39,12 +39,10 @@ class Setting:
     def sizes(self, depth: int | str = 0, indexes: list[str] | None = None) -> DataFrame:
         """index_code, universe: columns of each target's (or given index's) cross-section (zero weights included if ``universe`` names them)."""
         named = (self.universe if self.universe is not None else self.weights).select("index_code", "symbol").distinct()
-        out = None
-        for target in indexes or self.targets:
-            codes = [target] if depth == 0 else [self.index_all] if depth == "all" else downscale(self.index_seq, target, depth)
-            part = named.where(F.col("index_code").isin(codes)).agg(F.countDistinct("symbol").alias("universe")).withColumn("index_code", F.lit(target))
-            out = part if out is None else out.unionByName(part)
-        return out
+        codes = {t: [t] if depth == 0 else [self.index_all] if depth == "all" else downscale(self.index_seq, t, depth) for t in indexes or self.targets}
+        counted = named.agg(*(F.count_distinct(F.when(F.col("index_code").isin(members), F.col("symbol"))).alias(f"n{k}") for k, members in enumerate(codes.values())))
+        rows = F.explode(F.array(*(F.struct(F.col(f"n{k}").alias("universe"), F.lit(target).alias("index_code")) for k, target in enumerate(codes))))
+        return counted.select(rows.alias("r")).select("r.*")
 
 
 def weighted(panel: DataFrame, weights: DataFrame, minute: bool = False) -> DataFrame:

@@ -7,7 +7,7 @@ the board less every index before it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: First characters of the symbols of the first venue.
@@ -70,22 +70,28 @@ def on_venue(weights: DataFrame, exchange: str | None, first: tuple[str, ...] =
     return weights.where(starts if exchange == "SH" else ~starts)
 
 
+def each_target(of: dict[str, Column]) -> Column:
+    """Gives a row to each target whose condition it meets, so that all of them come from one scan."""
+    return F.explode(F.array_compact(F.array(*(F.when(condition, F.lit(target)) for target, condition in of.items()))))
+
+
 def range_weights(weights: DataFrame, targets: list[str], depth: int | str, index_all: str, index_seq: list[str], exchange: str | None = None, first: tuple[str, ...] = FIRST_VENUE, raw_complement: bool = False) -> DataFrame:
     """Weights of each target at ``depth``: 1/N of its own, 1 of a merger, or the complement's."""
+    columns = ["index_code", "trade_date", "symbol", "weight"]
     normal = equal_weights(weights)
-    parts = []
-    for target in targets:
-        if depth == 0:
-            parts.append(normal.where(F.col("index_code") == target).select("index_code", "trade_date", "symbol", "weight"))
-        elif depth == "all":
-            parts.append(complement(weights if raw_complement else normal, target, index_all, index_seq))
-        elif isinstance(depth, int):
-            parts.append(merged(weights, target, downscale(index_seq, target, depth)))
-        else:
-            raise NotImplementedError(f"depth {depth!r}")
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    if depth == 0:
+        out = normal.where(F.col("index_code").isin(targets)).select(*columns)
+    elif depth == "all":
+        source = weights if raw_complement else normal
+        named = source.where((F.col("weight") > 0) & (F.col("index_code") != index_all)).groupBy("trade_date", "symbol").agg(F.collect_set("index_code").alias("of"))  # a handful of indexes
+        board = source.where(F.col("index_code") == index_all).drop("index_code").join(named, ["trade_date", "symbol"], "left")
+        behind = {t: F.coalesce(F.arrays_overlap("of", F.lit([i for i in narrower(index_seq, t) if i != index_all] or [""])), F.lit(False)) for t in targets}
+        out = board.withColumn("index_code", each_target({t: ~within_ for t, within_ in behind.items()})).select(*columns)
+    elif isinstance(depth, int):
+        members = {t: F.col("index_code").isin(downscale(index_seq, t, depth)) for t in targets}
+        out = weights.where("weight > 0").select(each_target(members).alias("index_code"), "trade_date", "symbol").distinct().withColumn("weight", F.lit(1.0))
+    else:
+        raise NotImplementedError(f"depth {depth!r}")
     return on_venue(out, exchange, first)
 
 
