@@ -80,3 +80,13 @@ def test_matrix_shards_share_one_dictionary(spark):
     assert whole.count() == 6 and terms.count() == terms.select("word").distinct().count() == 901
     out = audit.rows(whole).collect()
     assert len(out) == 4000 and all((r.n_words, r.n_distinct) == (2, 2) for r in out)
+
+
+def test_words_split_at_exactly_six_characters():
+    import pyarrow as pa
+
+    texts = ["a\x0bb\x0cc\x1cd\x1fe\x85f g h \t\r\n i  ", "", " ", "x", "\x00y z\x7f w x x"]
+    words, starts, terms, counts = audit._csr(pa.array([t.encode() for t in texts]))
+    for i, text in enumerate(texts):
+        cells = range(starts[i], starts[i + 1])
+        assert {words[int(terms[c])].as_py().decode(): counts[c] for c in cells} == Counter(WORD.findall(text))
