@@ -279,6 +279,45 @@ class Latest(State):
         return out
 
 
+class Trailing(State):
+    """A statistic of the last ``n`` rows, null cells among them; holds the n - 1 rows before."""
+
+    def __init__(self, n: int, of: Callable[[np.ndarray], np.ndarray]):
+        if not isinstance(n, int):
+            raise ValueError(f"a state holds a number of rows, not {n!r}; calendar windows need history")
+        super().__init__([math.nan] * (n - 1))
+        self.n, self.of = n, of
+
+    def run(self, v: np.ndarray, days: np.ndarray | None = None) -> np.ndarray:
+        x = np.concatenate([self.values, v])
+        out = np.full(len(v), np.nan)
+        for a in range(0, len(v), BLOCK):  # a block's windows at a time
+            frames = np.lib.stride_tricks.sliding_window_view(x[a : a + BLOCK + self.n - 1], self.n)
+            some = (~np.isnan(frames)).any(axis=1)
+            if some.any():
+                out[a : a + len(frames)][some] = self.of(frames[some])
+        self.values = x[len(x) - self.n + 1 :].tolist()
+        return out
+
+
+class Pointwise(State):
+    """A function of each value by itself."""
+
+    def __init__(self, of: Callable[[np.ndarray], np.ndarray]):
+        super().__init__([])
+        self.of = of
+
+    def step(self, v: np.ndarray) -> np.ndarray:
+        return self.of(v)
+
+
+def deviation(frames: np.ndarray) -> np.ndarray:
+    """Sample deviation of each row's values; NaN of fewer than two."""
+    n = (~np.isnan(frames)).sum(axis=1)
+    square = np.nansum((frames - np.nanmean(frames, axis=1, keepdims=True)) ** 2, axis=1)
+    return np.sqrt(np.divide(square, n - 1, out=np.full(len(n), np.nan), where=n > 1))
+
+
 class Daily(Chain):
     """A state that begins anew each day."""
 
@@ -311,6 +350,12 @@ STATES: dict[str, Callable[..., State]] = {
     "intraCumSum": lambda: Daily(Total),
     "cumSum": Total,
     "fill": Latest,
+    "mean": lambda window: Trailing(window, lambda f: np.nanmean(f, axis=1)),
+    "std": lambda window: Trailing(window, deviation),
+    "rmin": lambda window: Trailing(window, lambda f: np.nanmin(f, axis=1)),
+    "rmax": lambda window: Trailing(window, lambda f: np.nanmax(f, axis=1)),
+    "absv": lambda: Pointwise(np.abs),
+    "exp": lambda: Pointwise(np.exp),
     "ema_func": lambda window: Ema(window, warm=True),
     "dema_func": Dema,
     "t3_func": T3,

@@ -6,15 +6,20 @@ them share an exchange and a sort; the wide frame is turned into rows once at th
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import recursive, technical  # noqa: F401  the latter registers its transforms
 from ..functions.frames import MICROS, calendar_micros, timed, trading_seconds
 from ..functions.rolling import TRANSFORMS
+from ..functions.states import STATES
 from ..operators import aggregate
 from ..operators.align import dense, without_empty_times
+from ..sources.versioned import FactorTable
 from ..streaming.incremental import agreed
+from ..streaming.stateful import update
 from .spec import Aggregation, Spec, Step, path_edges
 
 #: Transforms whose durations are trading time, of one-minute bars.
@@ -155,6 +160,47 @@ def extended(old: DataFrame, ind: DataFrame, setting: aggregate.Setting, spec: S
     return kept.select("factor", "series", "ts", "value").unionByName(new)
 
 
+def state_specs(spec: Spec) -> tuple[dict[str, tuple], list[str]]:
+    """The transforms of both layers as states by name, and the names to keep; an error for those that have no state."""
+    specs: dict[str, tuple] = {step.name: (step.function, step.parameters) for step in spec.steps}
+    kept = list(specs) if spec.save_first_layer else []
+    for second in spec.second:
+        for base in ["org", *second.base]:
+            name = f"{base}-{second.step.name}"
+            specs[name] = (second.step.function, second.step.parameters, *([] if base == "org" else [base]))
+            kept.append(name)
+    without = sorted({s[0] for s in specs.values()} - STATES.keys())
+    if without:
+        raise ValueError(f"{', '.join(without)} can't go on without history; use extended")
+    return specs, kept
+
+
+def advanced(table: FactorTable, ind: DataFrame, setting: aggregate.Setting, spec: Spec, indicator: str, batch: int | None = None, minute_weights: DataFrame | None = None) -> None:
+    """Adds the factors of an indicator's next rows to a table, out of the states it holds; no history is read.
+
+    ``ind`` has whole times later than the table's. Series that the table knows and the new rows lack go on with nulls,
+    as in the grid of the whole. A batch that was committed changes nothing. ``table_rows`` gives the factors.
+    """
+    specs, _ = state_specs(spec)
+    new = generated(ind, setting, replace(spec, steps=[], second=[], save_org=True), indicator, minute_weights).where("factor is not null")
+    named = new.select(F.regexp_replace("factor", "-org$", "").alias("name"), "series", "ts", "value")
+    held = table.states()
+    of = named.select("name", "series").distinct()
+    if held is not None:
+        parts = F.split("series", SEPARATOR)
+        of = of.union(held.select(parts[0].alias("name"), parts[1].alias("series"))).distinct()
+    grid = named.select("name", "ts").distinct().join(of, "name").join(named, ["name", "series", "ts"], "left")
+    update(table, grid.select(F.concat_ws(SEPARATOR, "name", "series").alias("series"), "ts", "value"), specs, batch)
+
+
+def table_rows(table: FactorTable, spec: Spec, **times) -> DataFrame:
+    """factor, series, ts, value of a table that ``advanced`` keeps."""
+    _, kept = state_specs(spec)
+    columns = ({"org": "value"} if spec.save_org else {}) | {name: name for name in kept}
+    parts = F.split("series", SEPARATOR)
+    return _rows(table.read(**times).withColumn("of", parts[0]).withColumn("series", parts[1]), columns, F.col("of"))
+
+
 def along_paths(factors: DataFrame, paths: list[list[str]], specs: dict[str, list[Step]]) -> dict[str, DataFrame]:
     """factor, series, ts, value of every node of the paths; each node transforms all factors of its parent."""
     nodes: dict[str | None, DataFrame] = {None: factors}

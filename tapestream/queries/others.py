@@ -8,9 +8,11 @@ from ..functions.rolling import TRANSFORMS
 from ..operators import align, calendar, weights
 from ..plans import planner, spec
 from ..sources import tables
+from ..sources.versioned import FactorTable
 from ..streaming import incremental
 from . import aggregates
 from . import panels as p
+from .files import scratch
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -155,6 +157,15 @@ def plan_extended(s, d):
     return _shown(planner.extended(old, week, setting, parsed, "week", "1997-01-01", "180d", tolerance=1e-5))
 
 
+def plan_advanced(s, d):
+    """The factors in three increments that read no history, one of them given twice."""
+    week, setting, parsed = p.weekly(s, d), p.setting(s, d), spec.parsed(SPEC)
+    table = FactorTable(s, f"{scratch(s)}/plan")
+    for k, (since, until) in ((0, ("1900-01-01", "1995-02-01")), (1, ("1995-02-01", "1997-07-01")), (1, ("1995-02-01", "1997-07-01")), (2, ("1997-07-01", "2100-01-01"))):
+        planner.advanced(table, week.where((F.col("ts") >= since) & (F.col("ts") < until)), setting, parsed, "week", batch=k)
+    return _shown(planner.table_rows(table, parsed))
+
+
 _LAYERS = {"org": "x", "mean_w3": "m3", "mean_w6": "m6", "org-absv": "abs(x)", "mean_w3-absv": "abs(m3)", "mean_w6-absv": "abs(m6)"}
 _SIDES = aggregates._weighted(aggregates._RANGE[0])
 _PLAN = f"""WITH {p.WEEKLY}, {p.WEIGHTS}, sides AS ({_SIDES}), f AS (
@@ -175,6 +186,7 @@ def plan_paths(s, d):
 
 _add("plan_generated", plan_generated, _PLAN)
 _add("plan_extended", plan_extended, _PLAN)
+_add("plan_advanced", plan_advanced, _PLAN)
 _add("plan_paths", plan_paths, f"WITH {p.SERIES}, a AS (SELECT series, ts, avg(x) OVER (PARTITION BY series ORDER BY ts ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS m FROM s) SELECT 'f-mean_w3-absv' AS factor, series, ts, round(abs(m), 6) + 0.0 AS value FROM a UNION ALL SELECT 'f-mean_w3-rmax_w4', series, ts, round(max(m) OVER (PARTITION BY series ORDER BY ts ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 6) + 0.0 FROM a")
 
 # Status and message tables, from orders.

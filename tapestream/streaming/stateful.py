@@ -22,26 +22,30 @@ from ..functions.frames import MICROS, timed
 from ..functions.states import STATES
 from ..sources.versioned import FactorTable, Manifest
 
-#: Column names to (transform, parameters).
-Specs = dict[str, tuple[str, dict]]
+#: Column names to (transform, parameters), or (transform, parameters, the earlier column it goes on from).
+Specs = dict[str, tuple]
 STATE = StructType([StructField("last", LongType()), StructField("state", MapType(StringType(), ArrayType(DoubleType())))])
 
 
 def _checked(specs: Specs) -> Specs:
-    unknown = sorted({name for name, _ in specs.values()} - STATES.keys())
+    unknown = sorted({spec[0] for spec in specs.values()} - STATES.keys())
     if unknown:
         raise ValueError(f"no states for {', '.join(unknown)}")
+    order = list(specs)
+    for k, out in enumerate(order):
+        if specs[out][2:] and specs[out][2] not in order[:k]:
+            raise ValueError(f"{out} goes on from {specs[out][2]}, which isn't before it")
     return specs
 
 
 def _advanced(us: np.ndarray, x: np.ndarray, specs: Specs, given: dict[str, list[float]]) -> tuple[dict[str, np.ndarray], dict[str, list[float]]]:
     """Values of each spec for rows in order, and the states after them; a spec without a state begins."""
     found, after, days = {}, {}, np.floor_divide(us, MICROS["d"]).astype(np.float64)
-    for out, (name, parameters) in specs.items():
+    for out, (name, parameters, *source) in specs.items():
         state = STATES[name](**parameters)
         if given.get(out):
             state.values = [math.nan if v is None else v for v in given[out]]
-        found[out] = state.run(x, days)
+        found[out] = state.run(found[source[0]] if source else x, days)
         after[out] = [float(v) for v in state.values]
     return found, after
 

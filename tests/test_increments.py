@@ -146,6 +146,22 @@ def test_streams_equal_the_whole(spark, tmp_path):
     same(found, expected(whole))
 
 
+def test_row_windows_as_states_and_chains(spark):
+    v = np.array([np.nan if x is None else x for x in NOISY])
+    for name, of in (("mean", np.nanmean), ("rmin", np.nanmin), ("rmax", np.nanmax), ("std", lambda a: np.nanstd(a, ddof=1) if (~np.isnan(a)).sum() > 1 else np.nan)):
+        state, out = states.STATES[name](window=7), []
+        for a, b in ((0, 3), (3, 3), (3, 50), (50, len(v))):
+            out += state.run(v[a:b]).tolist()
+        close([None if x != x else x for x in out], [None if np.isnan(w).all() else of(w) for w in (v[max(0, i - 6) : i + 1] for i in range(len(v)))])
+    with pytest.raises(ValueError):
+        states.STATES["mean"](window="3d")
+    df = frame(spark, [1.0, -3.0, 2.0])
+    specs = {"s": ("cumSum", {}), "a": ("absv", {}, "s")}
+    assert [r.a for r in stateful.continued(df, None, specs).orderBy("ts").collect()] == [1.0, 2.0, 0.0]
+    with pytest.raises(ValueError):
+        stateful.continued(df, None, {"a": ("absv", {}, "s"), "s": ("cumSum", {})})
+
+
 # The versioned table.
 
 

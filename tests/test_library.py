@@ -220,6 +220,13 @@ def test_short_history_is_an_error(spark):
             planner.extended(planner.generated(ind, s, plan, "v"), ind, s, plan, "v", since, "6min")
 
 
+def test_plans_without_states_need_history(spark):
+    body = {"target_indexes": ["A", "B"], "index_all": "B", "aggregation": {"w": {"aggregation": "avg_imb"}}, "ts": {"zscore": {"period_str": ["3d"]}, "mean": {"window": [2]}}}
+    with pytest.raises(ValueError, match="zscore"):
+        planner.state_specs(spec.parsed(body))
+    assert planner.state_specs(spec.parsed({**body, "ts": {"mean": {"window": [2]}}}))[1] == ["mean_w2"]
+
+
 def test_transform_within_aggregation(spark):
     found = aggregate.avg_imb(indicator(spark), setting(spark), ts=lambda f, x, out: TRANSFORMS["absv"](f, x=x, out=out))
     assert values(found).keys() == {(T[0], "A"), (T[0], "B")}
