@@ -232,8 +232,9 @@ class Encoder:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+@lru_cache(maxsize=1)
 def _encoder(shared) -> Encoder:
-    """A task's encoder of a broadcast (ranks, pattern, newer code points)."""
+    """The encoder of a broadcast (ranks, pattern, newer code points); a worker's next tasks find it, and the pieces it knows, again."""
     return Encoder(*shared.value)
 
 
