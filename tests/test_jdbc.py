@@ -110,6 +110,25 @@ def test_repeated_tasks_change_nothing(spark, db, monkeypatch):
     assert sorted(tuple(r) for r in db.scan(spark, "SELECT k, v FROM pairs").collect()) == [(k, k * 10 + 1) for k in range(50)]
 
 
+def test_staged_keys_are_looked_up_by_an_index(spark, db, monkeypatch):
+    """Else marking n rows may compare n * n keys."""
+    real, seen = jdbc.Database.execute, []
+
+    def looked(self, session, *statements):
+        if statements[0].startswith("UPDATE"):
+            found = db.scan(session, "SELECT t.tablename AS name FROM sys.sysconglomerates c JOIN sys.systables t ON c.tableid = t.tableid WHERE c.isindex")
+            seen.append(found.where("name LIKE '%STAGED%'").count())
+        return real(self, session, *statements)
+
+    db.execute(spark, "CREATE TABLE many (id INT, alerted INT)")
+    rows = spark.range(20_000).selectExpr("cast(id as int) AS id", "0 AS alerted")
+    db.add(rows, "many", ["id"])
+    monkeypatch.setattr(jdbc.Database, "execute", looked)
+    assert db.mark(rows.where("id % 2 = 0").select("id"), "many", "alerted", 1) == 10_000
+    assert seen == [1] and staged(db, spark) == 0
+    assert db.scan(spark, "SELECT id, alerted FROM many").where("alerted = 1 - id % 2").count() == 20_000
+
+
 def test_a_failed_write_leaves_the_table(spark, db):
     before = sorted(db.scan(spark, "SELECT k, v FROM pairs").collect())
     failing = spark.range(10).select(F.col("id").cast("int").alias("k"), F.when(F.col("id") < 9, F.lit(-1)).otherwise(F.raise_error("lost")).cast("int").alias("v"))
