@@ -111,11 +111,11 @@ def test_repeated_tasks_change_nothing(spark, db, monkeypatch):
 
 
 def test_staged_keys_are_looked_up_by_an_index(spark, db, monkeypatch):
-    """Else marking n rows may compare n * n keys."""
+    """Else marking or replacing n rows may compare n * n keys."""
     real, seen = jdbc.Database.execute, []
 
     def looked(self, session, *statements):
-        if statements[0].startswith("UPDATE"):
+        if statements[0].startswith(("UPDATE", "DELETE")):
             found = db.scan(session, "SELECT t.tablename AS name FROM sys.sysconglomerates c JOIN sys.systables t ON c.tableid = t.tableid WHERE c.isindex")
             seen.append(found.where("name LIKE '%STAGED%'").count())
         return real(self, session, *statements)
@@ -125,7 +125,8 @@ def test_staged_keys_are_looked_up_by_an_index(spark, db, monkeypatch):
     db.add(rows, "many", ["id"])
     monkeypatch.setattr(jdbc.Database, "execute", looked)
     assert db.mark(rows.where("id % 2 = 0").select("id"), "many", "alerted", 1) == 10_000
-    assert seen == [1] and staged(db, spark) == 0
+    assert db.upsert(rows.withColumn("alerted", 1 - F.col("id") % 2), "many", ["id"]) == (20_000, 20_000)
+    assert seen == [1, 1] and staged(db, spark) == 0
     assert db.scan(spark, "SELECT id, alerted FROM many").where("alerted = 1 - id % 2").count() == 20_000
 
 
